@@ -8,10 +8,13 @@ registers (corrected for chance collisions) estimates the Jaccard similarity,
 and what stays is confirmed on the full sets.
 
 No group is ever expanded into all its pairs. Documents with equal sets are one
-class from the start. Within a band's bucket every member is first compared with
-the bucket's least member only; confirmed links give components, and buckets
-whose members are all in one component are done. In the others, members are
-compared in blocks of bounded size, across components only.
+class from the start. Every class is first compared with the likeliest of the
+least members of its buckets only; confirmed links give components, and buckets
+whose members are all in one component are done. Members of the other buckets
+are gathered into groups that share no bucket with one another. A group is cut
+into blocks of bounded size; within a pair of blocks, sets are compared across
+components only, and a confirmed link merges two components at once, so a block
+pair emits fewer links than it has rows.
 
 Nulls and texts without words have an empty set: they are linked with nothing.
 Repeated rows of one id count once (ids are the identity of a document). An
@@ -39,8 +42,9 @@ BAND_ROWS = 7
 BANDS = 36
 #: Standard errors below the threshold at which an estimate still is verified.
 SLACK = 5.0
-#: Rows of a block in the comparison of a bucket's members.
+#: Rows and shingles of a block in the comparison of a group's members.
 BLOCK = 1000
+BLOCK_SHINGLES = 2_000_000
 U64 = np.uint64
 
 
@@ -166,13 +170,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), sets.cast(pa.list_(pa.int64()))], names=["rep", "set"])
 
 
-def _near(threshold: float):
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(-1, REGISTERS) for s in (a, b))
-        return pd.Series(passes(x, y, threshold))
-
-    return near
+@F.pandas_udf("double")
+def _margin(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
+    """The estimate, negative where it lies too far below the threshold."""
+    x, y = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(-1, REGISTERS) for s in (a, b))
+    j, _ = estimate(x, y)
+    return pd.Series(np.where(passes(x, y, float(threshold.iloc[0])), j, -1.0))
 
 
 def _common(hundredths: int):
@@ -185,34 +188,47 @@ def _common(hundredths: int):
             keep = np.zeros(batch.num_rows, dtype=bool)
             (ox, vx), (oy, vy) = sides
             for i in range(batch.num_rows):
-                x, y = vx[ox[i] : ox[i + 1]], vy[oy[i] : oy[i + 1]]
-                small, large = sorted((len(x), len(y)))
-                if 100 * small < hundredths * large:
-                    continue
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * inter >= hundredths * (len(x) + len(y) - inter)
+                keep[i] = linked(vx[ox[i] : ox[i + 1]], vy[oy[i] : oy[i + 1]], hundredths)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
     return verify
 
 
-def _across(threshold: float):
-    """Pairs of a block pair whose components differ and whose estimates pass; rows of side 1 against rows of side 2."""
+def linked(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
+    """Whether two sorted sets reach the threshold, in whole numbers."""
+    small, large = sorted((len(x), len(y)))
+    if 100 * small < hundredths * large:
+        return False
+    inter = small + large - len(np.union1d(x, y))
+    return 100 * inter >= hundredths * (len(x) + len(y) - inter)
+
+
+def _merges(hundredths: int):
+    """Links between components of a block pair; rows of side 1 against rows of side 2, or a block (side 0) against itself."""
+    threshold = hundredths / 100
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(-1, REGISTERS)
-        reps, comp, side = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["side"].to_numpy()
-        own = bool((side == 0).any())  # a block against itself
+        reps, side, sets = pdf["rep"].to_numpy(), pdf["side"].to_numpy(), pdf["set"].to_numpy()
+        comp = pdf["comp"].to_numpy().copy()
+        size = np.array([len(x) for x in sets])
+        own = bool((side == 0).any())
         left = np.flatnonzero(side != 2)
         right = left if own else np.flatnonzero(side == 2)
-        a, b = [], []
-        for i in left.tolist():
-            others = right[(comp[right] != comp[i]) & ((reps[right] > reps[i]) if own else True)]
-            hit = others[passes(regs[i][None, :], regs[others], threshold)]
-            a.append(np.full(len(hit), reps[i]))
-            b.append(reps[hit])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        links = []
+        for at, i in enumerate(left.tolist()):
+            others = right[at + 1 :] if own else right
+            fits = (comp[others] != comp[i]) & (100 * np.minimum(size[others], size[i]) >= hundredths * np.maximum(size[others], size[i]))
+            others = others[fits]
+            if not len(others):
+                continue
+            j, _ = estimate(regs[i][None, :], regs[others])
+            good = passes(regs[i][None, :], regs[others], threshold)
+            for o in others[good][np.argsort(-j[good], kind="stable")].tolist():
+                if comp[o] != comp[i] and linked(sets[i], sets[o], hundredths):
+                    links.append((min(reps[i], reps[o]), max(reps[i], reps[o])))
+                    comp[comp == comp[o]] = comp[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return compare
 
@@ -237,52 +253,38 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("members")).where("members > 1")
     member = written(rows.join(buckets, ["band", "key"]).select("band", "key", "rep", "lead"))
 
-    near = _near(threshold)
     light = reps.select("rep", "regs", "n_shingles")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        x, y = (light.select(F.col("rep").alias(k), F.col("regs").alias(f"regs_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in "ab")
-        sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= hundredths * F.greatest("n_a", "n_b"))
-        return sized.where(near("regs_a", "regs_b")).select("a", "b")
-
-    proposed = written(estimated(member.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()))
-    wanted = proposed.select(F.col("a").alias("rep")).union(proposed.select(F.col("b").alias("rep"))).distinct()
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        found = docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "rep long, set array<long>")
-        return found.dropDuplicates(["rep"])
-
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("rep").alias(k), F.col("set").alias(f"set_{n}")) for k, n in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "set_x", "set_y").mapInArrow(_common(hundredths), "a long, b long")
-
-    def labelled(links: DataFrame) -> DataFrame:
-        """Component of each representative, itself where it has no link."""
-        comp = components(links)
-        return comp.select(F.col("id").alias("rep"), "comp")
-
-    sets = written(sets_of(wanted))
-    # First the link of each member to its leaders; one leader after another merges, so most pairs are settled here.
-    links = written(verified(proposed, sets))
-    comp = written(labelled(links))
-
-    # Buckets whose members still are in several components.
-    placed = member.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi and members > 2")
-    open_rows = placed.join(mixed.select("band", "key", "members"), ["band", "key"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # The likeliest leader of each class.
+    pairs = member.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    x, y = (light.select(F.col("rep").alias(k), F.col("regs").alias(f"regs_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in "ab")
+    sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= hundredths * F.greatest("n_a", "n_b"))
+    judged = sized.select("a", "b", _margin("regs_a", "regs_b", F.lit(threshold)).alias("j")).where("j >= 0")
+    proposed = judged.groupBy("b").agg(F.max_by("a", F.struct("j", (-F.col("a")).alias("a"))).alias("a")).select("a", "b")
+    wanted = member.select("rep").distinct()
+    sets = written(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "rep long, set array<long>").dropDuplicates(["rep"]))
+    x, y = (sets.select(F.col("rep").alias(k), F.col("set").alias(f"set_{n}")) for k, n in (("a", "x"), ("b", "y")))
+    links = written(proposed.join(x, "a").join(y, "b").select("a", "b", "set_x", "set_y").mapInArrow(_common(hundredths), "a long, b long"))
+    comp = written(components(links))
+
+    # Buckets whose members still are in several components; groups of them that share no bucket.
+    named = comp.select(F.col("id").alias("rep"), "comp")
+    placed = member.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("least"), F.count("*").alias("members")).where("lo < hi")
+    spokes = written(placed.join(mixed.select("band", "key", "least"), ["band", "key"]).select("rep", "comp", "least").distinct())
+    groups = components(spokes.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    inside = spokes.select("rep", "comp").distinct().join(groups.select(F.col("id").alias("rep"), F.col("comp").alias("grp")), "rep")
+    inside = written(inside.join(light.select("rep", "n_shingles"), "rep"))
+    weights = inside.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("rows")).where("rows > 1")
     # A block meets itself (side 0) and each other block once (the lower is side 1, the higher side 2).
+    blocked = inside.join(weights.select("grp", "blocks"), "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least(o, F.col("block")).alias("p"), F.greatest(o, F.col("block")).alias("q"), F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("side")),
     )
-    paired = open_rows.join(light.select("rep", "regs"), "rep").select("band", "key", "rep", "comp", "regs", F.explode(meets).alias("m")).select("band", "key", "rep", "comp", "regs", "m.*")
-    across = paired.groupBy("band", "key", "p", "q").applyInPandas(_across(threshold), "a long, b long").distinct()
-    rest = written(across.join(links, ["a", "b"], "left_anti"))
-    more = rest.select(F.col("a").alias("rep")).union(rest.select(F.col("b").alias("rep"))).distinct()
-    more_sets = sets.join(more, "rep", "left_semi").unionByName(sets_of(more.join(sets.select("rep"), "rep", "left_anti")))
-    links = links.unionByName(verified(rest, written(more_sets)))
-    comp = written(labelled(links))
+    full = blocked.join(light.select("rep", "regs"), "rep").join(sets, "rep")
+    paired = full.select("grp", "rep", "comp", "regs", "set", F.explode(meets).alias("m")).select("grp", "rep", "comp", "regs", "set", "m.*")
+    merges = paired.groupBy("grp", "p", "q").applyInPandas(_merges(hundredths), "a long, b long")
+    comp = written(components(links.unionByName(merges)).select(F.col("id").alias("rep"), "comp"))
 
     ids = reps.select("rep", "set_a", "set_b", "n_shingles")
     named = ids.join(comp, "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "rep").alias("comp"))

@@ -5,17 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamina.llm import hyperminhash
+from lamina.llm import hyperminhash, toxicity_crf, winnow
 from lamina.llm.common import table
 
 
+def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_crf.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity_crf.score(docs, model)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", "spans")
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_hyperminhash": op6_hyperminhash}
+    return {
+        "op1_toxicity_crf": op1_toxicity_crf,
+        "op6_hyperminhash": op6_hyperminhash,
+        "op8_winnowing": op8_winnowing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
