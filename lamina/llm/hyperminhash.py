@@ -10,15 +10,16 @@ and what stays is confirmed on the full sets.
 No group is ever expanded into all its pairs. Documents with equal sets are one
 class from the start. Every class is first compared with the likeliest of the
 least members of its buckets only; confirmed links give components, and buckets
-whose members are all in one component are done. Members of the other buckets
-are gathered into groups that share no bucket with one another. A group is cut
-into blocks of bounded size; within a pair of blocks, sets are compared across
-components only, and a confirmed link merges two components at once, so a block
-pair emits fewer links than it has rows.
+whose members are all in one component are done. In the others, sketches are
+compared in blocks of bounded size, across components only; a block pair emits
+no more than a spanning forest of what may be linked. Its trees are the groups
+whose full sets are compared, again in blocks and across components only, and a
+confirmed link merges two components at once.
 
 Nulls and texts without words have an empty set: they are linked with nothing.
-Repeated rows of one id count once (ids are the identity of a document). An
-empty table gives an empty result. Only ``doc_id`` and ``text`` are read, so
+Repeated rows of one id count once (ids are the identity of a document; an id
+with several texts gets the class of one of them). An empty table gives an empty
+result. Only ``doc_id`` and ``text`` are read, so
 further columns of any name do no harm.
 """
 
@@ -203,6 +204,32 @@ def linked(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
     return 100 * inter >= hundredths * (len(x) + len(y) - inter)
 
 
+def _forest(hundredths: int):
+    """Spanning forest of the pairs of a block pair that may be linked and are in several components."""
+    threshold = hundredths / 100
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(-1, REGISTERS)
+        reps, side, comp, size = (pdf[k].to_numpy() for k in ("rep", "side", "comp", "n_shingles"))
+        tree = np.arange(len(reps))
+        own = bool((side == 0).any())
+        left = np.flatnonzero(side != 2)
+        right = left if own else np.flatnonzero(side == 2)
+        edges = []
+        for at, i in enumerate(left.tolist()):
+            others = right[at + 1 :] if own else right
+            fits = (comp[others] != comp[i]) & (tree[others] != tree[i])
+            others = others[fits & (100 * np.minimum(size[others], size[i]) >= hundredths * np.maximum(size[others], size[i]))]
+            if len(others):
+                for o in others[passes(regs[i][None, :], regs[others], threshold)].tolist():
+                    if tree[o] != tree[i]:
+                        edges.append((reps[i], reps[o]))
+                        tree[tree == tree[o]] = tree[i]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
 def _merges(hundredths: int):
     """Links between components of a block pair; rows of side 1 against rows of side 2, or a block (side 0) against itself."""
     threshold = hundredths / 100
@@ -233,6 +260,16 @@ def _merges(hundredths: int):
     return compare
 
 
+def _facing(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows dealt into ``blocks`` blocks by ``rep``: a block meets itself (side 0) and each other block once (the lower is side 1, the higher side 2)."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(F.least(o, F.col("block")).alias("p"), F.greatest(o, F.col("block")).alias("q"), F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("side")),
+    )
+    return rows.select(*columns, F.explode(meets).alias("m")).select(*columns, "m.*")
+
+
 def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of ``hundredths``/100 or more over their shingle sets.
 
@@ -261,7 +298,7 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     judged = sized.select("a", "b", _margin("regs_a", "regs_b", F.lit(threshold)).alias("j")).where("j >= 0")
     proposed = judged.groupBy("b").agg(F.max_by("a", F.struct("j", (-F.col("a")).alias("a"))).alias("a")).select("a", "b")
     wanted = member.select("rep").distinct()
-    sets = written(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "rep long, set array<long>").dropDuplicates(["rep"]))
+    sets = written(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "rep long, set array<long>"))
     x, y = (sets.select(F.col("rep").alias(k), F.col("set").alias(f"set_{n}")) for k, n in (("a", "x"), ("b", "y")))
     links = written(proposed.join(x, "a").join(y, "b").select("a", "b", "set_x", "set_y").mapInArrow(_common(hundredths), "a long, b long"))
     comp = written(components(links))
@@ -269,21 +306,15 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     # Buckets whose members still are in several components; groups of them that share no bucket.
     named = comp.select(F.col("id").alias("rep"), "comp")
     placed = member.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("least"), F.count("*").alias("members")).where("lo < hi")
-    spokes = written(placed.join(mixed.select("band", "key", "least"), ["band", "key"]).select("rep", "comp", "least").distinct())
-    groups = components(spokes.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    inside = spokes.select("rep", "comp").distinct().join(groups.select(F.col("id").alias("rep"), F.col("comp").alias("grp")), "rep")
-    inside = written(inside.join(light.select("rep", "n_shingles"), "rep"))
-    weights = inside.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("rows")).where("rows > 1")
-    # A block meets itself (side 0) and each other block once (the lower is side 1, the higher side 2).
-    blocked = inside.join(weights.select("grp", "blocks"), "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(F.least(o, F.col("block")).alias("p"), F.greatest(o, F.col("block")).alias("q"), F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("side")),
-    )
-    full = blocked.join(light.select("rep", "regs"), "rep").join(sets, "rep")
-    paired = full.select("grp", "rep", "comp", "regs", "set", F.explode(meets).alias("m")).select("grp", "rep", "comp", "regs", "set", "m.*")
-    merges = paired.groupBy("grp", "p", "q").applyInPandas(_merges(hundredths), "a long, b long")
+    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    many = mixed.select("band", "key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    facing = _facing(placed.join(many, ["band", "key"]).join(light, "rep"), ["band", "key", "rep", "comp", "regs", "n_shingles"])
+    trees = written(facing.groupBy("band", "key", "p", "q").applyInPandas(_forest(hundredths), "a long, b long"))
+    groups = written(components(trees))
+    inside = groups.select(F.col("id").alias("rep"), F.col("comp").alias("grp")).join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(light, "rep")
+    weights = inside.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    full = _facing(inside.join(weights, "grp").join(sets, "rep"), ["grp", "rep", "comp", "regs", "set"])
+    merges = full.groupBy("grp", "p", "q").applyInPandas(_merges(hundredths), "a long, b long")
     comp = written(components(links.unionByName(merges)).select(F.col("id").alias("rep"), "comp"))
 
     ids = reps.select("rep", "set_a", "set_b", "n_shingles")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import hyperminhash, toxicity_crf, winnow
+from lamina.llm import hyperminhash, secret_entropy, toxicity_crf, unigram, winnow
 from lamina.llm.common import table
 
 
@@ -19,6 +19,15 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", "spans")
 
 
+def op3_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = unigram.encode_frame(table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_bytes", "round_trip", "ids")
+
+
+def op4_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_entropy.report(table(spark, sf_dir, "documents"))
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,10 +39,12 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_crf": op1_toxicity_crf,
+        "op3_unigram": op3_unigram,
+        "op4_secret_entropy": op4_secret_entropy,
         "op6_hyperminhash": op6_hyperminhash,
         "op8_winnowing": op8_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_secret_entropy": secret_entropy.oracle()}
