@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import hyperminhash, secret_entropy, toxicity_crf, unigram, winnow
+from lamina.llm import hyperminhash, line_spread, pii_bootstrap, quote_links, secret_entropy, toxicity_crf, unigram, winnow
 from lamina.llm.common import table
 
 
@@ -28,23 +28,38 @@ def op4_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_entropy.report(table(spark, sf_dir, "documents"))
 
 
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.report(table(spark, sf_dir, "documents"))
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_crf": op1_toxicity_crf,
         "op3_unigram": op3_unigram,
         "op4_secret_entropy": op4_secret_entropy,
+        "op5_line_spread": op5_line_spread,
         "op6_hyperminhash": op6_hyperminhash,
+        "op7_quote_links": op7_quote_links,
         "op8_winnowing": op8_winnowing,
+        "op9_pii_bootstrap": op9_pii_bootstrap,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_entropy": secret_entropy.oracle()}
+    return {"op4_secret_entropy": secret_entropy.oracle(), "op5_line_spread": line_spread.oracle()}
