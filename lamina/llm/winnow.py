@@ -2,7 +2,7 @@
 
 Texts become word arrays. A k-gram of ``K_WORDS`` words is hashed at every word,
 and of every ``WINDOW - K_WORDS + 1`` successive hashes the least is kept, the
-last one on ties. Two texts that share ``WINDOW`` successive words share all the
+first one on ties. Two texts that share ``WINDOW`` successive words share all the
 hashes of such a window, so they keep a common fingerprint: the join of training
 and test fingerprints misses no span of ``WINDOW`` words or more. Each common
 fingerprint gives a diagonal (document position less item position); along it
@@ -35,7 +35,7 @@ BROADCAST_ROWS = 200_000
 def words(text: Column) -> Column:
     """Lower-cased words; no word is empty."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
-    return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
 def gram(w: Column, i: Column, k: int) -> Column:
@@ -43,24 +43,32 @@ def gram(w: Column, i: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(w, i + j) for j in range(k)])
 
 
+def packed(w: Column, i: Column, k: int) -> Column:
+    """One long that orders by the k-gram's hash, then its position; the hash has 37 bits, the position 26."""
+    return F.shiftrightunsigned(gram(w, i, k), 27).bitwiseAND(F.lit(2**37 - 1)) * F.lit(2**26) + i
+
+
 def every_gram(w: Column, k: int) -> Column:
-    """(hash, position) structs of all k-grams."""
-    return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(gram(w, i, k).alias("h"), i.alias("at")))
+    """Packed hashes of all k-grams."""
+    return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: packed(w, i, k))
 
 
 def fingerprints(w: Column, k: int = K_WORDS, window: int = WINDOW) -> Column:
-    """Winnowed (hash, position) structs of a word array: the least hash of each window, the last on ties.
+    """Packed winnowed k-grams of a word array: the least hash of each window, the first on ties.
 
-    Empty where the array is shorter than a window.
+    Null where the array is shorter than a window.
     """
     n = window - k + 1
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(gram(w, i, k).alias("h"), (-i).alias("at")))
-    grams = F.when(F.size(w) >= window, hashes)
+    grams = F.when(F.size(w) >= window, every_gram(w, k))
     kept = lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - n + 1), lambda j: F.array_min(F.slice(g, j, n)))
     # Bound to a variable: a lambda would compute an outer expression anew for each element.
     return F.flatten(F.transform(F.array(grams), lambda g: F.array_distinct(kept(g))))
 
 
+def unpacked(v: Column) -> list[Column]:
+    return [F.shiftrightunsigned(v, 26).alias("h"), v.bitwiseAND(F.lit(2**26 - 1)).cast("int").alias("at")]
+
+
 def _wide(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias(key), words(F.col("text").cast("string")).alias("w"))
 
@@ -70,27 +78,39 @@ def matched_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
 
     A span is a run of at least ``window`` equal words, or a whole shorter item.
     """
-    d = _wide(docs, "doc_id")
-    it = written(items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0).distinct().withColumn("item", F.xxhash64("item_id", "w")))
-    test = it.select("item", F.explode(fingerprints(F.col("w"), k, window)).alias("f")).select("item", F.col("f.h").alias("h"), (-F.col("f.at")).alias("at"))
-    short = it.where(F.size("w") < window)
-    lengths = sorted(r[0] for r in short.select(F.size("w").alias("n")).distinct().collect())  # at most window - 1 numbers
-    whole = F.expr("case " + " ".join(f"when size(w) = {n} then xxhash64({', '.join(f'get(w, {j})' for j in range(n))})" for n in lengths) + " end") if lengths else F.lit(None).cast("long")
-    test = test.unionByName(short.select("item", whole.alias("h"), F.lit(0).alias("at")))
-    test = written(test)
-
-    shapes = [F.transform(fingerprints(F.col("w"), k, window), lambda f: F.struct(f["h"].alias("h"), (-f["at"]).alias("at")))]
-    for n in lengths:
-        shapes.append(F.when(F.size("w") >= n, every_gram(F.col("w"), n)))
-    none = F.array().cast("array<struct<h:bigint,at:int>>")
-    prints = F.concat(*[F.coalesce(s, none) for s in shapes])
-    train = d.select("doc_id", F.explode(prints).alias("f")).select("doc_id", "f.h", "f.at")
-    side = test.select("h", "item", F.col("at").alias("item_at"))
-    if test.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    diagonals = written(train.join(side, "h").select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
-
-    texts = d.join(diagonals.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return Matches(docs, items, window, k).spans
+
+
+class Matches:
+    """Fingerprints, diagonals and spans of one run; ``sizes`` has the documents' numbers of words."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K_WORDS) -> None:
+        d = _wide(docs, "doc_id")
+        it = written(items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0).distinct().withColumn("item", F.xxhash64("item_id", "w")))
+        test = it.select("item", F.explode(fingerprints(F.col("w"), k, window)).alias("v"))
+        short = it.where(F.size("w") < window)
+        lengths = sorted(r[0] for r in short.select(F.size("w").alias("n")).distinct().collect())  # at most window - 1 numbers
+        for n in lengths:
+            test = test.unionByName(short.where(F.size("w") == n).select("item", packed(F.col("w"), F.lit(0), n).alias("v")))
+        test = written(test.select("item", *unpacked(F.col("v"))))
+
+        shapes = [fingerprints(F.col("w"), k, window), *(F.when(F.size("w") >= n, every_gram(F.col("w"), n)) for n in lengths)]
+        none = F.array().cast("array<bigint>")
+        # The only pass over all texts.
+        prints = written(d.select("doc_id", F.size("w").cast("long").alias("n_words"), F.concat(*[F.coalesce(s, none) for s in shapes]).alias("prints")))
+        self.sizes = prints.select("doc_id", "n_words")
+        train = prints.select("doc_id", F.explode("prints").alias("v")).select("doc_id", *unpacked(F.col("v")))
+        side = test.select("h", "item", F.col("at").alias("item_at"))
+        if test.count() <= BROADCAST_ROWS:
+            side = F.broadcast(side)
+        diagonals = written(train.join(side, "h").select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+        hit = docs.join(diagonals.select(F.col("doc_id").alias("hit_id")).distinct(), F.col("doc_id").cast("long") == F.col("hit_id"), "left_semi")
+        texts = _wide(hit, "doc_id").dropDuplicates(["doc_id"])
+        self.spans = _extended(diagonals, texts, it, window)
+
+
+def _extended(diagonals: DataFrame, texts: DataFrame, it: DataFrame, window: int) -> DataFrame:
+    """Runs of equal words along the diagonals that are long enough."""
     both = diagonals.join(texts, "doc_id").join(it.select("item", "item_id", F.col("w").alias("iw")), "item")
     lo = F.greatest(F.lit(0), -F.col("shift"))
     hi = F.least(F.size("iw"), F.size("w") - F.col("shift")) - 1
@@ -115,7 +135,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 5) -> DataFr
 
     Contaminated: a hit, and hit words of ``percent``/100 of all words or more.
     """
-    spans = written(matched_spans(docs, items))
+    found = Matches(docs, items)
+    spans = written(found.spans)
     # Spans of one document are merged in order; the number of its spans is bounded by its length.
     ordered = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("s"), F.array_sort(F.collect_set("item_id")).alias("ids"))
     covered = F.aggregate(
@@ -125,7 +146,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 5) -> DataFr
         lambda acc: acc["n"],
     )
     hits = ordered.select("doc_id", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(words(F.col("text").cast("string"))).cast("long").alias("n_words")).dropDuplicates(["doc_id"])
+    sizes = found.sizes.dropDuplicates(["doc_id"])
     out = sizes.join(hits, "doc_id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
