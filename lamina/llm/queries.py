@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import hyperminhash, line_spread, pii_bootstrap, quote_links, secret_entropy, toxicity_crf, unigram, winnow
-from lamina.llm.common import table
+from lamina.llm import chroma, html_mincut, hyperminhash, line_spread, pii_bootstrap, quote_links, secret_entropy, toxicity_crf, unigram, winnow
+from lamina.llm.common import table, written
 
 
 def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", "spans")
 
 
+def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector is read as a short mono recording; queries are the ids divisible by 100, against all rows."""
+    prints = written(chroma.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    return chroma.aligned(prints, prints.where(F.col("rec_id") % 100 == 0))
+
+
 def op3_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = unigram.encode_frame(table(spark, sf_dir, "documents"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_bytes", "round_trip", "ids")
@@ -48,9 +54,14 @@ def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.report(table(spark, sf_dir, "documents"))
 
 
+def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_crf": op1_toxicity_crf,
+        "op2_chroma": op2_chroma,
         "op3_unigram": op3_unigram,
         "op4_secret_entropy": op4_secret_entropy,
         "op5_line_spread": op5_line_spread,
@@ -58,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quote_links": op7_quote_links,
         "op8_winnowing": op8_winnowing,
         "op9_pii_bootstrap": op9_pii_bootstrap,
+        "op10_html_mincut": op10_html_mincut,
     }
 
 

@@ -245,8 +245,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_ch
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]), clean_weight=weight)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score, n_toxic, spans`` (code point offsets ``start, end`` and the marginal ``p``) of every whole text."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """Columns ``keep`` and ``score, n_toxic, spans`` (code point offsets ``start, end`` and the marginal ``p``) of every whole text.
+
+    ``prefix`` is put before the three names where they clash with kept ones.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -254,22 +257,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for lo, hi in K.slices(batch.column("text")):
+            for lo, hi in K.slices(batch.column(names[-1])):
                 part = batch.slice(lo, hi - lo)
-                raw, starts, ends, first, form, forms = tokens(part.column("text"))
+                text = part.column(names[-1])
+                raw, starts, ends, first, form, forms = tokens(text)
                 p = marginals(emissions(m, forms)[form], first, m.trans) if len(form) else np.zeros(0)
                 x = evidence(p, first)
                 hot = np.flatnonzero(p > 0.5)
                 # Code points before a byte: the bytes that do not continue a character.
                 lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                 row = np.searchsorted(first, hot, side="right") - 1
-                base = lead[K.buffers(part.column("text"))[1][:-1]]
+                base = lead[K.buffers(text)[1][:-1]]
                 spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for i, s, e, q in zip(row.tolist(), (lead[starts[hot]] - base[row]).tolist(), (lead[ends[hot]] - base[row]).tolist(), p[hot].tolist(), strict=True):
                     spans[i].append({"start": s, "end": e, "p": q})
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(doc_scores(m, x)), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], names=["doc_id", "score", "n_toxic", "spans"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(doc_scores(m, x)), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], names=[*keep, *(f"{prefix}{k}" for k in ("score", "n_toxic", "spans"))])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_toxic long, spans array<struct<start:int,end:int,p:double>>")
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_tox_text"))
+    names = rows.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
+    return rows.mapInArrow(run, f"{kinds}, {prefix}score double, {prefix}n_toxic long, {prefix}spans array<struct<start:int,end:int,p:double>>")
 
 
 ship(__name__)
