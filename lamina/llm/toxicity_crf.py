@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lamina.llm import kernels as K
 from lamina.llm.common import ship, small_batches
 
-MAX_TRAIN = 2500
+MAX_TRAIN = 1800
 MAX_TRAIN_CHARS = 20_000
 #: Lengths of the word starts that are features beside the whole form.
 STARTS = (4, 5, 6, 7, 8)
