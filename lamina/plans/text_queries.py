@@ -44,9 +44,9 @@ def fn10(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.truncated(F.col("text"), 350).alias("peek"))
 
 
-@query("fn11_chunk_text", "SELECT doc_id, '[layer=' || lang || ' path=' || source || '>' || lang || ']' || chr(10) || trim(substr(text, 1, 40), ' ') AS chunk FROM documents")
+@query("fn11_chunk_text", "SELECT doc_id, '[layer=' || lang || ' path=' || source || '>' || lang || ']' || chr(10) || trim(text, ' ') AS chunk FROM documents")
 def fn11(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.chunk_text(F.col("lang"), F.array("source", "lang"), F.substring("text", 1, 40)).alias("chunk"))
+    return t.documents.select("doc_id", T.chunk_text(F.col("lang"), F.array("source", "lang"), F.col("text")).alias("chunk"))
 
 
 @query("fn12_layer_of", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'urn:other:' || lang END AS layer FROM documents")
@@ -86,9 +86,9 @@ def fn20(t: Tables) -> DataFrame:
     return t.nation.select("n_name", F.concat(F.lit("refs/heads/"), "n_name").alias("branch"), F.concat(F.lit("refs/tags/"), "n_name").alias("tag"))
 
 
-@query("fn21_xml_escape", "SELECT page_id, replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+@query("fn21_xml_escape", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
 def fn21(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", T.xml_escaped(F.substring("html", 1, 200), attribute=True).alias("escaped"))
+    return t.pages.select("page_id", T.xml_escaped(F.col("html"), attribute=True).alias("escaped"))
 
 
 @query("fn22_extract_scores", "SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS score FROM events")
@@ -126,9 +126,9 @@ def prj4(t: Tables) -> DataFrame:
     return t.documents.where(F.col("source").contains("1") | F.col("source").contains("rc7")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("prj5_aggregate_results", "SELECT conv_id, count(*) AS n, string_agg(substr(text, 1, 20), chr(10) ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
+@query("prj5_aggregate_results", "SELECT conv_id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
 def prj5(t: Tables) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("x"))))
+    parts = F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("x"))))
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), parts.alias("p")).select("conv_id", "n", F.array_join(F.transform("p", lambda x: x["x"]), "\n").alias("texts"))
 
 

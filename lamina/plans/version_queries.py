@@ -318,26 +318,26 @@ def win8(t: Tables) -> DataFrame:
     return commits(t).select("commit", F.lag("commit").over(Window.partitionBy("conv_id").orderBy("turn")).alias("parent"))
 
 
-TIPS = "tips AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id HAVING conv_id % 5 = 0)"
+TIPS = "tips AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id)"
 
 
 @query("top5_walk_history", f"WITH {COMMITS}, {TIPS} SELECT 'k' || t.conv_id || '.' || t.turn AS start, c.commit, t.turn - c.turn AS depth, t.turn - c.turn + 1 AS position FROM tips t JOIN commits c USING (conv_id) WHERE t.turn - c.turn < 4")
 def top5(t: Tables) -> DataFrame:
-    c = commits(t).where("conv_id % 5 = 0")
+    c = commits(t)
     tips = c.groupBy("conv_id").agg(F.max_by("commit", "turn").alias("commit"))
     return V.log(tips, c.where("parent is not null"), limit=4)
 
 
 @query("wrk12_log", f"WITH {COMMITS}, {TIPS} SELECT 'k' || t.conv_id || '.' || t.turn AS start, count(*) AS n FROM tips t JOIN commits c USING (conv_id) GROUP BY 1")
 def wrk12(t: Tables) -> DataFrame:
-    c = commits(t).where("conv_id % 5 = 0")
+    c = commits(t)
     tips = c.groupBy("conv_id").agg(F.max_by("commit", "turn").alias("commit"))
     return V.log(tips, c.where("parent is not null")).groupBy("start").agg(F.count("*").alias("n"))
 
 
 @query("grf5_common_ancestor", f"WITH {COMMITS}, {TIPS} SELECT 'k' || conv_id || '.' || turn AS a, 'k' || conv_id || '.' || (turn // 2) AS b, 'k' || conv_id || '.' || (turn // 2) AS ancestor, turn - turn // 2 AS distance FROM tips")
 def grf5(t: Tables) -> DataFrame:
-    c = commits(t).where("conv_id % 5 = 0")
+    c = commits(t)
     tips = c.groupBy("conv_id").agg(F.max("turn").alias("turn"))
     name = lambda turn: F.concat(F.lit("k"), F.col("conv_id").cast("string"), F.lit("."), turn.cast("string"))
     return V.common_ancestors(tips.select(name(F.col("turn")).alias("a"), name(F.floor(F.col("turn") / 2)).alias("b")), c.where("parent is not null"))
@@ -349,16 +349,16 @@ def grf5(t: Tables) -> DataFrame:
   CASE WHEN conv_id % 3 = 0 THEN 'create' WHEN conv_id % 3 = 1 OR turn = 0 THEN 'up-to-date' ELSE 'fast-forward' END AS step FROM tips""",
 )
 def grf10(t: Tables) -> DataFrame:
-    c = commits(t).where("conv_id % 5 = 0")
+    c = commits(t)
     tips = c.groupBy("conv_id").agg(F.max_by("commit", "turn").alias("hash"), F.min_by("commit", "turn").alias("root"))
     name = F.concat(F.lit("b"), F.col("conv_id").cast("string")).alias("name")
     target = tips.where("conv_id % 3 <> 0").select(name, F.when(F.col("conv_id") % 3 == 1, F.col("hash")).otherwise(F.col("root")).alias("hash"))
     return V.sync_plan(tips.select(name, "hash"), target, c.where("parent is not null"), "ff-only")
 
 
-@query("jon21_ancestry", f"WITH {COMMITS} SELECT commit AS a, 'k' || conv_id || '.0' AS b, turn AS distance FROM commits WHERE conv_id % 10 = 0 AND turn > 0")
+@query("jon21_ancestry", f"WITH {COMMITS} SELECT commit AS a, 'k' || conv_id || '.0' AS b, turn AS distance FROM commits WHERE turn > 0")
 def jon21(t: Tables) -> DataFrame:
-    c = commits(t).where("conv_id % 10 = 0")
+    c = commits(t)
     h = V.history(c.select("commit"), c.where("parent is not null"))
     return h.where("commit like '%.0' and start <> commit").select(F.col("start").alias("a"), F.col("commit").alias("b"), F.col("depth").alias("distance"))
 

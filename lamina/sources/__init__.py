@@ -1 +1 @@
-
+"""Sources and sinks: XML documents as node tables, files, stores."""
