@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,27 +192,18 @@ def rows_of(path: str, content: str | None, hashes: bool = True) -> list[dict]:
 
 def shred(files: DataFrame, hashes: bool = True) -> DataFrame:
     """The node table of ``files(path, content)``."""
-    names = [c.strip().split(" ")[0] for c in _columns(NODES)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = pd.DataFrame(rows_of(path, content, hashes), dtype=object).reindex(columns=names)
-                for c in ("pre", "post", "last", "parent_pre", "level", "ord", "line_start", "line_end"):
-                    rows[c] = rows[c].astype("Int64")
-                yield rows.where(rows.notna(), None)
-
-    return files.select("path", "content").mapInPandas(run, NODES)
-
-
-def _columns(schema: str) -> list[str]:
-    out, depth, at = [], 0, 0
-    for i, ch in enumerate(schema):
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and not depth:
-            out.append(schema[at:i])
-            at = i + 1
-    return [*out, schema[at:]]
+    attr = pa.struct([(k, pa.string()) for k in ("local_name", "ns_uri", "prefix", "value")])
+    long, text = ("pre", "post", "last", "parent_pre"), ("ancestor_ids", "ancestor_names")
+    kinds = {**dict.fromkeys(long, pa.int64()), **dict.fromkeys(("level", "ord", "line_start", "line_end"), pa.int32()), **dict.fromkeys(text, pa.list_(pa.string())), "attrs": pa.list_(attr)}
+    names = "path pre post last parent_pre level ord kind local_name ns_uri prefix attrs id xml_id text ancestor_ids ancestor_names line_start line_end hash inclusive_hash".split()
+    schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist(rows_of(path, content, hashes), schema)
+
+    return files.select("path", "content").mapInArrow(run, NODES)
 
 
 def well_formed(nodes: DataFrame) -> DataFrame:
