@@ -204,49 +204,129 @@ def linked(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
     return 100 * inter >= hundredths * (len(x) + len(y) - inter)
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with the groups' bounds; rows come sorted by the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if batch.num_rows == 0:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(rows.num_rows, dtype=bool)
+        change[0] = True
+        for k in range(keys):
+            v = rows.column(k).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(change)
+        if len(starts) > 1:  # the last group may go on in the next batch
+            yield rows.slice(0, starts[-1]), starts
+        held = rows.slice(starts[-1]).to_batches()
+    if held and sum(b.num_rows for b in held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, np.array([0, rows.num_rows])
+
+
+def _regs(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+
+
+def _pairs_within(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs inside groups with the given bounds."""
+    size = np.diff(starts)
+    left, right = [], []
+    for m in np.unique(size).tolist():
+        if m > 1:
+            i, j = np.triu_indices(m, 1)
+            at = starts[:-1][size == m][:, None]
+            left.append((at + i).ravel())
+            right.append((at + j).ravel())
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+#: Groups up to this size are compared all at once, pair by pair; the number of pairs is linear in the rows.
+SMALL = 12
+
+
+def _alike_size(a: np.ndarray, b: np.ndarray, hundredths: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= hundredths * np.maximum(a, b)
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    own = bool((side == 0).any())
+    left = np.flatnonzero(side != 2)
+    return left, (left if own else np.flatnonzero(side == 2)), own
+
+
 def _forest(hundredths: int):
-    """Spanning forest of the pairs of a block pair that may be linked and are in several components."""
+    """Spanning forest of the pairs of each block pair that may be linked and are in several components."""
     threshold = hundredths / 100
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(-1, REGISTERS)
-        reps, side, comp, size = (pdf[k].to_numpy() for k in ("rep", "side", "comp", "n_shingles"))
-        tree = np.arange(len(reps))
-        own = bool((side == 0).any())
-        left = np.flatnonzero(side != 2)
-        right = left if own else np.flatnonzero(side == 2)
-        edges = []
-        for at, i in enumerate(left.tolist()):
-            others = right[at + 1 :] if own else right
-            fits = (comp[others] != comp[i]) & (tree[others] != tree[i])
-            others = others[fits & (100 * np.minimum(size[others], size[i]) >= hundredths * np.maximum(size[others], size[i]))]
-            if len(others):
-                for o in others[passes(regs[i][None, :], regs[others], threshold)].tolist():
-                    if tree[o] != tree[i]:
-                        edges.append((reps[i], reps[o]))
-                        tree[tree == tree[o]] = tree[i]
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    return compare
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in groups_of(batches, 4):
+            if starts[-1] != rows.num_rows:
+                starts = np.append(starts, rows.num_rows)
+            regs = _regs(rows)
+            reps, side, comp, size = (rows.column(k).to_numpy() for k in ("rep", "side", "comp", "n_shingles"))
+            tree = np.arange(len(reps))
+            edges: list[tuple[int, int]] = []
+
+            def root(i: int, tree: np.ndarray = tree) -> int:
+                while tree[i] != i:
+                    tree[i] = tree[tree[i]]
+                    i = tree[i]
+                return int(i)
+
+            def join(i: int, o: int, tree: np.ndarray = tree, edges: list = edges, reps: np.ndarray = reps, root=root) -> None:
+                x, y = root(i), root(o)
+                if x != y:
+                    edges.append((reps[i], reps[o]))
+                    tree[y] = x
+
+            width = np.diff(starts)
+            small = (width <= SMALL) & (width > 1)
+            for at in range(0, len(width), 20_000):
+                own = np.flatnonzero(small[at : at + 20_000]) + at
+                # Bounds of the small groups, put side by side.
+                index = np.concatenate([np.arange(starts[g], starts[g + 1]) for g in own.tolist()]) if len(own) else np.zeros(0, np.int64)
+                x, y = _pairs_within(np.concatenate([[0], np.cumsum(width[own])]))
+                x, y = index[x], index[y]
+                fits = (comp[x] != comp[y]) & _alike_size(size[x], size[y], hundredths)
+                x, y = x[fits], y[fits]
+                for part in range(0, len(x), 50_000):
+                    i, o = x[part : part + 50_000], y[part : part + 50_000]
+                    good = passes(regs[i], regs[o], threshold)
+                    for p, q in zip(i[good].tolist(), o[good].tolist(), strict=True):
+                        join(p, q)
+            for g in np.flatnonzero(width > SMALL).tolist():
+                base = int(starts[g])
+                left, right, alone = _sides(side[base : starts[g + 1]])
+                label = np.arange(starts[g + 1] - base)  # trees of this group
+                for at, i in enumerate(left.tolist()):
+                    others = right[at + 1 :] if alone else right
+                    others = others[label[others] != label[i]]
+                    others = others[(comp[base + others] != comp[base + i]) & _alike_size(size[base + others], size[base + i], hundredths)]
+                    if len(others):
+                        for o in others[passes(regs[base + i][None, :], regs[base + others], threshold)].tolist():
+                            if label[o] != label[i]:
+                                edges.append((reps[base + i], reps[base + o]))
+                                label[label == label[o]] = label[i]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def _merges(hundredths: int):
-    """Links between components of a block pair; rows of side 1 against rows of side 2, or a block (side 0) against itself."""
+    """Links between components of each block pair; rows of side 1 against rows of side 2, or a block (side 0) against itself."""
     threshold = hundredths / 100
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(-1, REGISTERS)
-        reps, side, sets = pdf["rep"].to_numpy(), pdf["side"].to_numpy(), pdf["set"].to_numpy()
-        comp = pdf["comp"].to_numpy().copy()
-        size = np.array([len(x) for x in sets])
-        own = bool((side == 0).any())
-        left = np.flatnonzero(side != 2)
-        right = left if own else np.flatnonzero(side == 2)
+    def compare(regs: np.ndarray, reps: np.ndarray, side: np.ndarray, comp: np.ndarray, size: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        comp = comp.copy()
+        left, right, own = _sides(side)
         links = []
         for at, i in enumerate(left.tolist()):
             others = right[at + 1 :] if own else right
-            fits = (comp[others] != comp[i]) & (100 * np.minimum(size[others], size[i]) >= hundredths * np.maximum(size[others], size[i]))
-            others = others[fits]
+            others = others[(comp[others] != comp[i]) & _alike_size(size[others], size[i], hundredths)]
             if not len(others):
                 continue
             j, _ = estimate(regs[i][None, :], regs[others])
@@ -255,9 +335,28 @@ def _merges(hundredths: int):
                 if comp[o] != comp[i] and linked(sets[i], sets[o], hundredths):
                     links.append((min(reps[i], reps[o]), max(reps[i], reps[o])))
                     comp[comp == comp[o]] = comp[i]
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in groups_of(batches, 3):
+            if starts[-1] != rows.num_rows:
+                starts = np.append(starts, rows.num_rows)
+            regs = _regs(rows)
+            reps, side, comp, size = (rows.column(k).to_numpy() for k in ("rep", "side", "comp", "n_shingles"))
+            column = rows.column("set").combine_chunks()
+            flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            sets = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            links: list[tuple[int, int]] = []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                links += compare(regs[a:b], reps[a:b], side[a:b], comp[a:b], size[a:b], sets[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
 
-    return compare
+def _sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
+    """Groups as runs of rows, so that many small ones share a task's call."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
 def _facing(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -309,12 +408,14 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     many = mixed.select("band", "key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     facing = _facing(placed.join(many, ["band", "key"]).join(light, "rep"), ["band", "key", "rep", "comp", "regs", "n_shingles"])
-    trees = written(facing.groupBy("band", "key", "p", "q").applyInPandas(_forest(hundredths), "a long, b long"))
+    facing = facing.select("band", "key", "p", "q", "rep", "comp", "regs", "n_shingles", "side")
+    trees = written(_sorted_by(facing, "band", "key", "p", "q").mapInArrow(_forest(hundredths), "a long, b long"))
     groups = written(components(trees))
     inside = groups.select(F.col("id").alias("rep"), F.col("comp").alias("grp")).join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(light, "rep")
     weights = inside.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    full = _facing(inside.join(weights, "grp").join(sets, "rep"), ["grp", "rep", "comp", "regs", "set"])
-    merges = full.groupBy("grp", "p", "q").applyInPandas(_merges(hundredths), "a long, b long")
+    full = _facing(inside.join(weights, "grp").join(sets, "rep"), ["grp", "rep", "comp", "regs", "n_shingles", "set"])
+    full = full.select("grp", "p", "q", "rep", "comp", "regs", "n_shingles", "set", "side")
+    merges = _sorted_by(full, "grp", "p", "q").mapInArrow(_merges(hundredths), "a long, b long")
     comp = written(components(links.unionByName(merges)).select(F.col("id").alias("rep"), "comp"))
 
     ids = reps.select("rep", "set_a", "set_b", "n_shingles")
