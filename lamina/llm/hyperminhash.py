@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lamina.llm import kernels as K
 from lamina.llm.common import components, ship, small_batches, written
@@ -171,7 +172,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), sets.cast(pa.list_(pa.int64()))], names=["rep", "set"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _margin(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
     """The estimate, negative where it lies too far below the threshold."""
     x, y = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(-1, REGISTERS) for s in (a, b))
