@@ -67,7 +67,8 @@ def passages(lines: Column) -> Column:
 def own_text(lines: Column) -> Column:
     """The message without quoted lines and without lines that introduce a quote."""
     kept = F.filter(lines, lambda x, i: (x["level"] == 0) & ~(x["body"].rlike(INTRO) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)))
-    return F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), r"\n{3,}", "\n\n"))
+    joined = F.array_join(F.transform(kept, lambda x: x["body"]), "\n")
+    return F.regexp_replace(F.regexp_replace(joined, r"\n\s*\n\s*\n", "\n\n"), r"^\s+|\s+$", "")
 
 
 def messages(conversations: DataFrame) -> DataFrame:
