@@ -97,3 +97,111 @@ def sea1(t: Tables) -> DataFrame:
     values = evaluate(n, "//app:item", "text", NS)
     own = n.where("id is not null").select("path", "pre", "id", "ancestor_names", "local_name")
     return own.join(values, ["path", "pre"]).select("id", F.col("path").alias("file"), chunk_text(F.lit("test"), F.concat("ancestor_names", F.array("local_name")), F.col("value")).alias("text"))
+
+
+def changed_files(t: Tables) -> DataFrame:
+    """Region documents with some nations' statuses turned and names changed."""
+    a = region_files(t)
+    b = a.select("path", F.regexp_replace("content", r'id="n(\d*[37])" status="(in)?active"', 'id="n$1" status="gone"').alias("b"))
+    return a.withColumnRenamed("content", "a").join(b, "path")
+
+
+@query("grf7_xml_diff", f"SELECT {PATH} AS path, 'attribute-changed' AS change, '/root/item[@id=\"n' || n_nationkey || '\"]/@status' AS at, CASE WHEN n_nationkey % 2 = 0 THEN 'active' ELSE 'inactive' END AS old, 'gone' AS new FROM nation WHERE n_nationkey % 10 IN (3, 7)")
+def grf7(t: Tables) -> DataFrame:
+    from lamina.operators.xmldiff import diff_documents
+
+    return diff_documents(changed_files(t))
+
+
+@query("jon13_xml_merge", f"SELECT {PATH} AS path, count(*) AS items, count(*) FILTER (n_nationkey % 10 IN (3, 7)) AS gone, 0 AS conflicts FROM nation GROUP BY n_regionkey")
+def jon13(t: Tables) -> DataFrame:
+    from lamina.operators.xmldiff import merge_documents
+
+    f = changed_files(t)
+    merged = merge_documents(f.select("path", "a", F.col("b").alias("o"), F.regexp_replace("a", "</root>", '<extra id="z"/></root>').alias("t")))
+    n = X.shred(merged.select("path", F.col("xml").alias("content"))).where("local_name = 'item'")
+    gone = F.count_if(F.exists("attrs", lambda a: a["value"] == "gone"))
+    return n.groupBy("path").agg(F.count("*").alias("items"), gone.alias("gone")).join(merged.select("path", F.size("conflicts").alias("conflicts")), "path")
+
+
+def spec_files(t: Tables) -> DataFrame:
+    """A spec: an index that lists a file per region (and one that is missing), sections that reference nations, mappings with ranges."""
+    section = F.concat(F.lit('<p:section id="n'), F.col("n_nationkey").cast("string"), F.lit('"><t:ref term="r'), F.col("n_regionkey").cast("string"), F.lit('"/></p:section><r:relation type="refines" from="n'), F.col("n_nationkey").cast("string"), F.lit('" to="x'), (F.col("n_nationkey") % 4).cast("string"), F.lit('"/><m:mapping id="m'), F.col("n_nationkey").cast("string"), F.lit('"><m:spec-ref node="n'), F.col("n_nationkey").cast("string"), F.lit('" node-hash="sha256:1"/><m:artifact path="a.py"><m:range start-line="'), F.col("n_nationkey").cast("string"), F.lit('" end-line="30"/></m:artifact></m:mapping>'))
+    head = '<s:spec xmlns:s="urn:s" xmlns:i="urn:i" xmlns:p="urn:p" xmlns:t="urn:t" xmlns:r="urn:r" xmlns:m="urn:m">'
+    per = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", section.alias("x")))).alias("a"))
+    files = per.select(F.concat(F.lit("spec/r"), F.col("n_regionkey").cast("string"), F.lit(".xml")).alias("path"), F.concat(F.lit(head), F.array_join(F.transform("a", lambda s: s["x"]), ""), F.lit("</s:spec>")).alias("content"))
+    entry = F.concat(F.lit('<i:file href="./r'), F.col("r_regionkey").cast("string"), F.lit('.xml"/>'))
+    index = t.region.agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("e")).select(F.lit("spec/index.xml").alias("path"), F.concat(F.lit(head), "e", F.lit('<i:file href="missing.xml"/></s:spec>')).alias("content"))
+    return files.unionByName(index)
+
+
+def spec_nodes(t: Tables) -> DataFrame:
+    return X.shred(spec_files(t), hashes=False)
+
+
+@query("src3_spec_files", "SELECT 'spec/r' || r_regionkey || '.xml' AS path FROM region UNION ALL SELECT 'spec/index.xml'")
+def src3(t: Tables) -> DataFrame:
+    from lamina.sources import specs as S
+
+    n = spec_nodes(t)
+    return S.spec_files(n, S.index_files(n, "urn:s", "urn:i"), "urn:i").select("path")
+
+
+@query("src2_index_files", "SELECT 'spec/index.xml' AS path")
+def src2(t: Tables) -> DataFrame:
+    from lamina.sources import specs as S
+
+    return S.index_files(spec_nodes(t), "urn:s", "urn:i")
+
+
+@query("src11_mappings", "SELECT 'm' || n_nationkey AS id, 'n' || n_nationkey AS node, 'a.py' AS artifact_path, 'sha256:1' AS node_hash, n_nationkey || '-30' AS lines FROM nation")
+def src11(t: Tables) -> DataFrame:
+    from lamina.sources import specs as S
+
+    return S.listing(S.mappings(spec_nodes(t), "urn:m"))
+
+
+@query("prj14_mapping_ranges", "SELECT count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS starts FROM nation")
+def prj14(t: Tables) -> DataFrame:
+    from lamina.sources import specs as S
+
+    return S.mappings(spec_nodes(t), "urn:m").select(F.explode("ranges").alias("r")).agg(F.count("*").alias("n"), F.sum("r.start_line").alias("starts"))
+
+
+@query("jon20_synthesised_relations", "SELECT 'term' AS type, 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation")
+def jon20(t: Tables) -> DataFrame:
+    from lamina.sources import specs as S
+
+    return S.synthesised(spec_nodes(t), {"term": ("urn:t", "ref", "term")})
+
+
+@query("set7_union_of_rules", "SELECT type, count(*) AS n FROM (SELECT 'term' AS type FROM nation UNION ALL SELECT 'map' FROM nation) GROUP BY type")
+def set7(t: Tables) -> DataFrame:
+    from lamina.sources import specs as S
+
+    return S.synthesised(spec_nodes(t), {"term": ("urn:t", "ref", "term"), "map": ("urn:m", "spec-ref", "node")}).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("val5_validate", "SELECT 'reference' AS rule, 'x' || k AS detail FROM (SELECT DISTINCT n_nationkey % 4 AS k FROM nation)")
+def val5(t: Tables) -> DataFrame:
+    from lamina.sources import specs as S
+
+    n = spec_nodes(t)
+    return S.validate(n, S.relations(n, "urn:r"), S.index_files(n, "urn:s", "urn:i")).select("rule", "detail")
+
+
+@query("val4_rule_subset", "SELECT count(*) AS n FROM nation WHERE n_nationkey % 4 <> 0")
+def val4(t: Tables) -> DataFrame:
+    from lamina.sources import specs as S
+
+    return S.rule_violations(spec_nodes(t), "urn:r", {"relation": ["type"]}, {("relation", "to"): ["x0"]}, {("relation", "from"): "n[0-9]+"}).agg(F.count("*").alias("n"))
+
+
+@query("drf2_first_existing_path", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'root/' || n_nationkey ELSE 'spec/' || n_nationkey END AS path FROM nation")
+def drf2(t: Tables) -> DataFrame:
+    from lamina.sources import specs as S
+
+    k = F.col("n_nationkey").cast("string")
+    options = t.nation.select(F.col("n_nationkey").alias("id"), F.posexplode(F.array(F.concat(F.lit("root/"), k), F.concat(F.lit("up/"), k), F.concat(F.lit("spec/"), k))).alias("ord", "path"))
+    known = options.where("path like 'spec/%' or (path like 'root/%' and id % 2 = 0)")
+    return S.first_existing(options, known)
