@@ -79,3 +79,10 @@ def _few(queries: DataFrame) -> bool:
 def best_of(hits: DataFrame, k: int = K) -> DataFrame:
     """Union of several queries' hits: the best score per id, score falling, id rising, the first k."""
     return hits.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def hashed_embedding(text: Column, dims: int = 384) -> Column:
+    """Counts of hashed words, scaled to length one: a deterministic stand-in where no model is at hand."""
+    slots = F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
+    counted = F.transform(F.array(slots), lambda s: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double")))[0]
+    return F.transform(F.array(counted), lambda c: F.transform(F.array(F.sqrt(dot(c, c))), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float"))))[0][0]
