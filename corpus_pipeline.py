@@ -15,6 +15,10 @@ from lamina.llm import hyperminhash, line_spread, toxicity_crf, unigram, winnow
 from lamina.llm.common import table, written
 
 
+#: Hundredths of Jaccard similarity from which two documents are near copies.
+NEAR = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_crf.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity_crf.score(docs, model, keep=tuple(docs.columns), prefix="_tox_")
@@ -28,7 +32,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = hyperminhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_near_id"))
+    gone = hyperminhash.near_duplicates(docs, hundredths=NEAR).where("not kept").select(F.col("doc_id").alias("_near_id"))
     return docs.join(written(gone), F.col("doc_id") == F.col("_near_id"), "left_anti")
 
 

@@ -40,8 +40,8 @@ from lamina.llm.common import components, ship, small_batches, written
 WORDS = 5
 REGISTERS = 256
 MANTISSA = 10
-BAND_ROWS = 7
-BANDS = 36
+#: Share of the pairs at the threshold that may share no band.
+MISSED = 5e-6
 #: Standard errors below the threshold at which an estimate still is verified.
 SLACK = 5.0
 #: Rows and shingles of a block in the comparison of a group's members.
@@ -109,11 +109,18 @@ def registers(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, band and 64-bit key of each band that holds a non-empty register."""
-    r = regs[:, : BANDS * BAND_ROWS].reshape(len(regs), BANDS, BAND_ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=U64) + U64(1), r.shape[:2]).copy()
-    for j in range(BAND_ROWS):
+def band_rows(hundredths: int) -> int:
+    """The most registers a band may have for no more than ``MISSED`` of the pairs at the threshold to be lost."""
+    fits = [k for k in range(1, REGISTERS + 1) if (1 - (hundredths / 100) ** k) ** (REGISTERS // k) <= MISSED]
+    return max(fits, default=1)
+
+
+def band_keys(regs: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, band and 64-bit key of each band of ``height`` registers that holds a non-empty one."""
+    bands = REGISTERS // height
+    r = regs[:, : bands * height].reshape(len(regs), bands, height)
+    key = np.broadcast_to(np.arange(bands, dtype=U64) + U64(1), r.shape[:2]).copy()
+    for j in range(height):
         key = K.mix(key * U64(0x9E3779B97F4A7C15) + r[:, :, j].astype(U64))
     row, band = np.nonzero(r.any(axis=2))
     return row, band, key[row, band]
@@ -155,12 +162,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        row, band, key = band_keys(regs)
-        ids = batch.column("rep").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(band.astype(np.int32)), pa.array(_signed(key))], names=["rep", "band", "key"])
+def _bands(height: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+            row, band, key = band_keys(regs, height)
+            ids = batch.column("rep").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(band.astype(np.int32)), pa.array(_signed(key))], names=["rep", "band", "key"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +395,7 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     filled = sketches.where("n_shingles > 0")
     classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min_by("regs", "doc_id").alias("regs"), F.min("doc_id").alias("rep"))
     reps = written(classes)
-    rows = reps.select("rep", "regs").mapInArrow(_bands, "rep long, band int, key long")
+    rows = reps.select("rep", "regs").mapInArrow(_bands(band_rows(hundredths)), "rep long, band int, key long")
     # Buckets of two or more, each with its least member.
     buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("members")).where("members > 1")
     member = written(rows.join(buckets, ["band", "key"]).select("band", "key", "rep", "lead"))

@@ -39,7 +39,7 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), hundredths=85)
 
 
 def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:

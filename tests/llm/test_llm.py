@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lamina.llm import chroma, html_mincut, hyperminhash, kernels, line_spread, pii_bootstrap, quote_links, secret_entropy, toxicity_crf, unigram, winnow
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
@@ -69,6 +70,27 @@ def test_near_duplicates_against_all_pairs(spark):
     assert hyperminhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_pipeline_links_from_four_fifths_on(spark):
+    rows = []
+    for k in range(1, 15):  # of 100 shingles the copy holds all but the last k
+        w = text(700 + k, 104).split()
+        rows += [(k, " ".join(w)), (100 + k, " ".join(w[:-k] + [f"new{k}.{i}" for i in range(k)]))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    alike = {k: len(sets[k] & sets[100 + k]) / len(sets[k] | sets[100 + k]) for k in range(1, 15)}
+    assert any(0.8 <= j < 0.85 for j in alike.values()) and any(j < 0.8 for j in alike.values())
+    df = docs(spark, rows)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert kept == set(alike) | {100 + k for k, j in alike.items() if j < 0.8}
+    linked = {r["doc_id"] for r in hyperminhash.near_duplicates(df, 85).where("not kept").collect()}
+    assert linked == {100 + k for k, j in alike.items() if j >= 0.85}
+
+
+@pytest.mark.parametrize("hundredths, height", [(85, 7), (80, 6)])
+def test_bands_fit_the_threshold(hundredths, height):
+    assert hyperminhash.band_rows(hundredths) == height
+    assert (1 - (hundredths / 100) ** height) ** (hyperminhash.REGISTERS // height) < 5e-6
+
+
 def test_forest_and_merges_cover_blocks():
     base = np.arange(200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     sets = [np.unique(np.concatenate([base[: 200 - k], base[:k] ^ np.uint64(77 + k)])) for k in range(20)]
