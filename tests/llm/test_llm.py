@@ -301,3 +301,35 @@ def test_recordings_align(spark):
     assert got[100, 1]["at_offset"] == -40 // chroma.HOP and got[100, 1]["ber"] == 0
     assert got[100, 3]["class_size"] == 2 and (100, 2) in got and not any(q == 200 for q, _ in got)
     assert prints.where(F.size("print") == 0).count() == 2
+
+
+def test_alignments_against_every_offset(spark):
+    r = np.random.default_rng(8)
+    whole = r.integers(0, 2**32, size=40)
+    prints = [(i, r.integers(0, 2**32, size=n).tolist()) for i, n in ((100, 18), (200, 13), (1, 18), (2, 9), (3, 7), (4, 30))]
+    for i, share in enumerate((0.05, 0.15, 0.2, 0.22)):  # bits differ everywhere: no integer is shared
+        noise = np.array([sum(int(b) << k for k, b in enumerate(r.random(32) < share)) | 1 for _ in range(18)])
+        prints.append((10 + i, (np.array(whole[5 : 23]) ^ noise).tolist()))
+    prints += [(300, whole[:18].tolist()), (11000, whole[:18].tolist()), (400, whole.tolist()), (500, [2**32 - 1] * 12), (20, [2**32 - 1] * 12 + [0] * 4)]
+    want = {}
+    for q, x in prints:
+        for c, y in prints:
+            if q % 100 or c == 11000:
+                continue
+            q_class = 300 if q == 11000 else q
+            if q_class == c != 300:
+                continue
+            found = []
+            for o in range(-len(x), len(y)):
+                over = [(a, a + o) for a in range(len(x)) if 0 <= a + o < len(y)]
+                errors = sum((x[a] ^ y[b]).bit_count() for a, b in over)
+                if len(over) >= 8 and errors <= 8 * len(over):
+                    found.append((errors / (32 * len(over)), -len(over), abs(o), o, sum(x[a] == y[b] for a, b in over), errors))
+            if found:
+                ber, n, _, o, votes, errors = min(found)
+                want[q, c] = (o, votes, -n, errors, ber)
+    assert any(votes == 0 and ber > 0.15 for _, votes, _, _, ber in want.values())
+    df = spark.createDataFrame(prints, "rec_id long, print array<long>")
+    got = {(x["query_id"], x["class_id"]): tuple(x[k] for k in ("at_offset", "votes", "overlap", "bit_errors", "ber")) for x in chroma.aligned(df, df.where("rec_id % 100 = 0")).collect()}
+    assert got == want
+    assert chroma.aligned(df.limit(0), df.limit(0)).count() == 0
