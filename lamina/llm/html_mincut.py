@@ -34,7 +34,9 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\
 ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 SPACE = re.compile(r"[\s]+")
 # Elements by their part in a page, and words of names and roles that mark boilerplate or content.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select xmp noembed noframes".split())
+#: Without a closing tag these hide the rest of the page; of other raw elements only the tag goes.
+TO_END = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul video audio".split())
 NEVER = frozenset("nav footer aside form button head menu dialog fieldset legend label input".split())
@@ -91,6 +93,7 @@ def blocks(page: str) -> list[Block]:
     link_parts: list[str] = []
     links = 0
     at, n = 0, len(page)
+    unclosed: set[str] = set()  # raw elements without a closing tag behind this place
 
     def flush() -> None:
         nonlocal parts, link_parts
@@ -128,8 +131,15 @@ def blocks(page: str) -> list[Block]:
                     if open_blocks[i].tag in ("article", "main", "body", "table") and tag in ("p", "li", "div", "span"):
                         break
         elif tag in RAW:
+            if tag == "svg" and m.group(3).endswith("/") or tag in unclosed:
+                continue
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+            if close:
+                at = close.end()
+            elif tag in TO_END:
+                at = n
+            else:
+                unclosed.add(tag)  # only the tag is left out
         elif tag == "br":
             parts.append("\n")
         elif tag == "a":

@@ -291,6 +291,21 @@ def test_main_text(spark):
     assert got[2] == got[3] == got[4] == ""
 
 
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ('One <svg class="icon" viewBox="0 0 1 1"/> two.', "One two."),
+        ("One <svg/> two <svg><path d='M0'/><text>drawn</text></svg> three.", "One two three."),
+        ("One <math/> two <math><mi>x</mi><mo>=</mo><mn>3</mn></math> three.", "One two x=3 three."),
+        ("One <object data=a>instead</object> <canvas>of it</canvas> two.", "One instead of it two."),
+        ("One <svg> two <iframe> three.", "One two three."),
+        ("One <script>var a = 1; two", "One"),
+    ],
+)
+def test_only_raw_text_goes(inner, want):
+    assert html_mincut.main_text(f"<body><article><p>{inner}</p><p>The last words of it.</p></article></body>") == (want if "script" in inner else f"{want}\nThe last words of it.")
+
+
 def test_recordings_align(spark):
     r = np.random.default_rng(1)
     base = np.convolve(r.normal(size=400), np.ones(3))
