@@ -5,16 +5,18 @@ an ``On ... wrote:`` line before a quote introduces it. Successive lines of one
 level are a passage. Passages and the messages' own paragraphs are normalised
 (case, white space and punctuation do not count) and hashed; a quoted passage is
 joined to the messages that hold it as an own paragraph or as their whole own
-text, and links to the latest one before the quoting message, in its own
-conversation first, else the latest of the least other conversation.
+text, and links to the latest one before the quoting message in its own
+conversation, else to the first one of the least other conversation. Passages
+of few letters are no evidence across conversations and link within one only.
 
 A message's parent is the message that its least deep linked passage comes from,
 or else the one before it in its conversation. Depth and thread follow from
 parents by pointer doubling, which takes as many rounds as the depth's
 logarithm. Reply order lists a thread's messages by turn.
 
-Null texts have no passage. Rows are told apart by (conv_id, turn); of repeated
-rows the one with the least role and text stays. Rows without conv_id or turn
+Null texts have no passage. Every row with a conv_id and a turn stays; rows that
+share both are numbered by role and text, none of them is another's parent, and
+the last is the one a next turn replies to. Rows without conv_id or turn
 are left out. An empty table gives an empty result. Only the four columns are
 read. Hash joins are on passages that occur as quotes only; a passage that very
 many messages hold meets its quotes once per conversation, as messages are
@@ -23,13 +25,13 @@ reduced to the latest holder by (hash, conversation) before the join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import written
 
 INTRO = r"^(On .{0,200}|.{0,80}) (wrote|writes|said):\s*$"
-#: Passages with fewer letters and digits than this are too common to be evidence.
+#: Passages with fewer letters and digits than this are too common to be evidence in other conversations.
 MIN_CHARS = 12
 
 
@@ -72,29 +74,36 @@ def own_text(lines: Column) -> Column:
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """One row per (conv_id, turn): role, lines by level, own text, passages."""
+    """``conv_id, node`` (turn, and number among the rows of that turn), ``role, own`` text, passages ``parts``."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.where("conv_id is not null and turn is not null")
-    one = rows.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
+    copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    one = rows.select("conv_id", F.struct("turn", copy.alias("copy")).alias("node"), "role", "text")
     lined = one.withColumn("lines", levels(F.col("text")))
-    return lined.select("conv_id", "turn", "role", own_text(F.col("lines")).alias("own"), passages(F.col("lines")).alias("parts"))
+    return lined.select("conv_id", "node", "role", own_text(F.col("lines")).alias("own"), passages(F.col("lines")).alias("parts"))
 
 
 def links(m: DataFrame) -> DataFrame:
-    """Linked quoted passages: ``conv_id, turn, level, to_conv, to_turn``."""
+    """Linked quoted passages: ``conv_id, node, level, to_conv, to_node``."""
     digest = lambda c: F.md5(normalised(c))
-    quoted = m.select("conv_id", "turn", F.explode("parts").alias("p")).where("p.level > 0").select("conv_id", "turn", F.col("p.level").alias("level"), F.col("p.text").alias("text"))
-    quoted = quoted.where(F.length(normalised(F.col("text"))) >= MIN_CHARS).select("conv_id", "turn", "level", digest(F.col("text")).alias("h")).distinct()
+    quoted = m.select("conv_id", "node", F.explode("parts").alias("p")).where("p.level > 0").select("conv_id", "node", F.col("p.level").alias("level"), F.col("p.text").alias("text"))
+    size = F.length(normalised(F.col("text")))
+    quoted = quoted.where(size > 0).select("conv_id", "node", "level", digest(F.col("text")).alias("h"), (size >= MIN_CHARS).alias("telling")).distinct()
     whole = F.array(F.col("own"))
     parts = F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"])
-    held = m.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(whole, parts))).alias("t")).select("conv_id", "turn", digest(F.col("t")).alias("h"))
+    held = m.select("conv_id", "node", F.explode(F.array_distinct(F.concat(whole, parts))).alias("t")).select("conv_id", "node", digest(F.col("t")).alias("h"))
     held = held.join(quoted.select("h").distinct(), "h", "left_semi").distinct()
     # In the quoting conversation: the latest holder before the quote.
-    inner = quoted.join(held.withColumnRenamed("turn", "to_turn"), ["h", "conv_id"]).where("to_turn < turn").groupBy("conv_id", "turn", "level", "h").agg(F.max("to_turn").alias("to_turn")).withColumn("to_conv", F.col("conv_id"))
-    # Elsewhere: one holder per passage, the first turn of the least conversation.
-    first = held.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("s"))
-    outer = quoted.join(inner, ["conv_id", "turn", "level", "h"], "left_anti").join(first, "h").where(F.col("s.conv_id") != F.col("conv_id"))
-    both = inner.select("conv_id", "turn", "level", "to_conv", "to_turn").unionByName(outer.select("conv_id", "turn", "level", F.col("s.conv_id").alias("to_conv"), F.col("s.turn").alias("to_turn")))
+    before = F.col("to_node.turn") < F.col("node.turn")
+    inner = quoted.join(held.withColumnRenamed("node", "to_node"), ["h", "conv_id"]).where(before).groupBy("conv_id", "node", "level", "h").agg(F.max("to_node").alias("to_node")).withColumn("to_conv", F.col("conv_id"))
+    # Elsewhere: the first turn of the least other conversation, which is one of the two least that hold the passage.
+    told = quoted.where("telling").join(inner, ["conv_id", "node", "level", "h"], "left_anti")
+    least = lambda name: F.min(F.struct("conv_id", "node")).alias(name)
+    first = held.groupBy("h").agg(least("s"))
+    second = held.join(first, "h").where(F.col("conv_id") != F.col("s.conv_id")).groupBy("h").agg(least("s2"))
+    other = F.when(F.col("s.conv_id") != F.col("conv_id"), F.col("s")).otherwise(F.col("s2"))
+    outer = told.join(first, "h").join(second, "h", "left").withColumn("o", other).where("o is not null")
+    both = inner.select("conv_id", "node", "level", "to_conv", "to_node").unionByName(outer.select("conv_id", "node", "level", F.col("o.conv_id").alias("to_conv"), F.col("o.node").alias("to_node")))
     return both.distinct()
 
 
@@ -103,25 +112,28 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     m = written(messages(conversations))
     found = written(links(m))
     # Least deep passage, then the latest holder.
-    best = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("to_turn")).alias("t"), "to_conv")).alias("b"), F.count("*").alias("n_linked"))
-    best = best.select("conv_id", "turn", "n_linked", F.col("b.to_conv").alias("to_conv"), (-F.col("b.t")).alias("to_turn"))
-    ahead = m.select("conv_id", F.col("turn").alias("at")).groupBy("conv_id").agg(F.array_sort(F.collect_list("at")).alias("turns"))
-    # A conversation's turns are numbered without a window over its rows' texts.
-    numbered = ahead.select("conv_id", F.posexplode("turns").alias("k", "turn"), "turns").select("conv_id", "turn", F.when(F.col("k") > 0, F.get("turns", F.col("k") - 1)).alias("previous"))
-    base = numbered.join(best, ["conv_id", "turn"], "left")
-    inside = F.when(F.col("to_conv") == F.col("conv_id"), F.col("to_turn"))
-    node = written(base.select("conv_id", "turn", "n_linked", "to_conv", "to_turn", F.coalesce(inside, "previous").alias("parent")))
+    best = found.groupBy("conv_id", "node").agg(F.min(F.struct("level", (-F.col("to_node.turn")).alias("t"), "to_conv", (-F.col("to_node.copy")).alias("c"))).alias("b"), F.count("*").alias("n_linked"))
+    best = best.select("conv_id", "node", "n_linked", F.col("b.to_conv").alias("to_conv"), F.struct((-F.col("b.t")).alias("turn"), (-F.col("b.c")).alias("copy")).alias("to_node"))
+    ahead = m.select("conv_id", F.col("node").alias("at")).groupBy("conv_id").agg(F.array_sort(F.collect_list("at")).alias("nodes"))
+    # A conversation's turns are numbered without a window over its rows' texts; the rows of a turn follow the last one of the turn before.
+    previous = F.when(F.col("k") >= F.col("node.copy"), F.get("nodes", F.col("k") - F.col("node.copy")))
+    numbered = ahead.select("conv_id", F.posexplode("nodes").alias("k", "node"), "nodes").select("conv_id", "node", previous.alias("previous"))
+    base = numbered.join(best, ["conv_id", "node"], "left")
+    inside = F.when(F.col("to_conv") == F.col("conv_id"), F.col("to_node"))
+    node = written(base.select("conv_id", "node", "n_linked", "to_conv", "to_node", F.coalesce(inside, "previous").alias("parent")))
     # Pointer doubling: jump is the ancestor 2**k steps up, depth the steps made.
-    walk = node.select("conv_id", "turn", F.coalesce("parent", "turn").alias("jump"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    walk = node.select("conv_id", "node", F.coalesce("parent", "node").alias("jump"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     while True:
-        up = walk.select("conv_id", F.col("turn").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"))
-        nxt = written(walk.join(up, ["conv_id", "jump"]).select("conv_id", "turn", F.col("jump2").alias("jump"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("depth2") > 0).alias("moved")))
+        up = walk.select("conv_id", F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"))
+        nxt = written(walk.join(up, ["conv_id", "jump"]).select("conv_id", "node", F.col("jump2").alias("jump"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("depth2") > 0).alias("moved")))
         walk = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             break
-    shaped = node.join(walk.select("conv_id", "turn", F.col("jump").alias("root_turn"), "depth"), ["conv_id", "turn"])
-    order = shaped.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("root_turn", "turn"))).alias("o")).select("conv_id", F.posexplode("o").alias("position", "x")).select("conv_id", F.col("x.turn").alias("turn"), F.col("position").cast("long").alias("position"))
+    shaped = node.join(walk.select("conv_id", "node", F.col("jump").alias("root"), "depth"), ["conv_id", "node"])
+    order = shaped.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("root", "node"))).alias("o")).select("conv_id", F.posexplode("o").alias("position", "x")).select("conv_id", F.col("x.node").alias("node"), F.col("position").cast("long").alias("position"))
     quotes = F.size(F.filter("parts", lambda p: p["level"] > 0)).cast("long")
-    texts = m.select("conv_id", "turn", "role", "own", quotes.alias("n_quotes"))
-    out = texts.join(shaped, ["conv_id", "turn"]).join(order, ["conv_id", "turn"])
-    return out.select("conv_id", "turn", "role", "own", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "to_conv", "to_turn", "parent", "depth", "root_turn", "position")
+    texts = m.select("conv_id", "node", "role", "own", quotes.alias("n_quotes"))
+    out = texts.join(shaped, ["conv_id", "node"]).join(order, ["conv_id", "node"])
+    turn = lambda name, of: F.col(f"{of}.turn").alias(name)
+    linked = F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")
+    return out.select("conv_id", turn("turn", "node"), "role", "own", "n_quotes", linked, "to_conv", turn("to_turn", "to_node"), turn("parent", "parent"), "depth", turn("root_turn", "root"), "position")

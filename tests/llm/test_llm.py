@@ -243,6 +243,37 @@ def test_quotes_link_and_vanish(spark):
     assert got[3, 1]["parent"] == 0 and got[3, 0]["own"] == ""
 
 
+def test_short_repeated_and_outer_quotes_link(spark):
+    line = "The well behind the mill ran dry."
+    rows = [
+        (1, 0, "a", "Shall we go?"),
+        (1, 1, "b", "Yes, agreed"),
+        (1, 2, "c", "Something else."),
+        (1, 3, "d", "> Yes, agreed\nGood."),
+        (2, 0, "a", "> yes agreed\nToo short to come from elsewhere."),
+        (3, 0, "a", "First question of all."),
+        (3, 1, "b", "The first try."),
+        (3, 1, "b", "The second try of it."),
+        (3, 1, "b", "The second try of it."),
+        (3, 2, "a", "> The first try.\nFine."),
+        (3, 3, "a", "> The second try of it.\nAlso fine."),
+        (4, 0, "a", f"> {line}\n\n{line}"),
+        (4, 1, "b", line),
+        (5, 0, "a", "Nothing.\n\n" + line),
+        (6, 0, "a", line),
+    ]
+    out = quote_links.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == len(rows)
+    got = {(r["conv_id"], r["turn"]): r for r in out}
+    assert (got[1, 3]["parent"], got[1, 3]["n_linked"], got[1, 3]["depth"]) == (1, 1, 2)
+    assert got[2, 0]["n_linked"] == 0 and got[2, 0]["to_conv"] is None
+    assert sorted(r["own"] for r in out if (r["conv_id"], r["turn"]) == (3, 1)) == ["The first try.", "The second try of it.", "The second try of it."]
+    assert {r["parent"] for r in out if (r["conv_id"], r["turn"]) == (3, 1)} == {0}
+    assert [(got[3, k]["parent"], got[3, k]["depth"], got[3, k]["n_linked"]) for k in (2, 3)] == [(1, 2, 1), (1, 2, 1)]
+    assert sorted(r["position"] for r in out if r["conv_id"] == 3) == list(range(6))
+    assert (got[4, 0]["to_conv"], got[4, 0]["to_turn"], got[4, 0]["n_linked"]) == (5, 0, 1)
+
+
 def test_contexts_find_unseen_identifiers(spark):
     seeds = [(i, f"{text(i, 5)} reach me at user{i}@mail.example today") for i in range(12)]
     rows = [*seeds, (50, "please reach me at handle#884422 today"), (51, "version 2.0.17.1234567 of it"), *ODD, (60, "1" * 20000 + "a" * 20000)]
