@@ -120,8 +120,7 @@ def jon19(t: Tables) -> DataFrame:
 
 @query("grf2_betweenness")
 def grf2(t: Tables) -> DataFrame:
-    few = nodes(t).where("tag <> 'customer'")
-    return G.betweenness(few, edges(t, customers=False))
+    return G.betweenness(nodes(t), edges(t))
 
 
 @query(

@@ -49,3 +49,13 @@ def test_against_oracle(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_betweenness_counts_customers(spark, db):
+    count = lambda table, key: dict(db.execute(f"select {key}, count(*) from {table} group by all").fetchall())
+    customers, suppliers = count("customer", "c_nationkey"), count("supplier", "s_nationkey")
+    n = sum(db.execute(f"select count(*) from {t}").fetchone()[0] for t in ("region", "nation", "supplier", "customer"))
+    # Paths run from a customer or a supplier over its nation to the one region of it.
+    want = {f"n{k}": (customers.get(k, 0) + suppliers.get(k, 0)) / ((n - 1) * (n - 2)) for k in customers.keys() | suppliers.keys()}
+    got = {r["id"]: r["score"] for r in QUERIES["grf2_betweenness"](spark, SF).collect()}
+    assert got == pytest.approx(want)
