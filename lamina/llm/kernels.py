@@ -8,6 +8,8 @@ import pyarrow as pa
 from lamina.llm.common import ship
 
 U64 = np.uint64
+#: Bytes that are hashed at once.
+PIECE = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 BASE = U64(0x9E3779B97F4A7C15)
@@ -38,7 +40,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, limit: int = 1 << 23):
+def slices(column: pa.Array, limit: int = 1 << 21):
     """Row ranges of at most ``limit`` bytes each (a longer single row stands alone)."""
     sizes = np.diff(buffers(column)[1])
     start, held = 0, 0
@@ -78,12 +80,37 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every byte run: prefix sums of coded bytes, shifted to a common origin, then mixed."""
-    up, down = powers(len(raw) + 1)
+def _sums(raw: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Prefix sums of coded bytes."""
     sums = np.zeros(len(raw) + 1, dtype=U64)
     np.cumsum(BYTE_CODES[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    return sums
+
+
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every byte run (in order, without overlap): prefix sums of coded bytes, shifted to a common origin, then mixed.
+
+    Works on pieces of ``PIECE`` bytes, so its memory does not grow with the text.
+    """
+    n = len(starts)
+    total = np.zeros(n, dtype=U64)
+    up, down = powers(min(len(raw), PIECE) + 1)
+    i = 0
+    while i < n:
+        at = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, at + PIECE, side="right")))
+        if int(ends[j - 1]) - at <= PIECE:
+            sums = _sums(raw[at : int(ends[j - 1])], up)
+            s, e = starts[i:j] - at, ends[i:j] - at
+            total[i:j] = (sums[e] - sums[s]) * down[s]
+        else:  # one run that is longer than a piece
+            whole = 0
+            for k in range(at, int(ends[i]), PIECE):
+                own = int(_sums(raw[k : min(k + PIECE, int(ends[i]))], up)[-1])
+                whole += own * pow(int(BASE), k - at, 2**64)
+            total[i] = U64(whole % 2**64)
+        i = j
+    return mix(total + (ends - starts).astype(U64))
 
 
 ship(__name__)

@@ -36,6 +36,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Segments up to this number of bytes go through the vectorised recurrence.
 LONG = 256
+#: Cells (segments times bytes) of one call of that recurrence.
+CELLS = 1 << 19
+#: Mandelbrot's shift of ranks.
+RANK_SHIFT = 2.7
 
 
 def default_model() -> str:
@@ -85,6 +89,20 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
     return pieces
 
 
+def log_scores(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """The pieces with log probabilities as scores.
+
+    Files of merges hold ranks (0, -1, -2, ...; pieces at -1e9 are out of use).
+    A rank r becomes the Zipf-Mandelbrot log probability -log(r + shift) - log Z:
+    nothing is trained. Other files hold log probabilities already.
+    """
+    ranks = [s for _, s, kind in pieces if kind == NORMAL and s > -1e8]
+    if len(ranks) < 2 or any(s > 0 or s != int(s) for s in ranks) or len(set(ranks)) < len(ranks):
+        return pieces
+    z = float(np.log(np.sum(1 / (RANK_SHIFT - np.array(ranks)))))
+    return [(p, -float(np.log(RANK_SHIFT - s)) - z if kind == NORMAL and s > -1e8 else s, kind) for p, s, kind in pieces]
+
+
 @dataclass
 class Unigram:
     """A double-array trie (``base``, ``check``), the piece that ends at each node, scores and bytes of pieces."""
@@ -159,7 +177,7 @@ def build(pieces: list[tuple[str, float, int]]) -> Unigram:
     entries = [(s, i) for i, (s, (_, _, kind)) in enumerate(zip(surface, pieces, strict=True)) if kind in (NORMAL, USER_DEFINED) and s]
     base, check, piece = _double_array(entries)
     score = np.array([s for _, s, _ in pieces], dtype=np.float64)
-    normal = [s for _, s, kind in pieces if kind == NORMAL]
+    normal = [s for _, s, kind in pieces if kind == NORMAL and s > -1e8]
     byte_ids = np.full(256, -1, np.int32)
     shown = list(surface)
     for i, (p, _, kind) in enumerate(pieces):
@@ -234,8 +252,9 @@ def segment(m: Unigram, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for hi in (8, 16, 32, 64, LONG):
         own = np.flatnonzero((size > lo) & (size <= hi))
         lo = hi
-        for at in range(0, len(own), 50_000):
-            part = own[at : at + 50_000]
+        step = CELLS // hi
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
             for i, ids in zip(part.tolist(), _batch(m, [segments[i] for i in part.tolist()], size[part], hi), strict=True):
                 out[i] = ids
     lengths = np.array([0 if x is None else len(x) for x in out], dtype=np.int64)
@@ -339,7 +358,7 @@ def decode(m: Unigram, ids: np.ndarray, at: np.ndarray) -> pa.Array:
 def encode_frame(docs: DataFrame, model_path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``ids`` (array of int), ``n_bytes`` (byte pieces) and ``round_trip`` (decoding gives the text) of every whole text."""
     small_batches(docs.sparkSession)
-    model = build(read_pieces(model_path or default_model()))
+    model = build(log_scores(read_pieces(model_path or default_model())))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
     docs = docs.select(*keep, F.col("text").cast("string").alias("text_in"))
 
