@@ -3,20 +3,20 @@
 Base spans come from three fixed patterns, leftmost and non-overlapping per
 kind. Candidate strings (runs of at least ``WINDOW`` characters that secrets are
 made of, with a letter and a digit) are scanned by a window of ``WINDOW``
-characters. Moving it by one changes two counts: the sum of ``c log2 c`` over
-the window's character counts is updated for the character that leaves and the
-one that enters, and gives the entropy. From the first to the last window that
+characters. Its character counts are kept in an array; moving it by one changes
+two of them, and the sum of ``c log2 c`` by their terms, which gives the entropy. From the first to the last window that
 reaches the limit of the candidate's character class is a span of kind
 ``entropy``, unless the allow-list matches the candidate or a base span holds it.
 
-Null and empty texts have no span. Repeated rows are scanned each. Texts are
-scanned whole; offsets count code points, the end is exclusive. An empty table
+Null and empty texts have no span; a null id stays null. Repeated rows are
+scanned each. Texts are scanned whole, in time linear in their length; offsets count code points, the end is exclusive. An empty table
 gives an empty result. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,12 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 MIN_ASSIGN = 12
 WINDOW = 20
+#: Characters of a long candidate that are scanned at once.
+PIECE = 4096
+#: Matches whose positions are summed at once.
+BLOCK = 256
+#: Counts of five bits (a window's are at most ``WINDOW``) that a long holds.
+PER_WORD = 12
 #: Entropy limits in bits, for windows of 20: hexadecimal, letters and digits, all candidate characters.
 LIMITS = {"^[0-9a-fA-F]+$": 3.0, "^[0-9A-Za-z]+$": 3.8, "": 3.9}
 #: Candidates that are no secrets: UUIDs, dates and times, alphabets, placeholders, paths of words.
@@ -42,6 +48,11 @@ ALLOWED = (
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """(gap, match) structs: each match of the pattern and the characters before it, in one linear pass."""
     full = rf"(?s)(.*?)({pattern}|\z)"
@@ -49,41 +60,98 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def located(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the matches that ``keep`` accepts; positions are sums of the lengths before."""
+    """Spans of the matches that ``keep`` accepts; positions are sums of the lengths before.
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["gap"])
-        end = start + F.length(m["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["match"].alias("match"))
-        return F.struct(end.alias("at"), F.when(keep(m["match"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    Sums are made over blocks of ``BLOCK`` matches first, then inside each, so
+    that no array of all spans is copied once per match.
+    """
+    width = lambda m: F.length(m["gap"]) + F.length(m["match"])
 
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    return F.aggregate(matches(text, pattern), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    def inside(block: Column, first: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            start = acc["at"] + F.length(m["gap"])
+            end = start + F.length(m["match"])
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["match"].alias("match"))
+            return F.struct(end.alias("at"), F.when(keep(m["match"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
+        empty = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
+        return F.aggregate(block, F.struct(first.alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
 
-def plain(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    def over(found: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda k: F.slice(found, k * BLOCK + 1, F.lit(BLOCK)))
 
+        def placed(parts: Column) -> Column:
+            sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, m: acc + width(m)))
+            firsts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+            return F.flatten(F.zip_with(parts, F.slice(firsts, F.lit(1), F.size(parts)), inside))
 
-def windows(s: Column, limit: Column) -> Column:
-    """(first, last) of the window ends (1-based) whose entropy reaches the limit; 0 where none does."""
-    f = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    gain = lambda part, x: f(F.length(part) - F.length(F.replace(part, x, F.lit(""))) + 1) - f(F.length(part) - F.length(F.replace(part, x, F.lit(""))))
+        return _bound(blocks, placed)
 
-    def step(acc: Column, i: Column) -> Column:
-        kept = F.substring(s, F.greatest(F.lit(1), i - WINDOW + 1), F.least(i - 1, F.lit(WINDOW - 1)))
-        total = acc["total"] + gain(kept, F.substring(s, i, F.lit(1))) - F.when(i > WINDOW, gain(kept, F.substring(s, i - WINDOW, F.lit(1)))).otherwise(0.0)
-        # Rounded, as the sum's last bits depend on the order of additions.
-        return F.struct(total.alias("total"), acc["first"].alias("first"), acc["last"].alias("last"), ((i >= WINDOW) & (F.round(F.log2(F.lit(float(WINDOW))) - total / WINDOW, 6) >= limit)).alias("hit"), i.alias("i"))
+    return _bound(matches(text, pattern), over)
 
-    def mark(acc: Column, i: Column) -> Column:
-        return F.transform(
-            F.array(step(acc, i)),
-            lambda a: F.struct(a["total"].alias("total"), F.when(a["hit"] & (a["first"] == 0), a["i"]).otherwise(a["first"]).alias("first"), F.when(a["hit"], a["i"]).otherwise(a["last"]).alias("last")),
-        )[0]
 
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, mark)
+def plain(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
+def windows(s: Column, limit: Column) -> Column:
+    """(first, last) of the window ends (1-based) whose entropy reaches the limit; 0 where none does.
+
+    The accumulator holds the window's count of each distinct character of
+    ``s``, five bits each and ``PER_WORD`` to a long, and the sum of ``c log2 c``;
+    a step changes the counts of the character that leaves and of the one that
+    enters, and the sum by their terms.
+    """
+    terms = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(WINDOW + 2)])
+    f = lambda c: F.get(terms, c)
+    count = lambda counts, x: F.call_function("shiftrightunsigned", F.get(counts, x["word"]), x["shift"]).bitwiseAND(F.lit(31)).cast("int")
+
+    def step(acc: Column, x: Column) -> Column:
+        """Counts, sum and position after one character; out is 0 while the window fills up."""
+        old, new = x["out"], x["in"]
+        out_now = count(acc["counts"], old)
+        in_now = count(acc["counts"], new) - (new["at"] == old["at"]).cast("int")
+        total = acc["total"] + F.when(old["at"] > 0, f(out_now - 1) - f(out_now)).otherwise(0.0) + f(in_now + 1) - f(in_now)
+        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == new["word"], new["unit"]).otherwise(0) - F.when((k == old["word"]) & (old["at"] > 0), old["unit"]).otherwise(0))
+        return F.struct(counts.alias("counts"), total.alias("total"), (acc["i"] + 1).alias("i"))
+
+    def mark(acc: Column, x: Column) -> Column:
+        def marked(n: Column) -> Column:
+            # Rounded, as the sum's last bits depend on the order of additions.
+            hit = (n["i"] >= WINDOW) & (F.round(F.log2(F.lit(float(WINDOW))) - n["total"] / WINDOW, 6) >= limit)
+            return F.struct(
+                n["counts"].alias("counts"),
+                n["total"].alias("total"),
+                n["i"].alias("i"),
+                F.when(hit & (acc["first"] == 0), n["i"]).otherwise(acc["first"]).alias("first"),
+                F.when(hit, n["i"]).otherwise(acc["last"]).alias("last"),
+            )
+
+        return _bound(step(acc, x), marked)
+
+    def scanned(chars: Column) -> Column:
+        def over(alphabet: Column) -> Column:
+            at = F.transform(F.concat(F.array_repeat(F.lit(""), WINDOW), chars), lambda c: F.array_position(alphabet, c).cast("int"))
+            place = lambda k: F.struct(k.alias("at"), F.floor((k - 1) / PER_WORD).cast("int").alias("word"), (F.pmod(k - 1, F.lit(PER_WORD)) * 5).alias("shift"))
+            placed = F.transform(F.transform(at, place), lambda x: F.struct(x["at"], x["word"], x["shift"], F.call_function("shiftleft", F.lit(1).cast("long"), x["shift"]).alias("unit")))
+            words = F.array_repeat(F.lit(0).cast("long"), F.floor((F.size(alphabet) - 1) / PER_WORD).cast("int") + 1)
+            start = F.struct(words.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+            moves = _bound(placed, lambda p: F.zip_with(F.slice(p, F.lit(WINDOW + 1), F.size(chars)), F.slice(p, F.lit(1), F.size(chars)), lambda x, y: F.struct(x.alias("in"), y.alias("out"))))
+            return F.aggregate(moves, start, mark, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+        return _bound(F.array_distinct(chars), over)
+
+    # A long candidate is cut into pieces that overlap by a window less one character, so its arrays stay short.
+    stride = PIECE - WINDOW + 1
+    pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(s) - WINDOW) / stride).cast("int")))
+    found = F.transform(pieces, lambda k: F.struct((k * stride).alias("at"), _bound(F.split(F.substring(s, k * stride + 1, F.lit(PIECE)), ""), scanned).alias("w")))
+    hits = F.filter(found, lambda x: x["w"]["last"] > 0)
+    none = F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def ends(h: Column) -> Column:
+        return F.when(F.size(h) == 0, none).otherwise(F.struct((h[0]["at"] + h[0]["w"]["first"]).alias("first"), (F.get(h, F.size(h) - 1)["at"] + F.get(h, F.size(h) - 1)["w"]["last"]).alias("last")))
+
+    return _bound(hits, ends)
 
 
 def entropy_spans(candidates: Column) -> Column:
@@ -92,8 +160,11 @@ def entropy_spans(candidates: Column) -> Column:
     def limit(s: Column) -> Column:
         return reduce(lambda rest, kv: F.when(s.rlike(kv[0]), kv[1]).otherwise(rest), reversed([kv for kv in LIMITS.items() if kv[0]]), F.lit(LIMITS[""]))
 
-    scanned = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), windows(c["match"], limit(c["match"])).alias("w")))
-    hits = F.filter(scanned, lambda x: x["w"]["last"] > 0)
+    def one(c: Column) -> Column:
+        w = _bound(limit(c["match"]), lambda least: windows(c["match"], least))
+        return F.struct(c["start"].alias("start"), w.alias("w"))
+
+    hits = F.filter(F.transform(candidates, one), lambda x: x["w"]["last"] > 0)
     return F.transform(hits, lambda x: F.struct((x["start"] + x["w"]["first"] - WINDOW).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (x["start"] + x["w"]["last"]).alias("end")))
 
 

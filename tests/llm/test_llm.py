@@ -19,7 +19,7 @@ WORDS = [f"w{i}" for i in range(400)]
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "en", f"s{i % 9}", len(t or ""), 0.0, "") for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 9}", len(t or ""), 0.0, "") for i, t in rows], DOCS)
 
 
 def text(seed: int, n: int) -> str:
@@ -33,6 +33,14 @@ def lower(s):
     return (s or "").translate({c: c + 32 for c in range(65, 91)})
 
 
+def test_long_runs_hash_like_short_pieces(monkeypatch):
+    raw = np.frombuffer((" ".join(["x" * n for n in (1, 5, 40, 3, 200, 7)]) + " " + text(3, 60)).encode(), dtype=np.uint8)
+    s, e, _ = kernels.bounds(~kernels.SPACES[raw], np.array([0, len(raw)]))
+    whole = kernels.run_hashes(raw, s, e)
+    monkeypatch.setattr(kernels, "PIECE", 16)
+    assert (kernels.run_hashes(raw, s, e) == whole).all()
+
+
 def test_run_hashes_tell_runs_apart():
     column = pa.array(["ab c", None, "c ab", "", "abc"])
     raw, offsets = kernels.buffers(column)
@@ -186,6 +194,35 @@ def test_unigram_against_a_library():
     assert unigram.decode(m, ids, at).to_pylist() == [*texts, ""]
 
 
+def test_log_scores_are_probabilities():
+    pieces = unigram.log_scores(unigram.read_pieces(unigram.default_model()))
+    used = np.array([s for _, s, kind in pieces if kind == unigram.NORMAL and s > -1e8])
+    assert np.exp(used).sum() == pytest.approx(1.0) and (np.diff(used) < 0).all()
+    real = [("a", -1.5, 1), ("b", -0.25, 1)]
+    assert unigram.log_scores(real) == real
+
+
+def test_segmentation_against_all_segmentations():
+    vocab = {p: -1.0 - 0.37 * i for i, p in enumerate(["a", "b", "ab", "ba", "aba", "▁", "▁a", "bb", "▁ab"])}
+    pieces = [("<unk>", 0.0, 2), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256)), *((p, s - 0.003, 1) for p, s in vocab.items())]
+    m = unigram.build(pieces)
+    ids = {p: i for i, (p, _, _) in enumerate(pieces)}
+
+    def best(t):
+        found = [(0.0, [])] + [None] * len(t)
+        for q in range(1, len(t) + 1):
+            ways = [(found[p][0] + vocab[t[p:q]] - 0.003, found[p][1] + [ids[t[p:q]]]) for p in range(q) if found[p] and t[p:q] in vocab]
+            found[q] = max(ways, key=lambda w: w[0], default=None)
+        return found[-1][1]
+
+    r = random.Random(9)
+    texts = ["".join(r.choices("ab ", k=r.randrange(1, 40))) for _ in range(60)]
+    flat, at = unigram.encode(m, pa.array(texts))
+    for i, t in enumerate(texts):
+        assert flat[at[i] : at[i + 1]].tolist() == best("▁" + t.replace(" ", "▁")), t
+    assert unigram.decode(m, flat, at).to_pylist() == texts
+
+
 def test_unigram_frame(spark):
     got = {r["doc_id"]: r for r in unigram.encode_frame(docs(spark, ODD)).collect()}
     assert all(r["round_trip"] for r in got.values())
@@ -212,6 +249,50 @@ def test_secrets_against_plain_patterns(spark):
     assert f"entropy:{at}:{at + 22}" in got[1]["spans"] and got[1]["n_entropy"] == 1
 
 
+def test_entropy_against_every_window(spark):
+    from math import log2
+
+    r = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    blob = lambda n: "".join(r.choices(letters, k=n))
+    sizes = [20, 23, 60, secret_entropy.PIECE - 1, secret_entropy.PIECE, secret_entropy.PIECE + 1, 2 * secret_entropy.PIECE + 30]
+    texts = [f"key {blob(n)} end" for n in sizes] + ["x " + "a1" * 2500 + blob(40) + "b2" * 2600 + " y", "z9" * 40, " ".join(f"{i:016x}" for i in range(700))]
+
+    def brute(c, limit):
+        width, hits = secret_entropy.WINDOW, []
+        for i in range(len(c) - width + 1):
+            w = c[i : i + width]
+            if round(-sum(w.count(k) / width * log2(w.count(k) / width) for k in set(w)), 6) >= limit:
+                hits.append(i)
+        return (hits[0], hits[-1] + width) if hits else None
+
+    got = {x["doc_id"]: x for x in secret_entropy.report(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for m in re.finditer(secret_entropy.CANDIDATE, t):
+            c = m.group()
+            if re.search("[0-9]", c) and re.search("[A-Za-z]", c) and not any(re.search(p, c) for p in secret_entropy.ALLOWED):
+                if h := brute(c, next(v for p, v in secret_entropy.LIMITS.items() if re.search(p, c))):
+                    want.append(f"entropy:{m.start() + h[0]}:{m.start() + h[1]}")
+        assert [x for x in got[i]["spans"].split(",") if x.startswith("entropy")] == want, i
+    assert got[len(texts) - 1]["n_hex"] == 700
+
+
+def test_secrets_in_a_long_blob(spark):
+    t = "".join(random.Random(4).choices("ABCDEFabcdef0123456789GHI+/", k=300_000))
+    assert secret_entropy.report(docs(spark, [(None, t), (1, t), (1, "short")])).where("n_entropy > 0").count() == 2
+    assert secret_entropy.report(docs(spark, []).limit(0)).count() == 0
+
+
+def test_planted_secrets_are_found(spark):
+    r = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = {i: "".join(r.choices(letters, k=r.choice([32, 40, 64]))) for i in range(60)}
+    rows = [(i, f"{text(i, 20)} {planted[i] if i in planted else text(i + 900, 3)} {text(i + 70, 20)}") for i in range(120)]
+    found = {x["doc_id"]: x["n_entropy"] for x in secret_entropy.report(docs(spark, rows)).collect()}
+    assert sum(found[i] > 0 for i in planted) >= 57 and not any(found[i] for i in found if i not in planted)
+
+
 def test_lines_on_many_sites_go_but_the_first(spark):
     shared = "all rights of this line are shared by every site"
     rows = [(i, f"own line {i}\n{shared}\n{'rare line 0' if i < 3 else f'tail {i}'}") for i in range(20)] + ODD
@@ -379,3 +460,24 @@ def test_alignments_against_every_offset(spark):
     got = {(x["query_id"], x["class_id"]): tuple(x[k] for k in ("at_offset", "votes", "overlap", "bit_errors", "ber")) for x in chroma.aligned(df, df.where("rec_id % 100 = 0")).collect()}
     assert got == want
     assert chroma.aligned(df.limit(0), df.limit(0)).count() == 0
+    # The summary: all links of a query counted, the best of them named.
+    size = {c: 2 if c == 300 else 1 for c, _ in prints}
+    summed = {r["query_id"]: r for r in chroma.summary(df, df.where("rec_id % 100 = 0")).collect()}
+    assert set(summed) == {i for i, _ in prints if i % 100 == 0}
+    for q, r in summed.items():
+        own = {c: v for (a, c), v in want.items() if a == q}
+        assert (r["n_classes"], r["n_recordings"]) == (len(own), sum(size[c] - (c == r["query_class"]) for c in own))
+        if own:
+            least = min((v[4], -v[2]) for v in own.values())
+            assert (r["ber"], -r["overlap"]) == least and own[r["class_id"]][4] == r["ber"]
+    assert chroma.summary(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_recordings_without_ids_or_samples(spark):
+    x = [float(v) for v in np.random.default_rng(2).normal(size=64)]
+    rows = [(100, x, "a"), (None, x, "b"), (None, x[::-1], "c"), (200, None, "d"), (300, [], "e"), (400, [None] * 64, "f"), (None, None, "g")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, print string")
+    prints = chroma.fingerprints(df, "vec_id", "embedding")
+    got = {r["query_id"]: r for r in chroma.summary(prints, prints.where("rec_id % 100 = 0")).collect()}
+    assert set(got) == {100, 200, 300, 400}
+    assert got[100]["n_recordings"] >= 1 and got[100]["ber"] == 0.0 and got[200]["n_classes"] == 0
