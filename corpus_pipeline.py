@@ -2,8 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written and read again as the next stage's documents. All but the last return
-the columns of the documents. A null text counts as a text without words; rows
-without a doc_id take part and stay; an empty table stays empty.
+the columns of the documents, whatever further ones there are. A null text counts
+as a text without words. Rows are judged one by one: of a repeated id each by its
+own text, and rows that are repeated as a whole stand or fall together. A row
+without a doc_id takes part; as a near copy it goes where a row with an id has its
+content. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,24 +24,26 @@ NEAR = 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_crf.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity_crf.score(docs, model, keep=tuple(docs.columns), prefix="_tox_")
-    return scored.where(F.col("_tox_score") < 0.5).select(*docs.columns)
+    prefix = "tox_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    scored = toxicity_crf.score(docs, model, keep=tuple(docs.columns), prefix=prefix)
+    return scored.where(F.col(f"{prefix}score") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = line_spread.remove_boilerplate(docs)
-    sized = F.when(F.col("_spread_n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.select(*[sized.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    changed = F.col(cleaned.columns[-1]) > 0
+    sized = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return cleaned.select(*[sized.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = hyperminhash.near_duplicates(docs, hundredths=NEAR).where("not kept").select(F.col("doc_id").alias("_near_id"))
-    return docs.join(written(gone), F.col("doc_id") == F.col("_near_id"), "left_anti")
+    return hyperminhash.deduplicated(docs, hundredths=NEAR)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_leak_id"))
-    return docs.join(written(gone), F.col("doc_id") == F.col("_leak_id"), "left_anti")
+    return winnow.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,10 +20,12 @@ def ship(module_name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset and one machine runs all."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lamina-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -55,12 +59,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Names of a row's key.
+ROW = ["row_a", "row_b"]
+
+
+def row_key(df: DataFrame, *columns: str) -> list[Column]:
+    """128 bits of a row's id and text (or other columns): rows of one id with other texts differ, and a null id is a value like others."""
+    held = [F.col(c).cast("string") for c in columns or ("doc_id", "text")]
+    marked = [x for c in held for x in (c, c.isNull())]
+    return [F.xxhash64(*marked).alias(ROW[0]), F.xxhash64(F.lit(7), *marked).alias(ROW[1])]
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key ``gone`` holds."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(docs))
+    return row.join(gone.select(*ROW).distinct(), ROW, "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once (a lambda would compute an outer expression anew for each element)."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Rows of narrow tables that are broadcast; hot keys that are broadcast beyond that.
+BROADCAST_ROWS, HOT_KEYS = 200_000, 10_000
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to a narrow table of distinct ``keys``, whatever share of the rows one key holds.
+
+    A table of up to ``BROADCAST_ROWS`` rows is broadcast. Beyond that, the keys
+    whose ``weight`` (their number of rows) is over 1/``HOT_KEYS`` of the sum are
+    fewer than ``HOT_KEYS`` and are broadcast; the others are shuffled.
+    """
+    size = keys.agg(F.count("*").alias("n"), F.sum(weight).alias("w")).first()
+    if size["n"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on, how)
+    hot = F.col(weight) * HOT_KEYS > size["w"]
+    return rows.join(F.broadcast(keys.where(hot)), on, how).unionByName(rows.join(keys.where(~hot).hint("merge"), on, how))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): one row ``(id, comp)`` per end, comp the smallest id reachable.
 
     Large-star / small-star rounds: linear in the edges, logarithmically many
-    rounds, every step a grouped minimum, so a hub's edges spread over tasks
-    before they meet. The driver only learns whether a round changed anything.
+    rounds. Minima are pre-aggregated, and they are written before they are joined
+    back to the edges: both sides of that join then are plain exchanges, which
+    Spark splits where a hub's edges fill one. The driver only learns whether a
+    round changed anything.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     e = written(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -68,11 +122,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = e.agg(mark).first()
     while before["mark"][0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # Large star: every larger neighbour is linked to the least id around its centre.
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large.where("u <> v").distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         # Small star: a node and its smaller neighbours are linked to the least of them.
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         nxt = written(small.where("u <> v").distinct())

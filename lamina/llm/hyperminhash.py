@@ -17,10 +17,11 @@ whose full sets are compared, again in blocks and across components only, and a
 confirmed link merges two components at once.
 
 Nulls and texts without words have an empty set: they are linked with nothing.
-Repeated rows of one id count once (ids are the identity of a document; an id
-with several texts gets the class of one of them). An empty table gives an empty
-result. Only ``doc_id`` and ``text`` are read, so
-further columns of any name do no harm.
+Every row gets a row: one of a repeated id is judged by its own text, and rows
+that are repeated as a whole share their result. A row without an id links like
+others; it names no component, goes where one with an id is in its component, and
+stays otherwise. An empty table gives an empty result. Only ``doc_id`` and
+``text`` are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lamina.llm import kernels as K
-from lamina.llm.common import components, ship, small_batches, written
+from lamina.llm.common import ROW, components, row_key, ship, small_batches, without, written
 
 WORDS = 5
 REGISTERS = 256
@@ -157,8 +158,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.concatenate([[U64(0)], np.cumsum(K.mix(flat ^ U64(salt)), dtype=U64)])
                 sums.append(_signed(total[at[1:]] - total[at[:-1]]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "regs"],
+                [*(part.column(k) for k in ("doc_id", *ROW)), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in regs], pa.binary())],
+                names=["doc_id", *ROW, "n_shingles", "set_a", "set_b", "regs"],
             )
 
 
@@ -179,7 +180,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, b - a)
             flat, at, _ = shingle_sets(part.column("text"))
             sets = pa.LargeListArray.from_arrays(pa.array(at), pa.array(_signed(flat)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), sets.cast(pa.list_(pa.int64()))], names=["rep", "set"])
+            yield pa.RecordBatch.from_arrays([part.column("rep"), sets.cast(pa.list_(pa.int64()))], names=["rep", "set"])
 
 
 @F.pandas_udf(DoubleType())
@@ -383,18 +384,21 @@ def _facing(rows: DataFrame, columns: list[str]) -> DataFrame:
 def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of ``hundredths``/100 or more over their shingle sets.
 
-    Returns ``doc_id, n_shingles, component_id, kept``, one row per document.
+    Returns ``doc_id, row_a, row_b`` (the row's key), ``n_shingles, component_id,
+    kept``, one row per row.
     """
     spark = docs.sparkSession
     small_batches(spark)
     threshold = hundredths / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, regs binary"
+    docs = docs.select("*", *row_key(docs))
+    schema = "doc_id long, row_a long, row_b long, n_shingles long, set_a long, set_b long, regs binary"
     sketches = written(docs.mapInArrow(_sketch, schema))
 
+    # Equal sets are one class; its text is that of the row with the least key.
     filled = sketches.where("n_shingles > 0")
-    classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min_by("regs", "doc_id").alias("regs"), F.min("doc_id").alias("rep"))
-    reps = written(classes)
+    classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.any_value("regs").alias("regs"), F.min("doc_id").alias("least"), F.min(F.struct(*ROW)).alias("row"))
+    reps = written(classes.select("*", "row.*").drop("row").withColumn("rep", F.monotonically_increasing_id()))
     rows = reps.select("rep", "regs").mapInArrow(_bands(band_rows(hundredths)), "rep long, band int, key long")
     # Buckets of two or more, each with its least member.
     buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("members")).where("members > 1")
@@ -407,8 +411,9 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("n_a", "n_b") >= hundredths * F.greatest("n_a", "n_b"))
     judged = sized.select("a", "b", _margin("regs_a", "regs_b", F.lit(threshold)).alias("j")).where("j >= 0")
     proposed = judged.groupBy("b").agg(F.max_by("a", F.struct("j", (-F.col("a")).alias("a"))).alias("a")).select("a", "b")
-    wanted = member.select("rep").distinct()
-    sets = written(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "rep long, set array<long>"))
+    wanted = reps.select("rep", *ROW).join(member.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.select(*ROW, "text").join(wanted, ROW).groupBy(*ROW, "rep").agg(F.any_value("text").alias("text"))
+    sets = written(texts.select("rep", "text").mapInArrow(_sets, "rep long, set array<long>"))
     x, y = (sets.select(F.col("rep").alias(k), F.col("set").alias(f"set_{n}")) for k, n in (("a", "x"), ("b", "y")))
     links = written(proposed.join(x, "a").join(y, "b").select("a", "b", "set_x", "set_y").mapInArrow(_common(hundredths), "a long, b long"))
     comp = written(components(links))
@@ -429,12 +434,19 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     merges = _sorted_by(full, "grp", "p", "q").mapInArrow(_merges(hundredths), "a long, b long")
     comp = written(components(links.unionByName(merges)).select(F.col("id").alias("rep"), "comp"))
 
-    ids = reps.select("rep", "set_a", "set_b", "n_shingles")
-    named = ids.join(comp, "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
-    out = sketches.select("doc_id", "n_shingles", "set_a", "set_b").dropDuplicates(["doc_id"])
-    joined = out.join(named.withColumnRenamed("n_shingles", "n"), [out.set_a == named.set_a, out.set_b == named.set_b, F.col("n_shingles") == F.col("n")], "left")
-    component = F.coalesce("comp", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    # A component is named by its least id.
+    ids = reps.select("rep", "set_a", "set_b", F.col("n_shingles").alias("n"), "least")
+    label = written(comp.join(ids.select("rep", "least"), "rep").groupBy("comp").agg(F.min("least").alias("label")))
+    named = written(ids.join(comp, "rep", "left").join(label, "comp", "left").select("set_a", "set_b", "n", F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("label")).alias("component"), F.lit(True).alias("linked")))
+    out = sketches.select("doc_id", *ROW, "n_shingles", "set_a", "set_b")
+    joined = out.join(named, [out.set_a == named.set_a, out.set_b == named.set_b, F.col("n_shingles") == F.col("n")], "left")
+    component = F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", *ROW, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, hundredths: int = 85) -> DataFrame:
+    """``docs`` with one document of each component (rows that are repeated as a whole stand or fall together)."""
+    return without(docs, written(near_duplicates(docs, hundredths).where("not kept").select(*ROW)))
 
 
 ship(__name__)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import chroma, html_mincut, hyperminhash, line_spread, pii_bootstrap, quote_links, secret_entropy, toxicity_crf, unigram, winnow
-from lamina.llm.common import table, written
+from lamina.llm.common import ROW, table, written
 
 
 def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity_crf.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity_crf.score(docs, model)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", "spans")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", "spans")
 
 
 def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,8 @@ def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), hundredths=85)
+    found = hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), hundredths=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(*ROW)
 
 
 def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_entropy": secret_entropy.oracle(), "op5_line_spread": line_spread.oracle()}
+    return {"op4_secret_entropy": secret_entropy.oracle(), "op5_line_spread": line_spread.oracle(), "op8_winnowing": winnow.oracle()}

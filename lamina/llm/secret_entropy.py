@@ -21,6 +21,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.common import bound
+
 # The base patterns, in the order of their kinds, and the classes of candidates.
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -48,11 +50,6 @@ ALLOWED = (
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def matches(text: Column, pattern: str) -> Column:
     """(gap, match) structs: each match of the pattern and the characters before it, in one linear pass."""
     full = rf"(?s)(.*?)({pattern}|\z)"
@@ -85,9 +82,9 @@ def located(text: Column, pattern: str, kind: int, keep) -> Column:
             firsts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
             return F.flatten(F.zip_with(parts, F.slice(firsts, F.lit(1), F.size(parts)), inside))
 
-        return _bound(blocks, placed)
+        return bound(blocks, placed)
 
-    return _bound(matches(text, pattern), over)
+    return bound(matches(text, pattern), over)
 
 
 def plain(spans: Column) -> Column:
@@ -127,7 +124,7 @@ def windows(s: Column, limit: Column) -> Column:
                 F.when(hit, n["i"]).otherwise(acc["last"]).alias("last"),
             )
 
-        return _bound(step(acc, x), marked)
+        return bound(step(acc, x), marked)
 
     def scanned(chars: Column) -> Column:
         def over(alphabet: Column) -> Column:
@@ -136,22 +133,22 @@ def windows(s: Column, limit: Column) -> Column:
             placed = F.transform(F.transform(at, place), lambda x: F.struct(x["at"], x["word"], x["shift"], F.call_function("shiftleft", F.lit(1).cast("long"), x["shift"]).alias("unit")))
             words = F.array_repeat(F.lit(0).cast("long"), F.floor((F.size(alphabet) - 1) / PER_WORD).cast("int") + 1)
             start = F.struct(words.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-            moves = _bound(placed, lambda p: F.zip_with(F.slice(p, F.lit(WINDOW + 1), F.size(chars)), F.slice(p, F.lit(1), F.size(chars)), lambda x, y: F.struct(x.alias("in"), y.alias("out"))))
+            moves = bound(placed, lambda p: F.zip_with(F.slice(p, F.lit(WINDOW + 1), F.size(chars)), F.slice(p, F.lit(1), F.size(chars)), lambda x, y: F.struct(x.alias("in"), y.alias("out"))))
             return F.aggregate(moves, start, mark, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
-        return _bound(F.array_distinct(chars), over)
+        return bound(F.array_distinct(chars), over)
 
     # A long candidate is cut into pieces that overlap by a window less one character, so its arrays stay short.
     stride = PIECE - WINDOW + 1
     pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(s) - WINDOW) / stride).cast("int")))
-    found = F.transform(pieces, lambda k: F.struct((k * stride).alias("at"), _bound(F.split(F.substring(s, k * stride + 1, F.lit(PIECE)), ""), scanned).alias("w")))
+    found = F.transform(pieces, lambda k: F.struct((k * stride).alias("at"), bound(F.split(F.substring(s, k * stride + 1, F.lit(PIECE)), ""), scanned).alias("w")))
     hits = F.filter(found, lambda x: x["w"]["last"] > 0)
     none = F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))
 
     def ends(h: Column) -> Column:
         return F.when(F.size(h) == 0, none).otherwise(F.struct((h[0]["at"] + h[0]["w"]["first"]).alias("first"), (F.get(h, F.size(h) - 1)["at"] + F.get(h, F.size(h) - 1)["w"]["last"]).alias("last")))
 
-    return _bound(hits, ends)
+    return bound(hits, ends)
 
 
 def entropy_spans(candidates: Column) -> Column:
@@ -161,7 +158,7 @@ def entropy_spans(candidates: Column) -> Column:
         return reduce(lambda rest, kv: F.when(s.rlike(kv[0]), kv[1]).otherwise(rest), reversed([kv for kv in LIMITS.items() if kv[0]]), F.lit(LIMITS[""]))
 
     def one(c: Column) -> Column:
-        w = _bound(limit(c["match"]), lambda least: windows(c["match"], least))
+        w = bound(limit(c["match"]), lambda least: windows(c["match"], least))
         return F.struct(c["start"].alias("start"), w.alias("w"))
 
     hits = F.filter(F.transform(candidates, one), lambda x: x["w"]["last"] > 0)

@@ -11,7 +11,8 @@ above one half are the offending spans (code point offsets).
 
 Labels, language, source and id are no inputs of a score. Null and empty texts
 have no token and get the score of a text without evidence. Repeated rows are
-scored each; an id that is labelled twice counts as toxic if one label says so.
+scored each; an id that is labelled twice counts as toxic if one label says so,
+and of an id's several texts the least one is learnt from.
 Without labelled rows of both classes every score is the share of toxic labels.
 Other columns are not read.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import kernels as K
-from lamina.llm.common import ship, small_batches
+from lamina.llm.common import ship, small_batches, unused
 
 MAX_TRAIN = 1800
 MAX_TRAIN_CHARS = 20_000
@@ -238,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_ch
     both = [marked.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train) for c in (1, 0)]
     ids = both[0].unionByName(both[1])  # at most 2 * max_train rows of two numbers: small enough to broadcast
     chosen = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id")
-    rows = chosen.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     kept = Counter(r["toxic"] for r in rows)
     # Each class stands for its share of all training rows.
     weight = (held.get(0, 0) / max(kept[0], 1)) / max(held.get(1, 0) / max(kept[1], 1), 1e-9) if kept[1] else 1.0
@@ -273,7 +274,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), pr
                     spans[i].append({"start": s, "end": e, "p": q})
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(doc_scores(m, x)), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], names=[*keep, *(f"{prefix}{k}" for k in ("score", "n_toxic", "spans"))])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_tox_text"))
+    rows = docs.select(*keep, F.col("text").cast("string").alias(unused(docs, "text_in")))
     names = rows.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
     return rows.mapInArrow(run, f"{kinds}, {prefix}score double, {prefix}n_toxic long, {prefix}spans array<struct<start:int,end:int,p:double>>")

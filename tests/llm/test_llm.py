@@ -12,13 +12,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lamina.llm import chroma, html_mincut, hyperminhash, kernels, line_spread, pii_bootstrap, quote_links, secret_entropy, toxicity_crf, unigram, winnow
+from lamina.llm import chroma, common, html_mincut, hyperminhash, kernels, line_spread, pii_bootstrap, quote_links, secret_entropy, toxicity_crf, unigram, winnow
+from lamina.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
 WORDS = [f"w{i}" for i in range(400)]
 
 
 def docs(spark, rows):
+    """The rows' texts on nine sites, with columns whose names clash with those that operators make."""
     return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 9}", len(t or ""), 0.0, "") for i, t in rows], DOCS)
 
 
@@ -78,6 +80,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert hyperminhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b, c, d = (text(300 + k, 80) for k in range(4))
+    rows = [(5, a), (3, a + " more"), (5, b), (5, b), (None, b), (None, c), (None, c + " more"), (None, None), (None, ""), (8, d), (9, d), (9, c[:40])]
+    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in hyperminhash.near_duplicates(docs(spark, rows)).collect()))
+    assert got == sorted([(5, 3, False), (3, 3, True), (5, 5, True), (5, 5, True), (0, 5, False), (0, 0, True), (0, 0, True), (0, 0, True), (0, 0, True), (8, 8, True), (9, 8, False), (9, 9, True)])
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in hyperminhash.deduplicated(docs(spark, rows)).collect())
+    assert kept == sorted([(3, a + " more"), (5, b), (5, b), (0, c), (0, c + " more"), (0, ""), (0, ""), (8, d), (9, c[:40])])
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (2000, 399)]
+    got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(400)}, 2000: 0, **{1000 + i: 1000 for i in range(61)}}
+
+
 def test_pipeline_links_from_four_fifths_on(spark):
     rows = []
     for k in range(1, 15):  # of 100 shingles the copy holds all but the last k
@@ -132,10 +149,25 @@ def test_winnowing_against_every_window(spark):
                     hit.update(range(j, j + n))
                     held |= windows[k]
         want[i] = (len(w), len(hit), len(held), hashlib.sha256(",".join(sorted(held)).encode()).hexdigest(), 0 < len(hit) and 20 * len(hit) >= len(w))
-    bench = spark.createDataFrame(items, "item_id string, text string")
+    bench = spark.createDataFrame([*items, (None, text(1, 40))], "item_id string, text string")
     got = {r["doc_id"]: tuple(r[k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in winnow.decontaminate(docs(spark, rows), bench).collect()}
     assert got == want
     assert winnow.decontaminate(docs(spark, ODD), bench.limit(0)).where("contaminated").count() == 0
+    assert winnow.decontaminate(docs(spark, []), bench).count() == 0
+    # Rows of one id or of none are judged by their own texts.
+    leak = items[0][1]
+    odd = [(7, leak), (7, text(900, 30)), (7, leak), (None, leak), (None, text(901, 30)), (None, None)]
+    rows = winnow.decontaminate(docs(spark, odd), bench).collect()
+    assert sorted((r["doc_id"] or 0, r["contaminated"]) for r in rows) == [(0, False), (0, False), (0, True), (7, False), (7, True), (7, True)]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in winnow.cleaned(docs(spark, odd), bench).collect()) == [(0, ""), (0, odd[4][1]), (7, odd[1][1])]
+
+
+@pytest.mark.parametrize("n", range(1, 12))
+def test_sliding_min(spark, n):
+    r = random.Random(n)
+    rows = [[r.randrange(50) for _ in range(n + k)] for k in range(9)]
+    got = spark.createDataFrame([(x,) for x in rows], "g array<long>").select(winnow.sliding_min(F.col("g"), n)).collect()
+    assert [x[0] for x in got] == [[min(x[i : i + n]) for i in range(len(x) - n + 1)] for x in rows]
 
 
 def toxic_corpus():
@@ -302,6 +334,38 @@ def test_lines_on_many_sites_go_but_the_first(spark):
     assert set(got[0].asDict()) >= set(DOCS.replace(",", "").split()[::2])
     exact = line_spread.spread(docs(spark, rows), min_sites=9)
     assert [r["exact"] for r in exact.collect()] == [True]
+    assert line_spread.remove_boilerplate(docs(spark, []).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_lines_against_brute_force(spark, monkeypatch, few):
+    if few:  # no table is small enough to be broadcast; hot keys are still told apart
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_KEYS", 5)
+    r = random.Random(6)
+    shared = [f"shared line {k} of many sites" for k in range(8)]
+    rows = []
+    for i in range(90):
+        lines = [f"own {i} {k}" for k in range(r.randrange(3))] + r.sample(shared, r.randrange(5)) + r.choices(["", " \t", shared[0] + " \r"], k=2)
+        r.shuffle(lines)
+        rows.append((r.choice([None, *range(40)]), "\n".join(lines), r.choice([None, "", *(f"s{k}" for k in range(7))])))
+    rows += [rows[3], rows[3], (1, None, "s1"), (None, None, None)]
+    df = spark.createDataFrame([(i, t, s, 0, "x") for i, t, s in rows], "doc_id long, text string, source string, n_removed int, gone string")
+    where = {}
+    key = lambda row: ((row[0] is not None, row[0] or 0), hashlib.md5((("=" + row[2] if row[2] is not None else "") + "\n" + (row[1] or "")).encode()).hexdigest())
+    for row in rows:
+        for at, line in enumerate((row[1] or "").split("\n")):
+            if plain := line.replace("\t", " ").replace("\r", " ").strip(" "):
+                where.setdefault(plain, []).append((row[2], (*key(row), at)))
+    gone = {line: min(p for _, p in found) for line, found in where.items() if len({s for s, _ in found}) >= 8}
+    assert gone
+    want = []
+    for row in rows:
+        left = [x for at, x in enumerate((row[1] or "").split("\n")) if (p := x.replace("\t", " ").replace("\r", " ").strip(" ")) not in gone or gone[p] == (*key(row), at)]
+        want.append((row[0], row[2], None if row[1] is None else "\n".join(left), len((row[1] or "").split("\n")) - len(left)))
+    out = line_spread.remove_boilerplate(df, min_sites=8)
+    assert out.columns == [*df.columns, "n_removed_"]
+    assert sorted(map(repr, ((x["doc_id"], x["source"], x["text"], x["n_removed_"]) for x in out.collect()))) == sorted(map(repr, want))
 
 
 def test_quotes_link_and_vanish(spark):
