@@ -368,6 +368,9 @@ def test_lines_against_brute_force(spark, monkeypatch, few):
     assert sorted(map(repr, ((x["doc_id"], x["source"], x["text"], x["n_removed_"]) for x in out.collect()))) == sorted(map(repr, want))
 
 
+CONVERSATION = "conv_id long, turn long, role string, text string"
+
+
 def test_quotes_link_and_vanish(spark):
     rows = [
         (1, 0, "a", "The harvest starts on the ninth of May.\n\nBring your own gloves please."),
@@ -375,17 +378,23 @@ def test_quotes_link_and_vanish(spark):
         (1, 2, "c", "On Monday a wrote:\n> The harvest starts on the NINTH of May.\n\nI will come along."),
         (1, 3, "d", "> > The harvest starts, on the ninth of May.\n> I will come along.\nGood."),
         (2, 0, "e", "> Nobody told me about it!\nFrom elsewhere."),
+        (2, 1, "e", "And more of it."),
         (3, 0, None, None),
         (3, 1, "x", ""),
-        (None, 0, "x", "left out"),
+        (None, 0, "x", "without a conversation"),
+        (4, None, "x", "> Nobody told me about it!\nwithout a turn"),
     ]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, depth int")
+    df = spark.createDataFrame([(*r, 0) for r in rows], CONVERSATION + ", depth int")
     got = {(r["conv_id"], r["turn"]): r for r in quote_links.reply_ordered(df).collect()}
-    assert len(got) == 7
-    assert got[1, 2]["own"] == "I will come along." and got[1, 2]["parent"] == 0 and got[1, 2]["depth"] == 1
-    assert got[1, 3]["parent"] == 2 and got[1, 3]["depth"] == 2 and got[1, 3]["n_linked"] == 2
+    assert len(got) == 10
+    assert got[1, 2]["own"] == "I will come along." and got[1, 2]["parent_turn"] == 0 and got[1, 2]["depth"] == 1
+    assert got[1, 3]["parent_turn"] == 2 and got[1, 3]["depth"] == 2 and got[1, 3]["n_linked"] == 2
     assert (got[2, 0]["to_conv"], got[2, 0]["to_turn"], got[2, 0]["own"]) == (1, 1, "From elsewhere.")
-    assert got[3, 1]["parent"] == 0 and got[3, 0]["own"] == ""
+    # Conversation 2 joins the thread of 1, under the message it quotes: 0, its replies 1 (with 2.0, 2.1) and 2 (with 3).
+    assert [(c, t) for c, t in sorted((k for k in got if got[k]["root_conv"] == 1), key=lambda k: got[k]["position"])] == [(1, 0), (1, 1), (2, 0), (2, 1), (1, 2), (1, 3)]
+    assert got[3, 1]["parent_turn"] == 0 and got[3, 0]["own"] == ""
+    assert all((got[k]["depth"], got[k]["position"], got[k]["n_linked"]) == (0, 0, 0) for k in ((None, 0), (4, None)))
+    assert quote_links.reply_ordered(df.limit(0)).count() == 0
 
 
 def test_short_repeated_and_outer_quotes_link(spark):
@@ -407,16 +416,137 @@ def test_short_repeated_and_outer_quotes_link(spark):
         (5, 0, "a", "Nothing.\n\n" + line),
         (6, 0, "a", line),
     ]
-    out = quote_links.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    out = quote_links.reply_ordered(spark.createDataFrame(rows, CONVERSATION)).collect()
     assert len(out) == len(rows)
     got = {(r["conv_id"], r["turn"]): r for r in out}
-    assert (got[1, 3]["parent"], got[1, 3]["n_linked"], got[1, 3]["depth"]) == (1, 1, 2)
+    assert (got[1, 3]["parent_turn"], got[1, 3]["n_linked"], got[1, 3]["depth"], got[1, 3]["position"]) == (1, 1, 2, 3)
     assert got[2, 0]["n_linked"] == 0 and got[2, 0]["to_conv"] is None
     assert sorted(r["own"] for r in out if (r["conv_id"], r["turn"]) == (3, 1)) == ["The first try.", "The second try of it.", "The second try of it."]
-    assert {r["parent"] for r in out if (r["conv_id"], r["turn"]) == (3, 1)} == {0}
-    assert [(got[3, k]["parent"], got[3, k]["depth"], got[3, k]["n_linked"]) for k in (2, 3)] == [(1, 2, 1), (1, 2, 1)]
+    assert {r["parent_turn"] for r in out if (r["conv_id"], r["turn"]) == (3, 1)} == {0}
+    assert [(got[3, k]["parent_turn"], got[3, k]["depth"], got[3, k]["n_linked"]) for k in (2, 3)] == [(1, 2, 1), (1, 2, 1)]
     assert sorted(r["position"] for r in out if r["conv_id"] == 3) == list(range(6))
-    assert (got[4, 0]["to_conv"], got[4, 0]["to_turn"], got[4, 0]["n_linked"]) == (5, 0, 1)
+    assert (got[4, 0]["to_conv"], got[4, 0]["to_turn"], got[4, 0]["n_linked"], got[4, 0]["depth"]) == (5, 0, 1, 0)
+
+
+def quoting(seed: int, n: int) -> list[tuple]:
+    """Generated conversations whose messages quote earlier or other ones, whole, in part, nested or changed."""
+    r = random.Random(seed)
+    said, rows = ["Yes, agreed.", "Yes, agreed."], []
+    for conv in range(n):
+        here: list[str] = []
+        for turn in range(r.choice([1, 2, 4, 9])):
+            lines = []
+            for _ in range(r.choice([0, 1, 1, 2])):
+                source = r.choice(here if here and r.random() < 0.7 else said)
+                mode = r.randrange(4)
+                if mode == 0 and ". " in source:
+                    source = r.choice(source.split(". "))
+                elif mode == 1:
+                    source = source.upper().replace(",", " ,")
+                mark = r.choice(["> ", ">", "> > ", ">> "])
+                lines += ["On some day a wrote:"] * r.randrange(2) + [mark + x for x in source.split("\n")] + [""] * r.randrange(2)
+            own = "\n".join(". ".join(text(r.randrange(10**6), r.randrange(1, 6)).capitalize() for _ in range(r.randrange(1, 4))) + "." for _ in range(r.randrange(1, 3)))
+            rows.append((conv if r.random() < 0.95 else None, turn + (r.random() < 0.1) if r.random() < 0.97 else None, r.choice(["a", "b", None]), "\n".join([*lines, own]) if r.random() < 0.95 else None))
+            here.append(own)
+        said += here
+    return rows + rows[5:7] * 2 + [(1, 0, "a", ""), (n, 0, "z", "> \n>\n> > ")]
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_replies_against_brute_force_and_sql(spark, monkeypatch, few):
+    duckdb = pytest.importorskip("duckdb")
+    if few:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_KEYS", 6)
+    rows = quoting(3, 40)
+    out = quote_links.reply_ordered(spark.createDataFrame(rows, CONVERSATION))
+    got = sorted(repr(tuple(r)) for r in out.collect())
+
+    norm = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    sentences = lambda t: [x for x in map(norm, re.split(r"[.!?]+(?:\s+|$)", t)) if x]
+    order = lambda x: (x is not None, x if x is not None else 0)
+    name = lambda x: (x is not None, x or "")
+    ms = sorted(rows, key=lambda r: (order(r[0]), order(r[1]), name(r[2]), name(r[3] and hashlib.md5(r[3].encode()).hexdigest() if r[3] is not None else None)))
+    parsed = []
+    for _, _, _, t in ms:
+        lines = []
+        for line in (t or "").split("\n"):
+            marks = re.match(quote_links.MARKS, line).group(1)
+            lines.append((marks.count(">"), line[len(marks) :]))
+        parts, run = [], None
+        for level, body in lines:
+            if not body.strip(" "):
+                run = None
+            elif run and run[0] == level:
+                run[1] += "\n" + body
+            else:
+                parts.append(run := [level, body])
+        own = "\n".join(b for i, (v, b) in enumerate(lines) if not v and not (re.search(quote_links.INTRO, b) and i + 1 < len(lines) and lines[i + 1][0]))
+        parsed.append((re.sub(r"\n\s*\n\s*\n", "\n\n", own).strip(), parts))
+    held = {}
+    for i, (own, parts) in enumerate(parsed):
+        if None not in ms[i][:2]:
+            for u in {norm(own), *(norm(t) for v, t in parts if not v), *(x for v, t in parts if not v for x in sentences(t))} - {""}:
+                held.setdefault(u, []).append(i)
+    parent, best, linked = {}, {}, {}
+    for i, (_, parts) in enumerate(parsed):
+        conv, turn = ms[i][:2]
+        found = []
+        if None not in (conv, turn):
+            for level, t in parts:
+                if level:
+                    ss = sentences(t)
+                    keys = [norm(t)] + ([max(ss, key=len)] if len(ss) > 1 and max(map(len, ss)) >= 12 else [])
+                    ways = []
+                    for rank, k in enumerate(k for k in keys if k):
+                        inside = [j for j in held.get(k, []) if ms[j][0] == conv and ms[j][1] < turn]
+                        others = [j for j in held.get(k, []) if ms[j][0] != conv] if len(k) >= 12 and not inside else []
+                        ways += [(rank, 0, max(inside))] if inside else [(rank, 1, min(others))] if others else []
+                    if ways:
+                        found.append((level, min(ways)[1], -min(ways)[2]))
+        linked[i], best[i] = len(found), -min(found)[2] if found else None
+        back = [j for j in range(len(ms)) if None not in (conv, turn) and ms[j][0] == conv and ms[j][1] is not None and ms[j][1] < turn]
+        parent[i] = best[i] if best[i] is not None and best[i] < i else max(back, default=None)
+    replies = {}
+    for i, j in parent.items():
+        replies.setdefault(j, []).append(i)
+    place = {}
+    for root in replies[None]:
+        stack, n = [(root, 0)], 0
+        while stack:
+            i, depth = stack.pop()
+            place[i] = (depth, root, n)
+            n += 1
+            stack += [(j, depth + 1) for j in reversed(replies.get(i, []))]
+    at = lambda i: (None, None) if i is None else ms[i][:2]
+    want = [(*ms[i][:3], parsed[i][0], sum(v > 0 for v, _ in parsed[i][1]), linked[i], *at(best[i]), *at(parent[i]), place[i][0], *at(place[i][1]), place[i][2]) for i in range(len(ms))]
+    assert got == sorted(map(repr, want))
+    assert sum(linked.values()) > 60 and any(p is not None and ms[p][0] != ms[i][0] for i, p in parent.items()) and any(place[i][2] != i - place[i][1] for i in place)
+
+    db = duckdb.connect()
+    db.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    db.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    sql = db.execute(quote_links.oracle())
+    names = [d[0] for d in sql.description]
+    assert sorted(names) == sorted(out.columns)
+    assert sorted(repr(tuple(r[names.index(c)] for c in out.columns)) for r in sql.fetchall()) == got
+
+
+def test_a_long_conversation(spark):
+    n = 3000
+    rows = [(1, i, "a", f"> message {i - 7} of it\nmessage {i} of it" if i % 10 == 9 else f"message {i} of it") for i in range(n)]
+    out = quote_links.reply_ordered(spark.createDataFrame(rows, CONVERSATION)).collect()
+    depth, replies = {}, {}
+    for i in range(n):
+        p = i - 7 if i % 10 == 9 else i - 1
+        depth[i] = depth[p] + 1 if i else 0
+        replies.setdefault(p, []).append(i)
+    place, stack = {}, [0]
+    while stack:
+        i = stack.pop()
+        place[i] = len(place)
+        stack += reversed(replies.get(i, []))
+    assert {r["turn"]: (r["depth"], r["position"]) for r in out} == {i: (depth[i], place[i]) for i in range(n)}
 
 
 def test_contexts_find_unseen_identifiers(spark):
