@@ -2,19 +2,21 @@
 
 Matches of four fixed patterns are the seed entities. What stands around them
 induces lexical patterns: the two words before, the word before with the word
-behind, the word before with the shape of the entity. Every other token that
+behind, the word before with the shape of the entity, the shape. Every other token that
 looks like an identifier is a candidate instance of the patterns it stands in.
 On the graph of patterns and instances (distinct values), a pattern's confidence
-is the mean score of its instances, seeds counting one, shrunk for few; an
-instance's score is the chance that one of its patterns is right. After a few
-rounds candidates of high score in a pattern of high confidence are found spans
-of kind ``context``.
-
-Null and empty texts have no span. Repeated rows are one row each. Texts are
+is the sum of the scores of its accepted instances (seeds count one) over all its
+instances, shrunk for few; it is confident from ``MIN_CONFIDENCE`` on, if enough
+accepted values support it. A candidate in two confident patterns or more is
+accepted; its score is the chance that one of them is right. Accepted values
+support further patterns in the next round, until none is added. Occurrences of
+accepted values in a confident pattern are found spans of kind ``context``.
+
+Null and empty texts have no span. Rows are told apart by a number of their own,
+so repeated ids, null ids and repeated rows keep their own spans. Texts are
 scanned whole, in time linear in their length; offsets count code points, ends
 are exclusive. An empty table gives an empty result. Only ``doc_id`` and
-``text`` are read. Patterns without enough distinct seeds leave the graph before
-it is iterated; that is part of their definition, not a cap.
+``text`` are read.
 """
 
 from __future__ import annotations
@@ -38,10 +40,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"\S+")
 TRIM = ".,;:!?\"'()[]{}<>*#%&$|"
-#: Distinct seed values a pattern needs, rounds of scoring, and the confidence and score that a found span needs.
-MIN_SEEDS = 5
-ROUNDS = 4
+#: Distinct accepted values a confident pattern needs, its confidence, and how many such patterns a candidate needs.
+MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
+MIN_PATTERNS = 2
+#: Rounds of scoring at most.
+ROUNDS = 10
 #: Instances of unknown worth that are added to every pattern.
 SHRINK = 1.0
 MIN_CHARS = 6
@@ -124,7 +128,7 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         after = TOKEN.search(text, b, min(len(text), b + 120))
         right = word(after.group()) if after else ""
         near = left[-1] if left else ""
-        patterns = []
+        patterns = [f"T|{shape(text[a:b])}"]
         if len(left) == 2 and near:
             patterns.append(f"L|{left[0]} {near}")
         if near and right:
@@ -151,40 +155,43 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base = base_spans(text)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
                 found.append(instances(text, base))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(spans, span), pa.array(found, inst)], names=["doc_id", "base", "instances"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, span), pa.array(found, inst)], names=["doc_id", "base", "instances"])
 
 
 def confident(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of patterns (``pattern, confidence``) and instances (``value, score``) of a graph ``pattern, value, seed``."""
-    scores = edges.groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
+    """Confident patterns (``pattern, confidence``) and accepted instances (``value, score``) of a graph ``pattern, value, seed``."""
+    sizes = written(edges.groupBy("pattern").agg(F.count("*").alias("n")))
+    seeds = written(edges.where("seed").select("value", F.lit(1.0).alias("score")).distinct())
+    accepted, n_before = seeds, -1
     patterns = None
     for _ in range(rounds):
-        patterns = written(edges.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + SHRINK)).alias("confidence")))
-        miss = F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))
-        scores = written(edges.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("s"), F.sum(miss).alias("miss")).select("value", F.when(F.col("s"), 1.0).otherwise(1 - F.exp("miss")).alias("score")))
-    return patterns, scores
+        n = accepted.count()
+        if n == n_before and patterns is not None:
+            break
+        n_before = n
+        support = edges.join(accepted, "value").groupBy("pattern").agg(F.sum("score").alias("s"), F.count("*").alias("support")).where(F.col("support") >= MIN_SUPPORT)
+        scored = support.join(sizes, "pattern").select("pattern", (F.col("s") / (F.col("n") + SHRINK)).alias("confidence"))
+        patterns = written(scored.where(F.col("confidence") >= MIN_CONFIDENCE))
+        miss = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
+        found = edges.where("not seed").join(patterns, "pattern").groupBy("value").agg(F.count("*").alias("k"), (1 - F.exp(miss)).alias("score"))
+        accepted = written(seeds.unionByName(found.where(F.col("k") >= MIN_PATTERNS).select("value", "score").join(seeds.select("value"), "value", "left_anti")))
+    return patterns, accepted
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """``doc_id, base, extra``: arrays of (kind, start, end)."""
+    """``doc_id, base, extra`` of every row: arrays of (kind, start, end)."""
     small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, base array<struct<kind:int,start:int,end:int>>, instances array<struct<start:int,end:int,kind:int,value:string,patterns:array<string>>>"
-    rows = written(texts.select("doc_id", "text").mapInArrow(_extract, schema))
-    slots = rows.where(F.size("instances") > 0).select("doc_id", F.explode("instances").alias("i")).select("doc_id", F.col("i.start").alias("start"), F.col("i.end").alias("end"), (F.col("i.kind") >= 0).alias("seed"), F.col("i.value").alias("value"), F.col("i.patterns").alias("patterns"))
-    pairs = slots.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    strong = pairs.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).where((F.col("seeds") >= MIN_SEEDS) & (F.col("others") > 0))
-    edges = written(pairs.join(strong.select("pattern"), "pattern", "left_semi"))
+    rows = written(texts.mapInArrow(_extract, schema).withColumn("row", F.monotonically_increasing_id()))
+    slots = rows.where(F.size("instances") > 0).select("row", F.explode("instances").alias("i")).select("row", F.col("i.start").alias("start"), F.col("i.end").alias("end"), (F.col("i.kind") >= 0).alias("seed"), F.col("i.value").alias("value"), F.col("i.patterns").alias("patterns"))
+    edges = written(slots.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+    patterns, accepted = confident(edges)
+    free = slots.where(~F.col("seed")).select("row", "start", "end", "value", F.explode("patterns").alias("pattern"))
+    hits = free.join(patterns, "pattern", "left_semi").join(accepted, "value", "left_semi")
+    found = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit(KINDS.index("context")).alias("kind"), "start", "end"))).alias("extra"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    base = rows.select("doc_id", "base")
-    if edges.isEmpty():
-        return base.withColumn("extra", none)
-    patterns, scores = confident(edges)
-    good = patterns.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern")
-    values = scores.where(F.col("score") >= MIN_CONFIDENCE).select("value")
-    hits = slots.where(~F.col("seed")).select("doc_id", "start", "end", "value", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi").join(values, "value", "left_semi")
-    found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.lit(KINDS.index("context")).alias("kind"), "start", "end"))).alias("extra"))
-    return base.join(found, "doc_id", "left").select("doc_id", "base", F.coalesce("extra", none).alias("extra"))
+    return rows.select("row", "doc_id", "base").join(found, "row", "left").select("doc_id", "base", F.coalesce("extra", none).alias("extra"))
 
 
 def joined(spans: Column) -> Column:

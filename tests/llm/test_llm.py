@@ -557,6 +557,71 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[1000]["spans"] == "" and len(got) == len(rows)
 
 
+def planted_contexts(seed: int) -> tuple[list[tuple], set]:
+    """Texts that introduce known and unknown identifiers by the same words, one set of contexts after the other, and where the unknown stand."""
+    r = random.Random(seed)
+    first = [("write me at", "any time"), ("reach her at", "by noon"), ("mail it to", "please do")]
+    second = [("my badge number", "was lost"), ("the badge is", "said she")]
+    unknown = [f"{r.choice('QXZ')}{r.randrange(10**5, 10**6)}-{r.choice('abc')}" for _ in range(40)]
+    rows, planted = [], set()
+
+    def add(context, value, is_unknown):
+        before, after = context
+        lead = f"{text(r.randrange(10**6), 8)} {before} "
+        if is_unknown:
+            planted.add((len(rows), len(lead), len(lead) + len(value)))
+        rows.append((len(rows), f"{lead}{value} {after} {text(r.randrange(10**6), 6)}"))
+
+    for c in first:
+        for i in range(60):
+            add(c, f"user{seed}{i}@mail{i % 7}.example", False)
+    for i, v in enumerate(unknown[:34]):  # few beside many known ones at first, and many beside few further ones then
+        add(first[i % 3], v, True)
+        for c in second:
+            add(c, v, True)
+    for v in unknown[34:]:
+        add(r.choice(second), v, True)
+    for _ in range(60):  # other tokens with digits, in contexts of their own
+        rows.append((len(rows), f"{text(r.randrange(10**6), 5)} build{r.randrange(10**4)}.{r.randrange(100)} {text(r.randrange(10**6), 5)}"))
+    return rows, planted
+
+
+def test_bootstrap_reaches_contexts_without_seeds(spark):
+    rows, planted = planted_contexts(3)
+    got = {(r["doc_id"], *map(int, x.split(":")[1:])) for r in pii_bootstrap.report(docs(spark, rows)).collect() for x in r["spans"].split(",") if x.startswith("context")}
+    assert not got - planted
+    assert len(got & planted) >= 0.9 * len(planted)
+
+
+def test_bootstrap_against_brute_force(spark):
+    rows, _ = planted_contexts(5)
+    rows += [(7, "write me at Q1234567 any time"), (7, "write me at any time"), (None, "write me at Q7654321 any time"), (None, None), rows[95], rows[95]]
+    found = [pii_bootstrap.instances(t or "", pii_bootstrap.base_spans(t or "")) for _, t in rows]
+    edges = {}
+    for xs in found:
+        for x in xs:
+            for p in x["patterns"]:
+                edges[p, x["value"]] = edges.get((p, x["value"]), False) or x["kind"] >= 0
+    seeds = {v for (_, v), s in edges.items() if s}
+    score = dict.fromkeys(seeds, 1.0)
+    for _ in range(pii_bootstrap.ROUNDS):
+        size, mass, n = {}, {}, {}
+        for p, v in edges:
+            size[p] = size.get(p, 0) + 1
+            if v in score:
+                mass[p], n[p] = mass.get(p, 0.0) + score[v], n.get(p, 0) + 1
+        good = {p: m / (size[p] + 1) for p, m in mass.items() if n[p] >= 5 and m / (size[p] + 1) >= 0.8}
+        score = dict.fromkeys(seeds, 1.0)
+        for v in {v for _, v in edges} - seeds:
+            own = [good[p] for p, w in edges if w == v and p in good and not edges[p, w]]
+            if len(own) >= 2:
+                score[v] = 1 - np.prod([1 - c for c in own])
+    want = sorted((str(i), sorted((x["start"], x["end"]) for x in xs if x["kind"] < 0 and x["value"] in score and any(p in good for p in x["patterns"]))) for (i, _), xs in zip(rows, found, strict=True))
+    got = sorted((str(r["doc_id"]), sorted(tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("context"))) for r in pii_bootstrap.report(docs(spark, rows)).collect())
+    assert got == want and any(x for _, x in want)
+    assert pii_bootstrap.report(docs(spark, []).limit(0)).count() == 0
+
+
 def test_base_spans_against_plain_patterns():
     plain = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
     r = random.Random(2)
