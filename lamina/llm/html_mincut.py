@@ -432,6 +432,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), weight
     rows = pages.select(*keep, F.col("html").cast("string").alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.frugal()
         for batch in batches:
             for lo, hi in K.slices(batch.column(name)):
                 part = batch.slice(lo, hi - lo)

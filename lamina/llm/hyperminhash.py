@@ -146,6 +146,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    K.frugal()
     for batch in batches:
         for a, b in K.slices(batch.column("text")):
             part = batch.slice(a, b - a)
@@ -175,6 +176,7 @@ def _bands(height: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    K.frugal()
     for batch in batches:
         for a, b in K.slices(batch.column("text")):
             part = batch.slice(a, b - a)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -20,6 +22,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def frugal() -> None:
+    """In a worker: give freed memory of large arrays back at once, as workers outlive their tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # blocks from this size on are mapped, whatever was freed before
+    except (OSError, AttributeError):  # another C library
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     h = h ^ (h >> U64(33))

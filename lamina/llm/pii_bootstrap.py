@@ -143,6 +143,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     inst = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
     digit = re.compile("[0-9@]")
+    K.frugal()
     for batch in batches:
         for lo, hi in K.slices(batch.column("text")):
             part = batch.slice(lo, hi - lo)

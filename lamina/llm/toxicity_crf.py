@@ -162,15 +162,26 @@ def families(form: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> np.ndar
     return keep
 
 
-def lexicon(feats: list[list[str]], form: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> set[str]:
-    """Features that label tokens: far more toxic documents hold them than chance would give."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for i, t in enumerate(toxic.tolist()):
-        seen[int(t)].update({f for k in set(form[first[i] : first[i + 1]].tolist()) for f in feats[k]})
+def lexicon(forms: list[str], form: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> set[str]:
+    """Features that label tokens: far more toxic documents hold them than chance would give.
+
+    Features of too few toxic documents to pass are let go before clean ones are counted.
+    """
     base = float(toxic.mean())
+
+    def counts(label: int, among: Counter | None) -> Counter:
+        seen: Counter = Counter()
+        for i in np.flatnonzero(toxic == label).tolist():
+            own = {f for k in np.unique(form[first[i] : first[i + 1]]).tolist() for f in features(forms[k])}
+            seen.update(own if among is None else [f for f in own if f in among])
+        return seen
+
+    least = log(MAX_CHANCE) / log(base)
+    hits = Counter({f: k for f, k in counts(1, None).items() if k > least})
+    misses = counts(0, hits)
     found = set()
-    for f, k1 in seen[1].items():
-        n = k1 + seen[0][f]
+    for f, k1 in hits.items():
+        n = k1 + misses[f]
         share = k1 / n
         if share > base:
             # Chernoff bound of the binomial tail.
@@ -197,33 +208,30 @@ def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, rounds:
         model.doc[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return model
     _, _, _, first, form, forms = tokens(pa.array(texts, pa.string()))
-    feats = [features(w) for w in forms]
-    seeds = lexicon(feats, form, first, toxic)
-    hot = np.array([any(f in seeds for f in fs) for fs in feats], dtype=bool)
+    seeds = lexicon(forms, form, first, toxic)
+    hot = np.array([any(f in seeds for f in features(w)) for w in forms], dtype=bool)
     # All features of labelled forms have weights.
-    vocab = {f: i for i, f in enumerate(sorted({f for fs, h in zip(feats, hot.tolist(), strict=True) if h for f in fs}))}
+    vocab = {f: i for i, f in enumerate(sorted({f for k in np.flatnonzero(hot).tolist() for f in features(forms[k])}))}
     doc_of = np.repeat(np.arange(len(toxic)), np.diff(first))
     label = hot[form] & (toxic[doc_of] == 1)
-    rows = [[vocab[f] for f in fs if f in vocab] for fs in feats]
-    width = np.array([len(r) for r in rows])
-    flat = np.array([c for r in rows for c in r], dtype=np.int64)
-    owner = np.repeat(np.arange(len(rows)), width)
+    pairs = np.array([(k, vocab[f]) for k, w in enumerate(forms) for f in features(w) if f in vocab], dtype=np.int64).reshape(-1, 2)
+    owner, flat = pairs[:, 0].copy(), pairs[:, 1].copy()
     uses = np.bincount(form, minlength=len(forms)).astype(float)
     got = np.bincount(form[label], minlength=len(forms)).astype(float)
     scale = np.bincount(flat, weights=uses[owner], minlength=len(vocab)) + 4.0
     inner = np.ones(len(form), dtype=bool)
     inner[first[:-1][np.diff(first) > 0]] = False
     y = label.astype(float)
-    pairs = float((y[1:] * y[:-1] * inner[1:]).sum())
+    both = float((y[1:] * y[:-1] * inner[1:]).sum())
     w, bias, trans = np.zeros(len(vocab)), -6.0, np.zeros((2, 2))
     for _ in range(rounds):
-        logit = (np.bincount(owner, weights=w[flat], minlength=len(rows)) + bias)[form]
+        logit = (np.bincount(owner, weights=w[flat], minlength=len(forms)) + bias)[form]
         p = marginals(logit, first, trans)
         want = np.bincount(form, weights=p, minlength=len(forms))
         grad = np.bincount(flat, weights=(got - want)[owner], minlength=len(vocab)) - 0.3 * w
         w = w + rate * np.clip(8 * grad / scale, -2, 2)
         bias += 0.3 * rate * np.clip(8 * (y.sum() - p.sum()) / (y.sum() + p.sum() + 4.0), -1, 1)
-        trans[1, 1] = np.clip(trans[1, 1] + rate * np.clip((pairs - pair_mass(logit, first, trans, p)) / (y.sum() + 4.0), -0.5, 0.5), -3, 3)
+        trans[1, 1] = np.clip(trans[1, 1] + rate * np.clip((both - pair_mass(logit, first, trans, p)) / (y.sum() + 4.0), -0.5, 0.5), -3, 3)
     model.weights = {f: float(w[i]) for f, i in vocab.items() if abs(w[i]) > 1e-3}
     model.bias, model.trans = float(bias), trans
     x = evidence(marginals(emissions(model, forms)[form], first, trans), first)
@@ -240,6 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_ch
     ids = both[0].unionByName(both[1])  # at most 2 * max_train rows of two numbers: small enough to broadcast
     chosen = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id")
     rows = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    K.frugal()
     kept = Counter(r["toxic"] for r in rows)
     # Each class stands for its share of all training rows.
     weight = (held.get(0, 0) / max(kept[0], 1)) / max(held.get(1, 0) / max(kept[1], 1), 1e-9) if kept[1] else 1.0
@@ -256,6 +265,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), pr
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.frugal()
         m = shared.value
         for batch in batches:
             for lo, hi in K.slices(batch.column(names[-1])):

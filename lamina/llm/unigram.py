@@ -365,6 +365,7 @@ def encode_frame(docs: DataFrame, model_path: str | None = None, keep: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
+        K.frugal()
         m = shared.value
         is_byte = np.zeros(len(m.score), dtype=np.int64)
         is_byte[m.byte_ids[m.byte_ids >= 0]] = 1
