@@ -30,14 +30,23 @@ def mapping_lines(ranges: DataFrame) -> DataFrame:
 def covered_lines(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """``path, line, filled, covered`` of ``files(path, content)`` under ``ranges(path, start_line, end_line)``.
 
-    Ranges are gathered per file and tested per line inside the row, so lines never meet ranges in a join. A file with whole-file
-    ranges only (no lines) is covered throughout.
+    Ranges are gathered per file, cut to its lines and made disjoint; lines and
+    ranges meet inside the row, by sets, in time linear in the lines. A file with
+    whole-file ranges only (no lines) is covered throughout.
     """
-    per = ranges.groupBy("path").agg(F.collect_list(F.struct("start_line", "end_line")).alias("r"))
-    wide = files.join(per, "path").select("path", "r", F.posexplode(lines(F.col("content"))).alias("at", "text"))
-    hit = F.exists("r", lambda r: (F.col("at") + 1 >= r["start_line"]) & (F.col("at") + 1 <= r["end_line"]))
-    only_whole = F.forall("r", lambda r: r["start_line"].isNull())
-    return wide.select("path", (F.col("at") + 1).alias("line"), (F.trim(F.regexp_replace("text", r"\s+", " ")) != "").alias("filled"), F.coalesce(hit, F.lit(False)).alias("inside"), only_whole.alias("whole")).select("path", "line", "filled", (F.col("inside") | F.col("whole")).alias("covered"))
+    per = ranges.groupBy("path").agg(F.array_sort(F.collect_set(F.when(F.col("start_line").isNotNull() & F.col("end_line").isNotNull(), F.struct(F.col("start_line").cast("int").alias("a"), F.col("end_line").cast("int").alias("b"))))).alias("r"))
+    wide = files.join(per, "path").select("path", "r", lines(F.col("content")).alias("ls"))
+    n = F.size("ls")
+    # One pass over the sorted ranges: each gives the lines behind those that are covered already.
+    step = lambda acc, r: F.struct(F.greatest(acc["end"], r["b"]).alias("end"), F.concat(acc["spans"], F.array(F.struct(F.greatest(r["a"], acc["end"] + 1, F.lit(1)).alias("a"), F.least(r["b"], n).alias("b")))).alias("spans"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
+    spans = F.filter(F.aggregate("r", start, step, lambda acc: acc["spans"]), lambda x: x["a"] <= x["b"])
+    every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    hit = F.when(F.size("r") == 0, every).otherwise(F.flatten(F.transform(spans, lambda x: F.sequence(x["a"], x["b"]))))
+    split = wide.select("path", "ls", hit.alias("hit"), F.array_except(every, hit).alias("free"))
+    row = lambda is_hit: lambda i: F.struct(i.alias("line"), F.lit(is_hit).alias("covered"))
+    rows = split.select("path", F.explode(F.transform(F.array(F.struct("ls", F.concat(F.transform("hit", row(True)), F.transform("free", row(False))).alias("all"))), lambda s: F.transform(s["all"], lambda x: F.struct(x["line"].alias("line"), x["covered"].alias("covered"), F.get(s["ls"], x["line"] - 1).alias("text"))))[0]).alias("x"))
+    return rows.select("path", "x.line", (F.trim(F.regexp_replace("x.text", r"\s+", " ")) != "").alias("filled"), "x.covered")
 
 
 def file_coverage(covered: DataFrame) -> DataFrame:
@@ -53,13 +62,18 @@ def uncovered_runs(covered: DataFrame) -> DataFrame:
     return open_lines.withColumn("island", island).groupBy("path", "island").agg(F.min("line").alias("first"), F.max("line").alias("last")).select("path", "first", "last")
 
 
+def with_current(mappings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``mappings(id, node, node_hash)`` with ``now``, the hash their node has; null where the node is gone."""
+    return mappings.join(nodes.select("node", F.col("hash").alias("now")), "node", "left")
+
+
 def drift(mappings: DataFrame, nodes: DataFrame, ranges: DataFrame, files: DataFrame) -> DataFrame:
     """``id, status`` of each mapping: spec-drifted, artifact-drifted, unavailable or clean; the spec side comes first, then ranges in order.
 
     ``mappings(id, node, node_hash)``, ``nodes(node, hash)``, ``ranges(id, ord, path, hash)``, ``files(path, hash)``; a node that is not found gives no signal.
     """
     eligible = lambda c: F.col(c).startswith("sha256:") & (F.col(c) != "sha256:placeholder")
-    spec = mappings.join(nodes.select("node", F.col("hash").alias("now")), "node", "left").select("id", F.when(eligible("node_hash") & (F.col("now") != F.col("node_hash")), "spec-drifted").alias("spec"))
+    spec = with_current(mappings, nodes).select("id", F.when(eligible("node_hash") & (F.col("now") != F.col("node_hash")), "spec-drifted").alias("spec"))
     checked = ranges.join(files.select("path", F.col("hash").alias("file_hash")), "path", "left").where(eligible("hash"))
     bad = checked.select("id", "ord", F.when(F.col("file_hash").isNull(), "unavailable").when(F.col("file_hash") != F.col("hash"), "artifact-drifted").alias("s")).where("s is not null")
     first = bad.groupBy("id").agg(F.min_by("s", "ord").alias("artifact"))

@@ -5,20 +5,14 @@ Edges may repeat (a multigraph). Null ends match no node.
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.text import edge_score
-from lamina.operators.tables import settled
+from lamina.operators.tables import Grown, settled
 
 #: Relation types that must not form cycles.
 ACYCLIC = ("depends-on", "precedes")
-#: Edges up to this number are sent to every task by the betweenness operator; it refuses more.
-MAX_ADJACENCY = 2_000_000
 
 
 def live_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -86,15 +80,13 @@ def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _reach(start: DataFrame, edges: DataFrame, names: tuple[str, str]) -> DataFrame:
-    """All (root, id) pairs along ``edges`` from ``start(root, id)``: frontier joins, each pair once."""
-    seen = settled(start.distinct())
-    frontier = seen
+    """All (root, id) pairs along ``edges`` from ``start(root, id)``: frontier joins, each pair once; a round writes its new pairs only."""
+    seen = Grown(start.distinct())
+    steps = settled(edges.select(F.col(names[0]).alias("id"), F.col(names[1]).alias("next")).distinct())
     while True:
-        new = frontier.join(edges.select(F.col(names[0]).alias("id"), F.col(names[1]).alias("next")), "id").select("root", F.col("next").alias("id")).distinct()
-        frontier = settled(new.join(seen, ["root", "id"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = settled(seen.union(frontier))
+        new = seen.last.join(steps, "id").select("root", F.col("next").alias("id")).distinct()
+        if seen.append(new.join(seen.all(), ["root", "id"], "left_anti")).isEmpty():
+            return seen.all()
 
 
 def closure(roots: DataFrame, children: DataFrame) -> DataFrame:
@@ -102,79 +94,94 @@ def closure(roots: DataFrame, children: DataFrame) -> DataFrame:
     return _reach(roots.select(F.col("id").alias("root"), "id"), children, ("parent", "child"))
 
 
-def cycles(nodes: DataFrame, edges: DataFrame, acyclic: tuple[str, ...] = ACYCLIC) -> DataFrame:
-    """``component, members, types, violation``: strongly connected sets of several nodes, or of one with an edge to itself.
+def _least_reaching(arcs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, color``: the least id that reaches a node along ``arcs(src, dst)``, itself included. One row per node in every round."""
+    color = settled(ids.select("id", F.col("id").alias("color")))
+    while True:
+        near = arcs.join(color.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("near"))
+        low = F.least("color", F.coalesce("near", "color"))
+        nxt = settled(color.join(near, "id", "left").select("id", low.alias("color"), (low < F.col("color")).alias("moved")))
+        color = nxt.select("id", "color")
+        if nxt.where("moved").isEmpty():
+            return color
+
 
-    Nodes without an edge in or out are peeled off first, round by round; what
-    stays lies on or between cycles and is small in hierarchies. A node's set is
-    the least of the nodes that it reaches and that reach it.
+def strong_components(arcs: DataFrame) -> DataFrame:
+    """``id, component`` of the strongly connected sets of ``arcs(src, dst)`` that hold an arc; component is a set's least id.
+
+    Nodes without an arc in or out are peeled off, round by round. In the rest,
+    every node takes the least id that reaches it as its colour; those that also
+    reach that id inside the colour are one set, and the others go on. Rows stay
+    one per node, whatever the size of a set.
     """
-    e = settled(live_edges(nodes, edges).select("src", "dst", "type").distinct())
-    count, core = -1, e
+    left = settled(arcs.select("src", "dst").distinct())
+    found = Grown(left.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0))
     while True:
-        core = settled(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        size = core.count()
-        if size == count:
-            break
-        count = size
-    arcs = core.select("src", "dst").distinct()
-    pairs = _reach(arcs.select(F.col("src").alias("root"), F.col("dst").alias("id")), arcs, ("src", "dst"))
-    mutual = pairs.join(pairs.select(F.col("root").alias("id"), F.col("id").alias("root")), ["root", "id"], "left_semi")
-    label = settled(mutual.groupBy(F.col("root").alias("node")).agg(F.min("id").alias("component")))
-    inner = core.join(label.withColumnRenamed("node", "src"), "src").join(label.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2")
+        count = -1
+        while count != (count := left.count()) and count:
+            left = settled(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        if not count:
+            return found.all()
+        ids = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
+        color = _least_reaching(left, ids)
+        inside = left.join(color.select(F.col("id").alias("src"), "color"), "src").join(color.select(F.col("id").alias("dst"), F.col("color").alias("c2")), "dst").where("color = c2")
+        # Backwards from each colour's own node, within the colour.
+        back = _reach(color.where("id = color").select(F.col("color").alias("root"), "id"), inside.select("src", "dst"), ("dst", "src"))
+        own = settled(back.select("id", F.col("root").alias("component")))
+        held = own.join(inside.select(F.col("src").alias("id")).union(inside.select("dst")).distinct(), "id", "left_semi")
+        sizes = held.groupBy("component").agg(F.count("*").alias("n"))
+        loops = left.where("src = dst").select(F.col("src").alias("component")).distinct().withColumn("loop", F.lit(True))
+        real = sizes.join(loops, "component", "left").where("n > 1 or loop").select("component")
+        found.append(held.join(real, "component", "left_semi").select("id", "component"))
+        done = own.select("id")
+        left = settled(left.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+
+
+def cycles(nodes: DataFrame, edges: DataFrame, acyclic: tuple[str, ...] = ACYCLIC) -> DataFrame:
+    """``component, members, types, violation``: strongly connected sets of several nodes, or of one with an edge to itself."""
+    e = settled(live_edges(nodes, edges).select("src", "dst", "type").distinct())
+    label = settled(strong_components(e))
+    inner = e.join(label.withColumnRenamed("id", "src"), "src").join(label.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2")
     types = inner.groupBy("component").agg(F.array_sort(F.collect_set("type")).alias("types"))
-    members = label.groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("members"))
+    members = label.groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("members"))
     bad = F.arrays_overlap("types", F.array(*[F.lit(t) for t in acyclic]))
     return members.join(types, "component").select("component", "members", "types", bad.alias("violation"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: int | None = None) -> DataFrame:
     """``id, score``: directed, unweighted; parallel edges multiply paths; divided by (n-1)(n-2) where n > 2; scores above 0 only.
 
-    Sources are dealt over tasks; each task walks the whole adjacency, which is
-    sent to all of them and whose size is checked.
+    Shortest paths are counted level by level from all sources at once, then
+    shares are summed back up, level by level: joins and sums on (source, node),
+    nothing is held in one place. Rows are the reachable pairs; on graphs where
+    those are too many, ``sources`` takes that many nodes, the first by a hash of
+    the id, and scales up: every score's standard error is then at most
+    ``1 / (2 sqrt(sources))`` in units of n / (n - 2).
     """
-    live = live_edges(nodes, edges).select("src", "dst")
-    if live.count() > MAX_ADJACENCY:
-        raise ValueError(f"betweenness holds all edges in each task; more than {MAX_ADJACENCY} edges are refused")
-    out: dict[str, list[str]] = {}
-    for r in live.toLocalIterator():
-        out.setdefault(r["src"], []).append(r["dst"])
-    shared = nodes.sparkSession.sparkContext.broadcast(out)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adjacency = shared.value
-        total: dict[str, float] = {}
-        for pdf in batches:
-            for s in pdf["id"]:
-                dist, paths, order, before = {s: 0}, {s: 1.0}, [], {}
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in adjacency.get(v, ()):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] = paths.get(w, 0.0) + paths[v]
-                            before.setdefault(w, []).append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s and share[w]:
-                        total[w] = total.get(w, 0.0) + share[w]
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())}, columns=["id", "part"]).astype({"id": "str", "part": "float64"})
-
-    ids = nodes.select(F.col("id").cast("string").alias("id")).distinct()
+    live = settled(live_edges(nodes, edges).where("src <> dst").groupBy(F.col("src").alias("v"), F.col("dst").alias("w")).agg(F.count("*").cast("double").alias("m")))
+    ids = nodes.select("id").distinct()
     n = ids.count()
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return ids.mapInPandas(walk, "id string, part double").groupBy("id").agg((F.sum("part") * scale).alias("score")).where("score > 0")
-
-
-def bridges(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
-    return betweenness(nodes, edges).orderBy(F.desc("score"), "id").limit(k)
+    start = ids if sources is None else ids.orderBy(F.xxhash64("id"), "id").limit(sources)
+    seen = Grown(start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
+    levels = [seen.last]
+    while True:
+        ahead = seen.last.join(live, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum(F.col("paths") * F.col("m")).alias("paths"))
+        if seen.append(ahead.join(seen.all().select("s", "v"), ["s", "v"], "left_anti")).isEmpty():
+            break
+        levels.append(seen.last)
+    share = levels[-1].select("s", "v", "paths", F.lit(0.0).alias("share"))
+    totals = Grown(ids.select("id", F.lit(0.0).alias("part")).limit(0))
+    for level in range(len(levels) - 1, 0, -1):
+        totals.append(share.where("s <> v and share > 0").groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("part")))
+        behind = share.select("s", F.col("v").alias("w"), ((1 + F.col("share")) / F.col("paths")).alias("each"))
+        back = levels[level - 1].join(live, "v").join(behind, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("paths") * F.col("m") * F.col("each")).alias("share"))
+        share = settled(levels[level - 1].join(back, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("share", F.lit(0.0)).alias("share")))
+    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * (1.0 if sources is None or sources >= n else n / sources)
+    return totals.all().groupBy("id").agg((F.sum("part") * scale).alias("score")).where("score > 0")
+
+
+def bridges(nodes: DataFrame, edges: DataFrame, k: int = 5, sources: int | None = None) -> DataFrame:
+    return betweenness(nodes, edges, sources).orderBy(F.desc("score"), "id").limit(k)
 
 
 def adjacent(relations: DataFrame, term_refs: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and one machine runs all."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lamina-")
-        sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lamina-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str = "step") -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """A table that rounds append to: each round writes its own rows only, and reads see all of them."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.root, self.parts = fresh_path(self.spark), 0
+        self.last = self.append(first)
+
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Write rows as the next part and return them as read back."""
+        path = f"{self.root}/part={self.parts}"
+        rows.write.parquet(path)
+        self.parts += 1
+        self.last = self.spark.read.schema(self.schema).parquet(path)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/part={k}" for k in range(self.parts)])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.operators.tables import settled
+from lamina.operators.tables import Grown, settled
 
 
 def tree_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def three_way(ancestor: DataFrame, ours: DataFrame, theirs: DataFrame, keys: lis
     j = j.withColumn("how", outcome)
     reason = F.when(
         F.col("how") == "conflict",
-        F.when(a.isNull(), "both sides added with different content").when(o.isNull(), "deleted on ours, modified on theirs").when(t.isNull(), "modified on ours, deleted on theirs").otherwise("both sides modified"),
+        F.when(a.isNull(), "each side adds it in its own way").when(o.isNull(), "ours deletes what theirs changes").when(t.isNull(), "ours changes what theirs deletes").otherwise("each side changes it in its own way"),
     )
     merged = F.when(F.col("how").startswith("dropped"), F.lit(None)).when(F.col("how") == "theirs_only", t).when((F.col("how") == "conflict") & o.isNull(), a).otherwise(o)
     named = F.when(F.col("how") == "dropped_ours", "ours_only").when(F.col("how") == "dropped_theirs", "theirs_only").otherwise(F.col("how"))
@@ -136,6 +136,12 @@ def status(working: DataFrame, disk: DataFrame, staging: DataFrame) -> DataFrame
     return staged.unionByName(rest)
 
 
+def status_sides(working: DataFrame, disk: DataFrame, staging: DataFrame) -> DataFrame:
+    """``path, tracked, on_disk, staged``: what the working copy, the disk and the staging area hold of each path."""
+    sides = [working.select("path", F.col("hash").alias("tracked")), disk.select("path", F.col("hash").alias("on_disk")), staging.select("path", F.col("action").alias("staged"))]
+    return reduce(lambda a, b: a.join(b, "path", "full_outer"), sides)
+
+
 def stage_add(working: DataFrame, disk: DataFrame, staging: DataFrame) -> DataFrame:
     """Staging after ``add`` of all disk paths: modify where tracked with a hash, else add."""
     w = working.select("path", F.col("hash").alias("w"))
@@ -181,16 +187,43 @@ def revert_plan(paths: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def history(starts: DataFrame, parents: DataFrame) -> DataFrame:
-    """``start, commit, depth``: ancestors of each start by least depth, along ``parents(commit, parent)``; each once."""
-    seen = settled(starts.select(F.col("commit").alias("start"), "commit", F.lit(0).cast("long").alias("depth")).distinct())
-    frontier, d = seen, 0
+    """``start, commit, depth``: ancestors of each start by least depth, along ``parents(commit, parent)``; each once.
+
+    Commits with one parent form chains. Pointer doubling gives each the end of
+    its chain, so a round of the walk goes from one commit with several parents to
+    the next, however long the chains between; those that were entered are then
+    given out by the same doubled steps, which reach every commit of a chain once.
+    A straight history takes as many rounds as the logarithm of its length.
+    """
+    arcs = settled(parents.where("parent is not null").select("commit", "parent").distinct())
+    degree = settled(arcs.groupBy("commit").agg(F.count("*").alias("n"), F.min("parent").alias("only")))
+    jumps = [settled(degree.where("n = 1").select("commit", F.col("only").alias("to")))]
+    ends = jumps[0].select("commit", "to", F.lit(1).cast("long").alias("steps"))
+    done, active = ends.limit(0), ends
+    while not active.isEmpty():
+        up = active.unionByName(done).select(F.col("commit").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
+        moved = active.join(up, "to", "left").select("commit", F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.col("to2").isNull().alias("over"))
+        moved = settled(moved)
+        done, active = done.unionByName(moved.where("over").drop("over")), moved.where("not over").drop("over")
+        last = jumps[-1]
+        jumps.append(settled(last.join(last.select(F.col("commit").alias("to"), F.col("to").alias("far")), "to").select("commit", F.col("far").alias("to"))))
+    chain = settled(done)
+    forks = settled(arcs.join(degree.where("n > 1").select("commit"), "commit", "left_semi"))
+    # Entries of chains by least depth; a later but shorter way replaces a longer one and goes on.
+    best = settled(starts.select(F.col("commit").alias("start"), "commit", F.lit(0).cast("long").alias("depth")).distinct())
+    frontier = best
     while True:
-        d += 1
-        new = frontier.join(parents.select("commit", "parent"), "commit").select("start", F.col("parent").alias("commit")).distinct()
-        frontier = settled(new.join(seen, ["start", "commit"], "left_anti").withColumn("depth", F.lit(d).cast("long")))
+        stops = frontier.join(chain, "commit", "left").select("start", F.coalesce("to", "commit").alias("commit"), (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth"))
+        ahead = stops.join(forks, "commit").groupBy("start", F.col("parent").alias("commit")).agg((F.min("depth") + 1).alias("depth"))
+        known = best.select("start", "commit", F.col("depth").alias("known"))
+        frontier = settled(ahead.join(known, ["start", "commit"], "left").where("known is null or depth < known").select("start", "commit", "depth"))
         if frontier.isEmpty():
-            return seen
-        seen = settled(seen.union(frontier))
+            break
+        best = settled(best.join(frontier.select("start", "commit"), ["start", "commit"], "left_anti").unionByName(frontier))
+    rows = Grown(best)
+    for k, jump in enumerate(jumps):
+        rows.append(rows.all().join(jump, "commit").select("start", F.col("to").alias("commit"), (F.col("depth") + 2**k).alias("depth")))
+    return rows.all().groupBy("start", "commit").agg(F.min("depth").alias("depth"))
 
 
 def log(starts: DataFrame, parents: DataFrame, limit: int | None = None) -> DataFrame:

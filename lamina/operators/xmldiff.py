@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lamina.sources.xml import XML_NS, Node, digest, parse, serialise
+from lamina.sources.xml import XML_NS, Node, deep, digest, parse, serialise
 
 
 def child_keys(node: Node, xml_ids: bool = False) -> list[tuple]:
@@ -112,6 +112,7 @@ def merge(a: Node | None, o: Node, t: Node, path: str, conflicts: list[str]) ->
 
 
 def root_of(content: str) -> Node:
+    deep(content)
     return next(c for c in parse(content).children if c.kind == "element")
 
 
@@ -133,15 +134,18 @@ def diff_documents(pairs: DataFrame) -> DataFrame:
 
 
 def merge_documents(triples: DataFrame) -> DataFrame:
-    """``path, xml, conflicts`` of ``triples(path, a, o, t)``; a null ancestor counts as an empty one."""
+    """``path, xml, conflicts, error`` of ``triples(path, a, o, t)``; a null ancestor counts as an empty one, an ill-formed side is an error of its row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, a, o, t in zip(pdf["path"], pdf["a"], pdf["o"], pdf["t"], strict=True):
                 notes: list[str] = []
-                merged = merge(root_of(a) if a else None, root_of(o), root_of(t), "", notes)
-                rows.append((path, serialise(merged), notes))
-            yield pd.DataFrame(rows, columns=["path", "xml", "conflicts"])
+                try:
+                    merged = merge(root_of(a) if a else None, root_of(o), root_of(t), "", notes)
+                    rows.append((path, serialise(merged), notes, None))
+                except Exception as e:  # noqa: BLE001 - the document is at fault, not the job
+                    rows.append((path, None, [], str(e)))
+            yield pd.DataFrame(rows, columns=["path", "xml", "conflicts", "error"])
 
-    return triples.select("path", "a", "o", "t").mapInPandas(run, "path string, xml string, conflicts array<string>")
+    return triples.select("path", "a", "o", "t").mapInPandas(run, "path string, xml string, conflicts array<string>, error string")

@@ -6,18 +6,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import text as T
+from lamina.operators import repository as R
 from lamina.operators import search as S
 from lamina.operators import versions as V
+from lamina.operators.tables import fresh_path
 from lamina.plans.registry import Tables, query
 from lamina.plans.version_queries import COMMITS, commits
 from lamina.sources import specs, store
 from lamina.sources import xml as X
 
 
-@query("src7_object_lookup", "SELECT doc_id, sha256(text) AS hash FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM benchmark UNION ALL SELECT min(sha256(text)) FROM documents)")
+def object_rows(t: Tables) -> DataFrame:
+    """Documents as objects; the inclusive hash is that of the language."""
+    return t.documents.select(F.sha2("text", 256).alias("hash"), F.sha2("lang", 256).alias("inclusive_hash"), F.concat(F.lit("k"), (F.col("doc_id") % 3).cast("string")).alias("kind"), F.substring("text", 1, 40).alias("body")).dropDuplicates(["hash"])
+
+
+HELD = """SELECT hash, hash IN (SELECT sha256(text) FROM documents) AS held FROM (SELECT DISTINCT sha256(text) AS hash FROM benchmark UNION SELECT min(sha256(text)) FROM documents UNION SELECT max(sha256(text)) FROM documents)"""
+
+
+def wanted_hashes(t: Tables) -> DataFrame:
+    ends = t.documents.agg(F.min(F.sha2("text", 256)).alias("a"), F.max(F.sha2("text", 256)).alias("b"))
+    return t.benchmark.select(F.sha2("text", 256).alias("hash")).union(ends.select(F.explode(F.array("a", "b"))))
+
+
+@query("src7_object_lookup", HELD)
 def src7(t: Tables) -> DataFrame:
-    wanted = t.benchmark.select(F.sha2("text", 256).alias("hash")).union(t.documents.agg(F.min(F.sha2("text", 256))))
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("hash")).join(wanted, "hash", "left_semi").select("doc_id", "hash")
+    s = store.ObjectStore(t.spark, fresh_path(t.spark, "store"))
+    s.put(object_rows(t))
+    return s.contains(wanted_hashes(t))
+
+
+@query("src7_inclusive_lookup", "SELECT sha256(lang) AS inclusive_hash, min(sha256(text)) AS hash FROM documents GROUP BY 1 ORDER BY 1 LIMIT 1")
+def src7_inclusive(t: Tables) -> DataFrame:
+    s = store.ObjectStore(t.spark, fresh_path(t.spark, "store"))
+    s.put(object_rows(t))
+    first = t.documents.agg(F.min(F.sha2("lang", 256))).first()[0]
+    return s.by_inclusive_hash(first).select("inclusive_hash", "hash")
+
+
+@query("src8_memory_store", HELD)
+def src8(t: Tables) -> DataFrame:
+    s = store.MemoryStore(t.spark)
+    s.put(object_rows(t).where("kind <> 'k2'"))
+    s.put(object_rows(t))
+    return s.contains(wanted_hashes(t))
+
+
+@query("src9_remote_store", "SELECT DISTINCT sha256(text) AS hash FROM documents")
+def src9(t: Tables) -> DataFrame:
+    """A store that another one fetches from; what it holds already is not sent again."""
+    there, here = (fresh_path(t.spark, "store") for _ in range(2))
+    store.ObjectStore(t.spark, there).put(object_rows(t))
+    own = store.ObjectStore(t.spark, here)
+    own.put(object_rows(t).where("kind = 'k0'"))
+    store.RemoteStore(t.spark, there).fetch(own)
+    return own.objects().select("hash")
+
+
+@query("str2_subtree", "SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS hash FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation")
+def str2(t: Tables) -> DataFrame:
+    """What a remote store answers to a request for subtrees: every object below each root."""
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    region, nation = name("r", "r_regionkey"), name("n", "n_nationkey")
+    s = store.MemoryStore(t.spark)
+    row = lambda h: (h.alias("hash"), h.alias("inclusive_hash"), F.lit("element").alias("kind"), h.alias("body"))
+    s.put(t.region.select(*row(region)).unionByName(t.nation.select(*row(nation))))
+    return s.subtree(t.region.select(region.alias("hash")), t.nation.select(name("r", "n_regionkey").alias("parent"), nation.alias("child"))).select("root", "hash")
 
 
 @query("snk4_export_tree", "SELECT conv_id AS path, d.text AS xml FROM conversations JOIN documents d ON d.doc_id = conv_id WHERE turn = 0")
@@ -53,13 +107,47 @@ for _policy, _moved in (("overwrite", "fast-forward"), ("reject", "rejected")):
         return V.sync_plan(tips.select(name, "hash"), tips.select(name, F.col("root").alias("hash")), c.where("parent is not null"), policy)
 
 
-@query("wrk14_push", f"WITH {COMMITS}, tips AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id) SELECT count(*) AS refs, count(*) FILTER (turn > 0) AS moved FROM tips")
-def wrk14(t: Tables) -> DataFrame:
+MOVES = f"""{COMMITS}, tips AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, 'refs/heads/b' || conv_id AS name, 'k' || conv_id || '.' || turn AS hash, turn FROM tips)"""
+
+
+def moving(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Heads at each conversation's last turn, the same heads at the first one (every third is missing), and the history."""
     c = commits(t)
     tips = c.groupBy("conv_id").agg(F.max_by("commit", "turn").alias("hash"), F.min_by("commit", "turn").alias("root"))
     name = F.concat(F.lit("refs/heads/b"), F.col("conv_id").cast("string")).alias("name")
-    plan = V.sync_plan(tips.select(name, "hash"), tips.select(name, F.col("root").alias("hash")), c.where("parent is not null"), "ff-only")
-    return plan.agg(F.count("*").alias("refs"), F.count_if(F.col("step") == "fast-forward").alias("moved"))
+    return tips.select(name, "hash"), tips.where("conv_id % 3 <> 0").select(name, F.col("root").alias("hash")), c.where("parent is not null")
+
+
+@query("wrk14_push", f"WITH {MOVES} SELECT name, CASE WHEN conv_id % 3 = 0 THEN 'create' WHEN turn = 0 THEN 'up-to-date' ELSE 'fast-forward' END AS step, hash FROM r")
+def wrk14(t: Tables) -> DataFrame:
+    source, target, history = moving(t)
+    objects = source.select("hash")
+    refs, plan, _ = R.push(source, target, history, objects, target.select("hash"))
+    return refs.join(plan.select("name", "step"), "name").select("name", "step", "hash")
+
+
+@query("wrk14_pull", f"WITH {MOVES} SELECT name, 'blocked' AS step, CASE WHEN conv_id % 3 <> 0 THEN 'k' || conv_id || '.0' END AS hash FROM r")
+def wrk14_pull(t: Tables) -> DataFrame:
+    """A working copy with a changed file: nothing moves."""
+    remote, own, history = moving(t)
+    tree = t.nation.select(F.col("n_name").alias("path"), F.sha2("n_name", 256).alias("hash"))
+    disk = tree.withColumn("hash", F.when(F.col("path") == "NATION_2", "other").otherwise(F.col("hash")))
+    none = t.spark.createDataFrame([], "path string, action string, hash string")
+    refs, plan, _ = R.pull(own, remote, history, tree, disk, none, tree)
+    return plan.select("name", "step").join(refs, "name", "left").select("name", "step", "hash")
+
+
+@query("wrk14_pull_obstacles", "SELECT n_name AS path, CASE WHEN n_nationkey % 5 = 0 THEN 'modified' ELSE 'would be overwritten' END AS reason FROM nation WHERE n_nationkey % 5 IN (0, 1)")
+def wrk14_obstacles(t: Tables) -> DataFrame:
+    remote, own, history = moving(t)
+    k = F.col("n_nationkey") % 5
+    named = lambda df, h: df.select(F.col("n_name").alias("path"), h.alias("hash"))
+    tracked = named(t.nation.where(k != 1), F.sha2("n_name", 256))
+    disk = named(t.nation, F.when(k == 0, "changed").otherwise(F.sha2("n_name", 256)))
+    none = t.spark.createDataFrame([], "path string, action string, hash string")
+    incoming = named(t.nation.where(k <= 1), F.lit("incoming"))
+    return R.pull(own, remote, history, tracked, disk, none, incoming)[2]
 
 
 @query("wrk15_subscriptions", "SELECT DISTINCT e.user_id AS conn, e.event_type AS repo FROM events e LEFT JOIN (SELECT user_id, max(event_id) AS off FROM events WHERE event_id % 7 = 0 GROUP BY user_id) o USING (user_id) WHERE e.event_id % 7 <> 0 AND (off IS NULL OR e.event_id > off)")
@@ -124,7 +212,13 @@ def fn8(t: Tables) -> DataFrame:
     return t.nation.select(F.col("n_nationkey").alias("k"), S.bits(F.array((F.col("n_nationkey") % 11).cast("int"))).alias("bits"))
 
 
-@query("sea2_embedding")
+SLOTS = """w AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % 32 AS slot, count(*) AS c FROM (
+  SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(c * c)) AS norm FROM w GROUP BY doc_id)"""
+
+
+@query("sea2_embedding", f"WITH {SLOTS} SELECT d.doc_id, list(round(coalesce(c / norm, 0), 4) ORDER BY r.slot) AS embedding FROM documents d CROSS JOIN (SELECT unnest(range(32)) AS slot) r LEFT JOIN w ON w.doc_id = d.doc_id AND w.slot = r.slot LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id")
 def sea2(t: Tables) -> DataFrame:
     """A deterministic stand-in for a text embedder: hashed counts of words."""
-    return t.documents.select("doc_id", S.hashed_embedding(F.col("text"), 32).alias("embedding"))
+    vector = F.transform(S.hashed_embedding(F.col("text"), 32), lambda x: F.round(x, 4))
+    return t.documents.select("doc_id", vector.alias("embedding"))

@@ -180,12 +180,13 @@ def agg5(t: Tables) -> DataFrame:
     return C.mapping_lines(t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("start_line"), F.col("l_quantity").alias("end_line")))
 
 
-LINES = """lines AS (SELECT doc_id AS path, i AS line, trim(s) <> '' AS filled, (i >= doc_id % 3 + 1 AND i <= doc_id % 3 + 2) OR doc_id % 5 = 0 AS covered
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE right(text, 1) <> chr(10)))"""
+LINES = """lines AS (SELECT doc_id AS path, i AS line, trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '' AS filled, (i >= doc_id % 3 + 1 AND i <= doc_id % 3 + 2) OR doc_id % 5 = 0 AS covered
+  FROM (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM (
+    SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) END AS ls FROM documents)))"""
 
 
 def covered(t: Tables) -> DataFrame:
-    files = t.documents.where("right(text, 1) <> '\n'").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    files = t.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     k = F.col("path") % 3
     ranges = files.select("path", F.when(F.col("path") % 5 != 0, k + 1).alias("start_line"), F.when(F.col("path") % 5 != 0, k + 2).alias("end_line"))
     return C.covered_lines(files, ranges)
@@ -221,11 +222,16 @@ def drifted(t: Tables) -> DataFrame:
     return C.drift(m, p.select(F.col("id").alias("node"), H.text_hash(F.col("p_name")).alias("hash")), r, files)
 
 
-for _n in ("drf1_drift", "jon4_node_hash_join"):
+@query("drf1_drift", f"WITH {DRIFT} SELECT id, status FROM s")
+def drf1(t: Tables) -> DataFrame:
+    return drifted(t)
 
-    @query(_n, f"WITH {DRIFT} SELECT id, status FROM s")
-    def drf1(t: Tables) -> DataFrame:
-        return drifted(t)
+
+@query("jon4_node_hash_join", f"WITH {DRIFT} SELECT m.id, m.node_hash, CASE WHEN p_partkey % 4 <> 0 THEN 'sha256:' || sha256(p_name) END AS now FROM m JOIN part ON p_partkey = m.id")
+def jon4(t: Tables) -> DataFrame:
+    p = t.part.select(F.col("p_partkey").alias("id"), "p_name")
+    m = p.select("id", F.col("id").alias("node"), H.text_hash(F.when(F.col("id") % 7 == 0, "old").otherwise(F.col("p_name"))).alias("node_hash"))
+    return C.with_current(m, p.where("id % 4 <> 0").select(F.col("id").alias("node"), H.text_hash(F.col("p_name")).alias("hash"))).select("id", "node_hash", "now")
 
 
 @query("agg7_drift_summary", f"WITH {DRIFT} SELECT count(*) AS total, count(*) FILTER (status IN ('spec-drifted', 'artifact-drifted')) AS drifted FROM s")
@@ -245,11 +251,10 @@ def drf3(t: Tables) -> DataFrame:
 
 
 DUPES = "WITH d AS (SELECT sha256(text) AS id, doc_id AS path FROM documents), f AS (SELECT id, min(path) AS first_path FROM d GROUP BY id HAVING count(*) > 1) SELECT d.id, d.path, f.first_path FROM d JOIN f USING (id) WHERE d.path <> f.first_path"
-for _n in ("agg21_duplicate_ids", "val2_unique_ids"):
 
-    @query(_n, DUPES)
-    def agg21(t: Tables) -> DataFrame:
-        return C.duplicate_ids(t.documents.select(F.sha2("text", 256).alias("id"), F.col("doc_id").alias("path"), F.col("doc_id").alias("ord")))
+@query("agg21_duplicate_ids", DUPES)
+def agg21(t: Tables) -> DataFrame:
+    return C.duplicate_ids(t.documents.select(F.sha2("text", 256).alias("id"), F.col("doc_id").alias("path"), F.col("doc_id").alias("ord")))
 
 
 @query("jon22_keyrefs", "SELECT 'order-customer' AS rule, CAST(o_custkey AS VARCHAR) AS value, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) GROUP BY o_custkey UNION ALL SELECT 'line-part', CAST(l_partkey AS VARCHAR), count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 4 <> 1) GROUP BY l_partkey")
@@ -294,18 +299,56 @@ def fn6(t: Tables) -> DataFrame:
 
 HITS = f"""hits AS (SELECT q.vec_id AS query_id, a.vec_id AS id, {COS.format(e='a.embedding', q='q.embedding')} AS cos FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id IN (0, 7)) q),
 scored AS (SELECT query_id, id, round(0.7 * cos, 8) AS score FROM hits), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)"""
-for _n in ("top4_search", "sea4_exact_scan", "sea5_search"):
 
-    @query(_n, f"WITH {HITS} SELECT query_id, id, score, rank FROM ranked WHERE rank <= 10")
-    def top4(t: Tables) -> DataFrame:
-        return S.top_k(index(t), asked(t, 0, 7)).select("query_id", "id", "score", "rank")
 
+@query("top4_search", f"WITH {HITS} SELECT query_id, id, score, rank FROM ranked WHERE rank <= 10")
+def top4(t: Tables) -> DataFrame:
+    return S.top_k(index(t), asked(t, 0, 7)).select("query_id", "id", "score", "rank")
+
+
+# The structural part of all pairs with the queries.
+TAN = """tan AS (SELECT q.vec_id AS query_id, a.vec_id AS id, round(CASE WHEN sum(bit_count((CAST(a.label AS BIGINT) * 7 + i) | (CAST(q.label AS BIGINT) * 7 + i))) = 0 THEN 1
+  ELSE sum(bit_count((CAST(a.label AS BIGINT) * 7 + i) & (CAST(q.label AS BIGINT) * 7 + i))) / sum(bit_count((CAST(a.label AS BIGINT) * 7 + i) | (CAST(q.label AS BIGINT) * 7 + i))) END, 6) AS tan
+  FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id IN (0, 7)) q, range(4) r(i) GROUP BY q.vec_id, a.vec_id)"""
+
+
+@query(
+    "sea4_exact_scan",
+    f"WITH {HITS}, {TAN}, d AS (SELECT query_id, id, round(0.7 * (1 - cos) + 0.3 * (1 - tan), 8) AS dist FROM hits JOIN tan USING (query_id, id)) SELECT query_id, id, dist FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, id) <= 10",
+)
+def sea4(t: Tables) -> DataFrame:
+    """By the index's own metric, which always counts the structural part."""
+    return S.nearest(index(t), asked(t, 0, 7)).select("query_id", "id", "dist")
+
+
+@query(
+    "sea5_search",
+    f"""WITH {HITS}, {TAN}, s AS (SELECT query_id, id, round(0.7 * cos + 0.3 * tan, 8) AS score FROM hits JOIN tan USING (query_id, id) JOIN embeddings ON vec_id = id WHERE label % 3 = 1 AND id % 2 = 0)
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10""",
+)
+def sea5(t: Tables) -> DataFrame:
+    """A search in one layer, among the ids that a path selects."""
+    i = index(t)
+    found = S.filtered_search(i.withColumn("layer", (F.col("label") % 3).cast("string")), asked(t, 0, 7), layer="1", allowed=i.where("id % 2 = 0").select("id"))
+    return found.select("query_id", "id", "score", "rank")
+
+
+@query("agg11_best_of_queries", f"WITH {HITS} SELECT id, max(score) AS score FROM ranked WHERE rank <= 10 GROUP BY id ORDER BY score DESC, id LIMIT 10")
+def agg11(t: Tables) -> DataFrame:
+    return S.best_of(S.top_k(index(t), asked(t, 0, 7)))
+
+
+@query("sea6_multi_query", f"WITH {HITS} SELECT id, max(score) AS score, list_sort(list(query_id)) AS found_by FROM ranked WHERE rank <= 10 GROUP BY id")
+def sea6(t: Tables) -> DataFrame:
+    """Several queries at once: each hit with its best score and the queries that found it."""
+    hits = S.top_k(index(t), asked(t, 0, 7))
+    return hits.groupBy("id").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("query_id")).alias("found_by"))
 
-for _n in ("agg11_best_of_queries", "sea6_multi_query", "set5_union_of_hits"):
 
-    @query(_n, f"WITH {HITS} SELECT id, max(score) AS score FROM ranked WHERE rank <= 10 GROUP BY id ORDER BY score DESC, id LIMIT 10")
-    def agg11(t: Tables) -> DataFrame:
-        return S.best_of(S.top_k(index(t), asked(t, 0, 7)))
+@query("set5_union_of_hits", f"WITH {HITS} SELECT id FROM ranked WHERE rank <= 10 AND query_id = 0 UNION SELECT id FROM ranked WHERE rank <= 10 AND query_id = 7")
+def set5(t: Tables) -> DataFrame:
+    first, second = (S.top_k(index(t), asked(t, k)).select("id") for k in (0, 7))
+    return first.union(second).distinct()
 
 
 @query("jon17_filtered_hits", f"WITH {HITS} SELECT r.id, r.score, e.label FROM ranked r JOIN embeddings e ON e.vec_id = r.id WHERE rank <= 10 AND query_id = 0 AND r.id IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)")
@@ -326,7 +369,15 @@ def fn7(t: Tables) -> DataFrame:
     return index(t).crossJoin(F.broadcast(asked(t, 0))).select("id", F.round(S.distance(cos, F.lit(0.5)), 8).alias("dist"))
 
 
-@query("fn4_fingerprint")
+HASH32 = """list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(range(1, length({x}) + 1), lambda i: CAST(ascii(substr({x}, i, 1)) AS HUGEINT))),
+    lambda h, b: (xor((h * 32) % 4294967296 + h // 134217728, b) * 2654435769) % 4294967296)::BIGINT"""
+BITS = f"""k AS (SELECT DISTINCT source, lang FROM documents),
+p AS (SELECT source, lang, list_distinct([1, 11 + {HASH32.format(x='source')} % 32, 43 + {HASH32.format(x="(source || '/' || lang)")} % 128, 43 + {HASH32.format(x='source')} % 128,
+  43 + {HASH32.format(x='lang')} % 128, 171 + {HASH32.format(x='lang')} % 16, 187 + {HASH32.format(x="'refines'")} % 32]) AS bits FROM k),
+w AS (SELECT source, lang, [list_sum(list_transform(list_filter(bits, lambda b: b // 64 = j), lambda b: CAST(1 AS HUGEINT) << CAST(b % 64 AS INT))) FOR j IN [0, 1, 2, 3]] AS words FROM p)"""
+
+
+@query("fn4_fingerprint", f"WITH {BITS} SELECT doc_id, list_transform(words, lambda x: CAST(CASE WHEN coalesce(x, 0) >= 9223372036854775808 THEN x - 18446744073709551616 ELSE coalesce(x, 0) END AS BIGINT)) AS bits FROM documents JOIN w USING (source, lang)")
 def fn4(t: Tables) -> DataFrame:
     none = F.array().cast("array<string>")
     return t.documents.select("doc_id", S.fingerprint(F.lit("prose"), F.col("source"), F.array("source", "lang"), F.col("lang"), F.array(F.lit("refines")), none).alias("bits"))

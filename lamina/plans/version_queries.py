@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import hashing as H
+from lamina.operators import repository as R
 from lamina.operators import versions as V
 from lamina.plans.registry import Tables, query
 
@@ -209,19 +210,32 @@ def snk6(t: Tables) -> DataFrame:
     return V.upsert(e.where("id % 3 = 0"), e.where("id % 4 = 0").withColumn("label", F.col("label") + 100), "id")
 
 
-@query("snk1_transaction", "SELECT hash, count(*) AS n FROM (SELECT DISTINCT sha256(text) AS hash FROM documents) GROUP BY hash")
+@query("snk1_transaction", "SELECT sha256(text) AS hash, max_by(doc_id, (doc_id % 3 = 1, doc_id)) AS doc_id FROM documents WHERE doc_id % 3 < 2 GROUP BY 1")
 def snk1(t: Tables) -> DataFrame:
+    """Documents of three puts: one is the table already, one is committed, one rolled back."""
     h = t.documents.select(F.sha2("text", 256).alias("hash"), "doc_id")
-    first, later = h.where("doc_id % 2 = 0").dropDuplicates(["hash"]), h.where("doc_id % 2 = 1").dropDuplicates(["hash"])
-    return V.upsert(first, later, "hash").groupBy("hash").agg(F.count("*").alias("n"))
+    part = lambda k: h.where(F.col("doc_id") % 3 == k).groupBy("hash").agg(F.max("doc_id").alias("doc_id"))
+    kept = R.Transaction(part(0))
+    kept.put(part(1))
+    undone = R.Transaction(kept.commit())
+    undone.put(part(2))
+    return undone.rollback()
 
 
-@query("snk2_compare_and_set", "SELECT o_custkey AS name, CASE WHEN n % 2 = 0 THEN 'new' ELSE 'old' END AS hash FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)")
+ASKED = """refs AS (SELECT o_custkey AS name, count(*) AS n FROM orders GROUP BY o_custkey),
+asked AS (SELECT c_custkey AS name, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'old' WHEN 2 THEN 'other' ELSE 'old' END AS expected, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE 'new' END AS value FROM customer)"""
+
+
+@query(
+    "snk2_compare_and_set",
+    f"""WITH {ASKED}, j AS (SELECT coalesce(a.name, r.name) AS name, r.name IS NOT NULL AS held, expected, value, CASE WHEN r.name IS NULL THEN expected IS NULL ELSE expected IS NOT DISTINCT FROM 'old' END AS done FROM asked a FULL JOIN refs r ON a.name = r.name)
+  SELECT name, CASE WHEN done THEN value ELSE 'old' END AS hash FROM j WHERE CASE WHEN done THEN value IS NOT NULL ELSE held END""",
+)
 def snk2(t: Tables) -> DataFrame:
-    refs = t.orders.groupBy(F.col("o_custkey").alias("name")).agg(F.count("*").alias("n")).select("name", F.lit("old").alias("hash"), "n")
-    asked = refs.select("name", F.when(F.col("n") % 2 == 0, "old").otherwise("other").alias("expected"), F.lit("new").alias("value"))
-    done = refs.join(asked, "name").where("hash = expected").select("name", F.col("value").alias("hash"), "n")
-    return V.upsert(refs, done, "name").select("name", "hash")
+    refs = t.orders.select(F.col("o_custkey").alias("name")).distinct().withColumn("hash", F.lit("old"))
+    k = F.col("c_custkey") % 4
+    asked = t.customer.select(F.col("c_custkey").alias("name"), F.when(k == 2, "other").when(k != 0, "old").alias("expected"), F.when(k != 3, "new").alias("value"))
+    return R.compare_and_set(refs, asked)[0]
 
 
 WORK = """w AS (SELECT o_orderkey AS path, sha256(o_orderstatus) AS hash FROM orders WHERE o_orderkey % 9 <> 2), d AS (SELECT o_orderkey AS path, sha256(CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END) AS hash FROM orders WHERE o_orderkey % 8 <> 3),
@@ -240,11 +254,14 @@ def work(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 STATUS = f"""{WORK}, status AS (SELECT path, 'staged-' || action AS state FROM g UNION ALL
   SELECT path, state FROM (SELECT coalesce(w.path, d.path) AS path, CASE WHEN w.path IS NULL THEN 'untracked' WHEN d.path IS NULL THEN 'deleted' WHEN w.hash <> d.hash THEN 'modified' END AS state FROM w FULL JOIN d ON w.path = d.path)
   WHERE state IS NOT NULL AND path NOT IN (SELECT path FROM g))"""
-for _name in ("jon16_status_join", "wrk3_status"):
+@query("wrk3_status", f"WITH {STATUS} SELECT path, state FROM status")
+def wrk3(t: Tables) -> DataFrame:
+    return V.status(*work(t))
 
-    @query(_name, f"WITH {STATUS} SELECT path, state FROM status")
-    def wrk3(t: Tables) -> DataFrame:
-        return V.status(*work(t))
+
+@query("jon16_status_join", f"WITH {WORK} SELECT coalesce(w.path, d.path, g.path) AS path, w.hash AS tracked, d.hash AS on_disk, g.action AS staged FROM w FULL JOIN d ON w.path = d.path FULL JOIN g ON g.path = coalesce(w.path, d.path)")
+def jon16(t: Tables) -> DataFrame:
+    return V.status_sides(*work(t))
 
 
 @query("wrk1_add", f"WITH {WORK} SELECT d.path, CASE WHEN w.hash IS NOT NULL THEN 'modify' ELSE 'add' END AS action, d.hash FROM d LEFT JOIN w ON w.path = d.path UNION ALL SELECT path, action, hash FROM g WHERE path NOT IN (SELECT path FROM d)")
@@ -296,10 +313,35 @@ def wrk8(t: Tables) -> DataFrame:
     return V.revert_plan(g, w)
 
 
-@query("wrk9_diff", f"WITH {WORK} SELECT CASE WHEN w.path IS NULL THEN 'added' WHEN d.path IS NULL THEN 'removed' ELSE 'modified' END AS status, count(*) AS n FROM w FULL JOIN d ON w.path = d.path WHERE w.hash IS DISTINCT FROM d.hash GROUP BY 1")
+# Files of two trees: nations' documents, whose name or only the white space inside tags may differ.
+FILES = """f AS (SELECT n_nationkey AS k, 'f' || n_nationkey || '.xml' AS path, n_name AS x FROM nation)"""
+
+
+def nation_trees(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k = F.col("n_nationkey")
+    xml = lambda name, gap="": F.concat(F.lit("<nation><label" + gap + ">"), name, F.lit("</label></nation>"))
+    path = F.concat(F.lit("f"), k.cast("string"), F.lit(".xml")).alias("path")
+    a = t.nation.where(k % 7 != 6).select(path, xml(F.col("n_name")).alias("xml"))
+    b = t.nation.where(k % 7 != 5).select(path, F.when(k % 3 == 0, xml(F.lower("n_name"))).when(k % 3 == 1, xml(F.col("n_name"), " ")).otherwise(xml(F.col("n_name"))).alias("xml"))
+    hashed = [df.withColumn("hash", H.text_hash(F.col("xml"))) for df in (a, b)]
+    return hashed[0].select("path", "hash"), hashed[1].select("path", "hash"), hashed[0].union(hashed[1]).select("hash", "xml").distinct()
+
+
+DIFF = f"""WITH {FILES} SELECT path, 'removed' AS status, NULL AS change, NULL AS at, NULL AS old, NULL AS new FROM f WHERE k % 7 = 5
+  UNION ALL SELECT path, 'added', NULL, NULL, NULL, NULL FROM f WHERE k % 7 = 6
+  UNION ALL SELECT path, 'modified', 'text-changed', '/nation/label/text()', x, lower(x) FROM f WHERE k % 7 < 5 AND k % 3 = 0"""
+
+
+@query("wrk9_diff", DIFF)
 def wrk9(t: Tables) -> DataFrame:
-    w, d, _ = work(t)
-    return V.tree_diff(w.withColumnRenamed("hash", "document"), d.withColumnRenamed("hash", "document")).groupBy("status").agg(F.count("*").alias("n"))
+    """Working copy and disk: a file whose XML is the same is not listed."""
+    return R.diff(*nation_trees(t), quiet=True)
+
+
+@query("wrk9_diff_revisions", f"{DIFF} UNION ALL SELECT path, 'modified', NULL, NULL, NULL, NULL FROM f WHERE k % 7 < 5 AND k % 3 = 1")
+def wrk9r(t: Tables) -> DataFrame:
+    """Two revisions: every changed file is listed."""
+    return R.diff(*nation_trees(t))
 
 
 # Commits are turns of conversations; a commit's parent is the turn before it.
@@ -377,21 +419,27 @@ def src10(t: Tables) -> DataFrame:
     return refs(t).where(V.has_prefix(F.col("name"), "refs/heads/")).select("name", "hash")
 
 
-@query("wrk10_branches", f"WITH {REFS} SELECT substr(name, 12) AS branch, hash = (SELECT max(hash) FROM refs WHERE starts_with(name, 'refs/heads/')) AS current FROM refs WHERE starts_with(name, 'refs/heads/') ORDER BY branch")
+@query("wrk10_branches", f"WITH {REFS} SELECT substr(name, 12) AS branch, hash, name = 'refs/heads/nation_2' AS current FROM refs WHERE starts_with(name, 'refs/heads/') ORDER BY branch")
 def wrk10(t: Tables) -> DataFrame:
-    b = refs(t).where(V.has_prefix(F.col("name"), "refs/heads/"))
-    tip = b.agg(F.max("hash").alias("tip"))
-    return b.crossJoin(F.broadcast(tip)).select(F.substring("name", 12, 200).alias("branch"), (F.col("hash") == F.col("tip")).alias("current")).orderBy("branch")
+    return R.branches(refs(t), "refs/heads/nation_2")
+
+
+@query("wrk10_delete_branches", f"WITH {REFS} SELECT lower(n_name) AS branch, CASE WHEN n_nationkey = 2 THEN 'it is checked out' ELSE 'no such branch' END AS reason FROM nation WHERE n_nationkey IN (0, 2) OR n_nationkey % 2 = 1")
+def wrk10d(t: Tables) -> DataFrame:
+    return R.delete_branches(refs(t), t.nation.select(F.lower("n_name").alias("branch")), "refs/heads/nation_2")[1]
 
 
-@query("wrk11_tags", f"WITH {REFS} SELECT substr(name, 11) AS tag, 'sha256:' || sha256(name || hash) AS tag_hash FROM refs WHERE starts_with(name, 'refs/tags/')")
+@query("wrk11_tags", "SELECT 'v' || n_nationkey AS tag, 'sha256:' || sha256('{\"tag\":\"v' || n_nationkey || '\",\"target\":\"' || 'sha256:' || sha256(n_name) || '\",\"message\":\"\"}') AS tag_hash, 'sha256:' || sha256(n_name) AS target FROM nation")
 def wrk11(t: Tables) -> DataFrame:
-    return refs(t).where(V.has_prefix(F.col("name"), "refs/tags/")).select(F.substring("name", 11, 200).alias("tag"), H.text_hash(F.concat("name", "hash")).alias("tag_hash"))
+    tags = t.nation.select(F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("tag"), H.text_hash(F.col("n_name")).alias("target"), F.lit(None).cast("string").alias("message"))
+    objects, named = R.tag_objects(tags, refs(t).where("false"))
+    return R.tag_targets(named, objects)
 
 
-@query("wrk13_clone", f"WITH {REFS} SELECT count(*) AS heads, min(name) AS first FROM refs WHERE starts_with(name, 'refs/heads/')")
+@query("wrk13_clone", f"WITH {REFS}, h AS (SELECT name, hash FROM refs WHERE starts_with(name, 'refs/heads/')) SELECT name, hash, name = (SELECT min(name) FROM h) AS is_head FROM h")
 def wrk13(t: Tables) -> DataFrame:
-    return refs(t).where(V.has_prefix(F.col("name"), "refs/heads/")).agg(F.count("*").alias("heads"), F.min("name").alias("first"))
+    heads, _, head = R.clone(refs(t), t.nation.select(H.text_hash(F.col("n_name")).alias("hash")))
+    return heads.join(head.select(F.col("target").alias("name"), F.lit(True).alias("is_head")), "name", "left").select("name", "hash", F.coalesce("is_head", F.lit(False)).alias("is_head"))
 
 
 @query("agg18_distinct_trees", f"WITH {REFS} SELECT n_regionkey AS tree, min(name) AS name FROM refs GROUP BY n_regionkey")
@@ -420,6 +468,6 @@ def top6(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.col("o_custkey").alias("tree")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("paths"))
 
 
-@query("top8_sorted_status", f"WITH {STATUS} SELECT path, state FROM status ORDER BY path, state LIMIT 50")
+@query("top8_sorted_status", f"WITH {STATUS} SELECT path, state FROM status ORDER BY path, state")
 def top8(t: Tables) -> DataFrame:
-    return V.status(*work(t)).orderBy("path", "state").limit(50)
+    return V.status(*work(t)).orderBy("path", "state")

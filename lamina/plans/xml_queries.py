@@ -10,17 +10,17 @@ from lamina.plans.registry import Tables, query
 from lamina.plans.xpath import evaluate
 from lamina.sources import xml as X
 
-NS = {"app": "urn:test:app"}
+NS = {"geo": "urn:atlas"}
 
 
 def region_files(t: Tables) -> DataFrame:
     """A document per region: its nations as items with an id, a status and a name."""
     item = F.concat(
-        F.lit('<app:item id="n'), F.col("n_nationkey").cast("string"), F.lit('" status="'), F.when(F.col("n_nationkey") % 2 == 0, "active").otherwise("inactive"), F.lit('"><app:name>'), xml_escaped(F.col("n_name")), F.lit("</app:name></app:item>")
+        F.lit('<geo:land id="n'), F.col("n_nationkey").cast("string"), F.lit('" rank="'), F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd"), F.lit('"><geo:label>'), xml_escaped(F.col("n_name")), F.lit("</geo:label></geo:land>")
     )
     per = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("x")))).alias("a"))
     body = F.array_join(F.transform("a", lambda s: s["x"]), "\n")
-    return per.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".xml")).alias("path"), F.concat(F.lit('<root xmlns:app="urn:test:app"><!-- items -->'), body, F.lit("</root>")).alias("content"))
+    return per.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".xml")).alias("path"), F.concat(F.lit('<atlas xmlns:geo="urn:atlas"><!-- lands -->'), body, F.lit("</atlas>")).alias("content"))
 
 
 def nodes(t: Tables) -> DataFrame:
@@ -38,63 +38,82 @@ def src5(t: Tables) -> DataFrame:
 
 @query("prj1_xpath_items", f"SELECT {PATH} AS path, n_name AS value FROM nation WHERE n_nationkey % 2 = 0")
 def prj1(t: Tables) -> DataFrame:
-    return evaluate(nodes(t), "//app:item[@status='active']/app:name", "text", NS).select("path", "value")
+    return evaluate(nodes(t), "//geo:land[@rank='even']/geo:label", "text", NS).select("path", "value")
 
 
 @query("prj2_xpath_count", f"SELECT {PATH} AS path, count(*) AS n FROM nation GROUP BY n_regionkey")
 def prj2(t: Tables) -> DataFrame:
-    return evaluate(nodes(t), "/root/app:item", "count", NS)
+    return evaluate(nodes(t), "/atlas/geo:land", "count", NS)
 
 
 @query("prj3_xpath_ids", "SELECT 'n' || n_nationkey AS id FROM nation WHERE n_nationkey < 20 AND n_nationkey >= 10 OR n_nationkey = 1")
 def prj3(t: Tables) -> DataFrame:
-    return evaluate(nodes(t), "//app:item[starts-with(@id, 'n1')]", "ids", NS)
+    return evaluate(nodes(t), "//geo:land[starts-with(@id, 'n1')]", "ids", NS)
 
 
 @query("win6_xpath_positions", f"SELECT {PATH} AS path, arg_min(n_name, n_nationkey) AS first, arg_max(n_name, n_nationkey) AS last FROM nation GROUP BY n_regionkey")
 def win6(t: Tables) -> DataFrame:
     n = nodes(t)
-    first, last = (evaluate(n, f"/root/app:item[{p}]/app:name", "text", NS).select("path", F.col("value").alias(k)) for p, k in (("1", "first"), ("last()", "last")))
+    first, last = (evaluate(n, f"/atlas/geo:land[{p}]/geo:label", "text", NS).select("path", F.col("value").alias(k)) for p, k in (("1", "first"), ("last()", "last")))
     return first.join(last, "path")
 
 
-@query("set1_assemble", "SELECT count(*) AS items FROM nation")
+@query("set1_assemble", f"SELECT {PATH} AS path, 'n' || n_nationkey AS id, row_number() OVER (ORDER BY {PATH}, n_nationkey) AS place FROM nation")
 def set1(t: Tables) -> DataFrame:
-    return X.assemble(nodes(t)).where("local_name = 'item'").agg(F.count("*").alias("items"))
+    """The children of all roots as one tree: where each land stands in it."""
+    from pyspark.sql import Window
 
+    lands = X.assemble(nodes(t)).where("local_name = 'land'")
+    return lands.select("path", "id", F.row_number().over(Window.orderBy("gpre")).cast("long").alias("place"))
 
-@query("src6_import_objects", "SELECT n_nationkey AS k, 'sha256:' || sha256('<app:name xmlns:app=\"urn:test:app\">' || n_name || '</app:name>') AS hash FROM nation")
+
+@query("src6_import_objects", "SELECT n_nationkey AS k, 'sha256:' || sha256('<geo:label xmlns:geo=\"urn:atlas\">' || n_name || '</geo:label>') AS hash FROM nation")
 def src6(t: Tables) -> DataFrame:
     n = nodes(t)
-    item = n.where("local_name = 'item'").select("path", F.col("pre").alias("parent_pre"), F.substring("id", 2, 10).cast("int").alias("k"))
-    return n.where("local_name = 'name'").select("path", "parent_pre", "hash").join(item, ["path", "parent_pre"]).select("k", "hash")
+    item = n.where("local_name = 'land'").select("path", F.col("pre").alias("parent_pre"), F.substring("id", 2, 10).cast("int").alias("k"))
+    return n.where("local_name = 'label'").select("path", "parent_pre", "hash").join(item, ["path", "parent_pre"]).select("k", "hash")
 
 
-@query("fn2_canonical_form", "SELECT n_nationkey AS k, 'sha256:' || sha256('<app:name xmlns:app=\"urn:test:app\">' || n_name || '</app:name>') AS hash FROM nation")
+@query("fn2_canonical_form", "SELECT n_nationkey AS k, 'sha256:' || sha256('<geo:label xmlns:geo=\"urn:atlas\">' || n_name || '</geo:label>') AS hash FROM nation")
 def fn2(t: Tables) -> DataFrame:
     n = nodes(t)
-    item = n.where("local_name = 'item'").select("path", F.col("pre").alias("parent_pre"), F.substring("id", 2, 10).cast("int").alias("k"))
-    return n.where("local_name = 'name'").select("path", "parent_pre", F.col("inclusive_hash").alias("hash")).join(item, ["path", "parent_pre"]).select("k", "hash")
+    item = n.where("local_name = 'land'").select("path", F.col("pre").alias("parent_pre"), F.substring("id", 2, 10).cast("int").alias("k"))
+    return n.where("local_name = 'label'").select("path", "parent_pre", F.col("inclusive_hash").alias("hash")).join(item, ["path", "parent_pre"]).select("k", "hash")
 
 
-@query("snk3_export_round_trip", f"SELECT {PATH} AS path, count(*) AS items FROM nation GROUP BY n_regionkey")
+@query("snk3_export_round_trip", f"SELECT {PATH} AS path, 'n' || n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS rank, n_name AS label FROM nation")
 def snk3(t: Tables) -> DataFrame:
     again = X.shred(X.export(nodes(t)).select("path", F.col("xml").alias("content")))
-    return again.where("local_name = 'item'").groupBy("path").agg(F.count("*").alias("items"))
+    land = again.where("local_name = 'land'").select("path", "pre", "id", F.get(F.filter("attrs", lambda a: a["local_name"] == "rank"), 0)["value"].alias("rank"))
+    return land.join(evaluate(again, "//geo:land/geo:label", "text", NS).withColumn("pre", F.col("pre") - 1).withColumnRenamed("value", "label"), ["path", "pre"]).select("path", "id", "rank", "label")
 
 
-@query("val1_well_formed", "SELECT page_id, false AS ok FROM pages")
+@query("val1_well_formed", f"SELECT DISTINCT {PATH} AS path, n_regionkey % 2 = 0 AS ok FROM nation")
 def val1(t: Tables) -> DataFrame:
-    bad = X.well_formed(X.shred(t.pages.select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content")), hashes=False))
-    return bad.select(F.col("path").cast("long").alias("page_id"), F.lit(False).alias("ok"))
+    """Every other region's document lacks its last closing tag."""
+    files = region_files(t)
+    broken = files.select("path", F.when(F.substring("path", 2, 1).cast("int") % 2 == 1, F.replace("content", F.lit("</atlas>"), F.lit(""))).otherwise(F.col("content")).alias("content"))
+    bad = X.well_formed(X.shred(broken, hashes=False)).select("path", F.lit(False).alias("ok"))
+    return files.select("path").join(bad, "path", "left").select("path", F.coalesce("ok", F.lit(True)).alias("ok"))
+
+
+@query("val2_unique_ids", f"SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey || '.xml.copy' AS path, {PATH} AS first_path FROM nation")
+def val2(t: Tables) -> DataFrame:
+    """The files twice: each id of a copy stands first in the original."""
+    from lamina.operators.coverage import duplicate_ids
+    from lamina.sources import specs as S
+
+    files = region_files(t)
+    both = files.unionByName(files.withColumn("path", F.concat("path", F.lit(".copy"))))
+    return duplicate_ids(S.holders(X.shred(both, hashes=False))).select("id", "path", "first_path")
 
 
-@query("sea1_chunks", f"SELECT 'n' || n_nationkey AS id, {PATH} AS file, '[layer=test path=root>item]' || chr(10) || n_name AS text FROM nation")
+@query("sea1_chunks", f"SELECT 'n' || n_nationkey AS id, {PATH} AS file, '[layer=test path=atlas>land]' || chr(10) || n_name AS text FROM nation")
 def sea1(t: Tables) -> DataFrame:
     from lamina.functions.text import chunk_text
 
     n = nodes(t)
-    values = evaluate(n, "//app:item", "text", NS)
+    values = evaluate(n, "//geo:land", "text", NS)
     own = n.where("id is not null").select("path", "pre", "id", "ancestor_names", "local_name")
     return own.join(values, ["path", "pre"]).select("id", F.col("path").alias("file"), chunk_text(F.lit("test"), F.concat("ancestor_names", F.array("local_name")), F.col("value")).alias("text"))
 
@@ -102,26 +121,31 @@ def sea1(t: Tables) -> DataFrame:
 def changed_files(t: Tables) -> DataFrame:
     """Region documents with some nations' statuses turned and names changed."""
     a = region_files(t)
-    b = a.select("path", F.regexp_replace("content", r'id="n(\d*[37])" status="(in)?active"', 'id="n$1" status="gone"').alias("b"))
+    b = a.select("path", F.regexp_replace("content", r'id="n(\d*[37])" rank="(even|odd)"', 'id="n$1" rank="gone"').alias("b"))
     return a.withColumnRenamed("content", "a").join(b, "path")
 
 
-@query("grf7_xml_diff", f"SELECT {PATH} AS path, 'attribute-changed' AS change, '/root/item[@id=\"n' || n_nationkey || '\"]/@status' AS at, CASE WHEN n_nationkey % 2 = 0 THEN 'active' ELSE 'inactive' END AS old, 'gone' AS new FROM nation WHERE n_nationkey % 10 IN (3, 7)")
+@query("grf7_xml_diff", f"SELECT {PATH} AS path, 'attribute-changed' AS change, '/atlas/land[@id=\"n' || n_nationkey || '\"]/@rank' AS at, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS old, 'gone' AS new FROM nation WHERE n_nationkey % 10 IN (3, 7)")
 def grf7(t: Tables) -> DataFrame:
     from lamina.operators.xmldiff import diff_documents
 
     return diff_documents(changed_files(t))
 
 
-@query("jon13_xml_merge", f"SELECT {PATH} AS path, count(*) AS items, count(*) FILTER (n_nationkey % 10 IN (3, 7)) AS gone, 0 AS conflicts FROM nation GROUP BY n_regionkey")
+@query(
+    "jon13_xml_merge",
+    f"""SELECT {PATH} AS path, 'n' || n_nationkey AS id, CASE WHEN n_nationkey % 10 IN (3, 7) THEN 'gone' WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS rank, 0 AS conflicts FROM nation
+  UNION ALL SELECT DISTINCT {PATH}, 'z', NULL, 0 FROM nation""",
+)
 def jon13(t: Tables) -> DataFrame:
+    """Ours changes ranks, theirs adds an element: the merged documents' elements."""
     from lamina.operators.xmldiff import merge_documents
 
     f = changed_files(t)
-    merged = merge_documents(f.select("path", "a", F.col("b").alias("o"), F.regexp_replace("a", "</root>", '<extra id="z"/></root>').alias("t")))
-    n = X.shred(merged.select("path", F.col("xml").alias("content"))).where("local_name = 'item'")
-    gone = F.count_if(F.exists("attrs", lambda a: a["value"] == "gone"))
-    return n.groupBy("path").agg(F.count("*").alias("items"), gone.alias("gone")).join(merged.select("path", F.size("conflicts").alias("conflicts")), "path")
+    merged = merge_documents(f.select("path", "a", F.col("b").alias("o"), F.regexp_replace("a", "</atlas>", '<extra id="z"/></atlas>').alias("t")))
+    n = X.shred(merged.select("path", F.col("xml").alias("content"))).where("id is not null")
+    rank = F.get(F.filter("attrs", lambda a: a["local_name"] == "rank"), 0)["value"].alias("rank")
+    return n.select("path", "id", rank).join(merged.select("path", F.size("conflicts").alias("conflicts")), "path")
 
 
 def spec_files(t: Tables) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Paths (``/``, ``//``, ``..``, ``.``, ``*``, ``@a``, ``text()``, ``comment()``,
 ``node()``, the axes child, descendant, descendant-or-self, self, parent,
-ancestor and attribute), predicates (positions, ``last()``, comparisons with =
-and !=, ``contains``, ``starts-with``, ``not``, ``and``, ``or``, paths), a
-bracketed path with a position, and ``count(path)`` or ``string(path)`` at the
+ancestor, following-sibling, preceding-sibling and attribute), predicates
+(positions, ``last()``, ``position()``, ``count``, ``string-length``,
+``normalize-space``, comparisons with =, !=, <, <=, > and >=, ``contains``,
+``starts-with``, ``not``, ``and``, ``or``, paths), a bracketed path with a position,
+unions at the top, and ``count(path)`` or ``string(path)`` at the
 top. Names without a prefix match elements without a namespace; an unknown
 prefix or a malformed text is an error.
 """
@@ -17,8 +19,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"\s*(?:(//|/|\.\.|\.|::|!=|[@()\[\],=*|])|(\d+)|\"([^\"]*)\"|'([^']*)'|([A-Za-z_][\w.-]*(?::(?!:)[A-Za-z_*][\w.-]*)?))")
-AXES = ("child", "descendant", "descendant-or-self", "self", "parent", "ancestor", "attribute")
+TOKEN = re.compile(r"\s*(?:(//|/|\.\.|\.|::|!=|<=|>=|[@()\[\],=*|<>])|(\d+(?:\.\d+)?)|\"([^\"]*)\"|'([^']*)'|([A-Za-z_][\w.-]*(?::(?!:)[A-Za-z_*][\w.-]*)?))")
+AXES = ("child", "descendant", "descendant-or-self", "self", "parent", "ancestor", "ancestor-or-self", "following-sibling", "preceding-sibling", "attribute")
+ORDER = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
 class XPathError(ValueError):
@@ -71,7 +74,11 @@ class Parser:
             out = (v, self.path())
             self.take(")")
         else:
-            out = ("nodes", self.path())
+            paths = [self.path()]
+            while self.peek() == ("op", "|"):
+                self.take()
+                paths.append(self.path())
+            out = ("nodes", *paths)
         if self.peek()[0] != "end":
             raise XPathError(f"text behind the end: {self.peek()[1]}")
         return out
@@ -178,13 +185,25 @@ class Parser:
             out = ("not", self.either())
             self.take(")")
             return out
-        path = self.path()
-        if self.peek()[1] in ("=", "!="):
+        operand = self.operand()
+        if self.peek()[0] == "op" and self.peek()[1] in ORDER:
             op = self.take()
-            if self.peek()[0] not in ("str", "num"):
+            kind = self.peek()[0]
+            if kind not in ("str", "num"):
                 raise XPathError("a comparison needs a text or a number")
-            return (op, path, self.take())
-        return ("exists", path)
+            return ("compare", op, operand, kind, self.take())
+        if operand[0] != "path":
+            raise XPathError(f"{operand[0]}() needs a comparison")
+        return ("exists", operand[1])
+
+    def operand(self):
+        kind, v = self.peek()
+        if kind == "name" and self.peek(1)[1] == "(" and v in ("position", "count", "string-length", "normalize-space"):
+            self.take(), self.take("(")
+            out = (v, None if v == "position" else self.path())
+            self.take(")")
+            return out
+        return ("path", self.path())
 
 
 class Compiler:
@@ -227,24 +246,30 @@ class Compiler:
         return cur
 
     def step(self, cur: DataFrame, step: Step) -> DataFrame:
-        n = self.nodes.select("path", F.col("pre").alias("n_pre"), F.col("last").alias("n_last"), F.col("parent_pre").alias("n_parent"), "kind", "local_name", "ns_uri", "attrs")
+        n = self.nodes.select("path", F.col("pre").alias("n_pre"), F.col("parent_pre").alias("n_parent"), "kind", "local_name", "ns_uri", "attrs", "ancestors")
         if step.axis == "attribute":
             held = cur.join(n, (cur.path == n.path) & (cur.pre == n.n_pre)).select(cur.path, "pre", "ctx", F.explode("attrs").alias("a"))
             return self.then(held.where(self.name_test(step.test, F.col("a.local_name"), F.col("a.ns_uri"))).select("path", "pre", "ctx", F.col("pre").alias("from"), F.col("a.value").alias("value")), step)
         kinds = {"text()": F.col("kind") == "text", "comment()": F.col("kind") == "comment", "node()": F.lit(True)}
         match = kinds[step.test] if step.test in kinds else (F.col("kind") == "element") & self.name_test(step.test, F.col("local_name"), F.col("ns_uri"))
         n = n.where(match)
+        none = F.lit(None).cast("string").alias("value")
+        # All joins are on equal positions: whatever lies below or above a node is found by its list of ancestors.
         if step.axis in ("child", "self"):
-            on = n.n_parent == cur.pre if step.axis == "child" else n.n_pre == cur.pre
+            at = "n_parent" if step.axis == "child" else "n_pre"
+            found = n.select("path", F.col("n_pre"), F.col(at).alias("pre"))
         elif step.axis in ("descendant", "descendant-or-self"):
-            span = self.nodes.select("path", "pre", "last")
-            cur = cur.join(span, ["path", "pre"])
-            on = (n.n_pre <= cur.last) & (n.n_pre > cur.pre if step.axis == "descendant" else n.n_pre >= cur.pre)
+            above = F.col("ancestors") if step.axis == "descendant" else F.concat("ancestors", F.array("n_pre"))
+            found = n.select("path", "n_pre", F.explode(above).alias("pre"))
+        elif step.axis.endswith("sibling"):
+            own = self.nodes.select("path", "pre", F.col("parent_pre").alias("n_parent"))
+            later = F.col("n_pre") > F.col("pre") if step.axis.startswith("following") else F.col("n_pre") < F.col("pre")
+            found = own.join(cur.select("path", "pre").distinct(), ["path", "pre"], "left_semi").join(n.select("path", "n_pre", "n_parent"), ["path", "n_parent"]).where(later).select("path", "n_pre", "pre")
         else:
-            up = self.nodes.select("path", "pre", F.col("parent_pre").alias("up"))
-            cur = cur.join(up, ["path", "pre"])
-            on = n.n_pre == cur.up if step.axis == "parent" else (n.n_pre < cur.pre) & (n.n_last >= cur.pre)
-        out = cur.join(n, (cur.path == n.path) & on).select(cur.path, F.col("n_pre").alias("pre"), "ctx", cur.pre.alias("from"), F.lit(None).cast("string").alias("value"))
+            up = F.explode(F.concat("ancestors", F.array("pre")) if step.axis == "ancestor-or-self" else F.col("ancestors")) if step.axis.startswith("ancestor") else F.col("parent_pre")
+            reached = self.nodes.select("path", "pre", up.alias("n_pre"))
+            found = reached.join(n.select("path", "n_pre"), ["path", "n_pre"])
+        out = cur.select("path", "pre", "ctx").join(found, ["path", "pre"]).select("path", F.col("n_pre").alias("pre"), "ctx", F.col("pre").alias("from"), none)
         return self.then(out, step)
 
     def then(self, out: DataFrame, step: Step) -> DataFrame:
@@ -254,10 +279,10 @@ class Compiler:
         return out.select("path", "pre", "ctx", "value").distinct()
 
     def filtered(self, cur: DataFrame, p: tuple, group: list[str]) -> DataFrame:
-        if p[0] in ("position", "last"):
+        if p[0] in ("position", "last") or p[0] == "compare" and p[2][0] == "position":
             w = Window.partitionBy(*group)
             at = F.row_number().over(w.orderBy("pre"))
-            want = at == p[1] if p[0] == "position" else at == F.count("*").over(w)
+            want = at == p[1] if p[0] == "position" else at == F.count("*").over(w) if p[0] == "last" else ORDER[p[1]](at, F.lit(float(p[4])))
             return cur.withColumn("_keep", want).where("_keep").drop("_keep")
         return cur.join(self.holding(cur.select("path", "pre").distinct(), p), ["path", "pre"], "left_semi")
 
@@ -269,19 +294,40 @@ class Compiler:
             return self.holding(ctx, p[1]).union(self.holding(ctx, p[2])).distinct()
         if p[0] == "not":
             return ctx.subtract(self.holding(ctx, p[1]))
+        if p[0] == "compare":
+            return self.comparing(ctx, *p[1:])
         found = self.run(p[1], ctx)
         if p[0] != "exists":
             found = self.valued(found)
             v = F.col("value")
-            found = found.where({"=": v == p[2], "!=": v != p[2], "contains": v.contains(p[2]), "starts-with": v.startswith(p[2])}[p[0]])
+            found = found.where({"contains": v.contains(p[2]), "starts-with": v.startswith(p[2])}[p[0]])
         return found.select("path", F.col("ctx").alias("pre")).distinct()
 
+    def comparing(self, ctx: DataFrame, op: str, operand: tuple, kind: str, literal: str) -> DataFrame:
+        """The context nodes of which a number or value stands in a relation to a literal; order and numbers compare as numbers."""
+        name, path = operand
+        if name == "position":
+            raise XPathError("position() stands alone in a predicate")
+        found = self.run(path, ctx)
+        if name == "count":
+            n = found.groupBy("path", F.col("ctx").alias("pre")).agg(F.count("*").alias("n"))
+            counted = ctx.join(n, ["path", "pre"], "left").where(ORDER[op](F.coalesce("n", F.lit(0)), F.lit(float(literal))))
+            return counted.select("path", "pre")
+        v = self.valued(found).withColumn("v", F.col("value"))
+        if name == "normalize-space":
+            v = v.withColumn("v", F.trim(F.regexp_replace("value", r"\s+", " ")))
+        elif name == "string-length":
+            v = v.withColumn("v", F.length("value").cast("string"))
+        numbers = kind == "num" or op not in ("=", "!=") or name == "string-length"
+        left = F.expr("try_cast(trim(v) as double)") if numbers else F.col("v")
+        return v.where(ORDER[op](left, F.lit(float(literal) if numbers else literal))).select("path", F.col("ctx").alias("pre")).distinct()
+
     def valued(self, found: DataFrame) -> DataFrame:
         """String values: of attributes, of leaves, and of elements the text below them in order."""
         missing = found.where("value is null").select("path", "pre").distinct()
-        span = missing.join(self.nodes.select("path", "pre", "last"), ["path", "pre"])
-        leaf = self.nodes.where("kind in ('text', 'comment')").select(F.col("path").alias("t_path"), F.col("pre").alias("t_pre"), "text", "kind")
-        below = span.join(leaf, (F.col("path") == F.col("t_path")) & (F.col("t_pre") >= F.col("pre")) & (F.col("t_pre") <= F.col("last")) & ((F.col("kind") == "text") | (F.col("t_pre") == F.col("pre"))))
+        leaf = self.nodes.where("kind in ('text', 'comment')")
+        above = F.explode(F.when(F.col("kind") == "text", F.concat("ancestors", F.array("pre"))).otherwise(F.array("pre")))
+        below = leaf.select("path", F.col("pre").alias("t_pre"), "text", above.alias("pre")).join(missing, ["path", "pre"])
         text = below.groupBy("path", "pre").agg(F.array_sort(F.collect_list(F.struct("t_pre", "text"))).alias("t")).select("path", "pre", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("s"))
         return found.join(text, ["path", "pre"], "left").withColumn("value", F.coalesce("value", "s", F.lit(""))).drop("s")
 
@@ -290,9 +336,11 @@ def evaluate(nodes: DataFrame, xpath: str, mode: str = "text", namespaces: dict[
     """Results of a query per document: mode ``count`` gives ``path, n``, ``text`` gives ``path, pre, value`` (trimmed), ``ids`` the ids of elements and the values of attributes."""
     if mode not in ("count", "text", "ids"):
         raise ValueError(f"invalid query mode: {mode}")
-    kind, path = Parser(xpath).top()
+    kind, *paths = Parser(xpath).top()
     c = Compiler(nodes, namespaces)
-    found = c.run(path)
+    found = c.run(paths[0])
+    for other in paths[1:]:
+        found = found.union(c.run(other)).distinct()
     if kind == "count" or mode == "count":
         return found.groupBy("path").agg(F.count("*").cast("long").alias("n"))
     if mode == "ids":

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.operators.graph import closure
 from lamina.operators.versions import transfer
 
 
@@ -32,6 +33,16 @@ class ObjectStore:
         new.unpersist()
         return n
 
+    def contains(self, hashes: DataFrame) -> DataFrame:
+        """``hash, held`` of a table of hashes."""
+        own = self.objects().select("hash").distinct().withColumn("held", F.lit(True))
+        return hashes.select("hash").distinct().join(own, "hash", "left").select("hash", F.coalesce("held", F.lit(False)).alias("held"))
+
+    def subtree(self, roots: DataFrame, children: DataFrame) -> DataFrame:
+        """``root`` and the objects below each root, itself included; what a remote store sends as one answer."""
+        below = closure(roots.select(F.col("hash").alias("id")), children)
+        return below.join(self.objects(), below.id == F.col("hash")).select("root", *self.objects().columns)
+
     def get(self, *hashes: str) -> DataFrame:
         return self.objects().where(F.col("hash").isin(*hashes))
 
@@ -40,6 +51,35 @@ class ObjectStore:
         return self.objects().where(F.col("inclusive_hash") == value).orderBy("hash").limit(1)
 
 
+class MemoryStore(ObjectStore):
+    """The same contract over a table of the session; nothing is written."""
+
+    def __init__(self, spark: SparkSession, schema: str = "hash string, inclusive_hash string, kind string, body string") -> None:
+        super().__init__(spark, "", schema)
+        self.held = spark.createDataFrame([], schema)
+
+    def objects(self) -> DataFrame:
+        return self.held
+
+    def put(self, rows: DataFrame) -> int:
+        new = transfer(rows.select(*self.held.columns), self.held).persist()
+        n = new.count()
+        if n:
+            self.held = self.held.unionByName(new)
+        return n
+
+
+class RemoteStore(ObjectStore):
+    """A store that another writer owns, read where it lies (any path that Spark reads); the transport is the file system's."""
+
+    def put(self, rows: DataFrame) -> int:
+        raise PermissionError("a remote store takes objects by push only")
+
+    def fetch(self, into: ObjectStore) -> int:
+        """Copy what the other store lacks; returns how many objects that were."""
+        return into.put(self.objects())
+
+
 def dag_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """``parent, ord, change`` between two trees of children ``(parent, ord, kind, hash)``: equal hashes are not entered, unlike kinds are a removal and an addition."""
     x, y = (df.select("parent", "ord", F.col("kind").alias(f"kind_{n}"), F.col("hash").alias(f"hash_{n}")) for df, n in ((a, "a"), (b, "b")))
@@ -62,6 +102,6 @@ def subscriptions(accesses: DataFrame) -> DataFrame:
 
 def open_transactions(events: DataFrame) -> DataFrame:
     """``conn, n_open`` at the end of ``events(conn, kind, at)``: begins less ends behind the last disconnect, which rolls back."""
-    since = F.max(F.when(F.col("kind") == "disconnect", F.col("at"))).over(Window.partitionBy("conn"))
-    live = events.withColumn("off", since).where("off is null or at > off")
+    off = events.where("kind = 'disconnect'").groupBy("conn").agg(F.max("at").alias("off"))
+    live = events.join(off, "conn", "left").where("off is null or at > off")
     return live.groupBy("conn").agg((F.count_if(F.col("kind") == "begin") - F.count_if(F.col("kind").isin("commit", "rollback"))).alias("n_open")).where("n_open > 0")

@@ -7,6 +7,7 @@ pre-order: a node's descendants are those with ``pre < p <= last``.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
@@ -20,7 +21,7 @@ XML_NS = "http://www.w3.org/XML/1998/namespace"
 NODES = (
     "path string, pre long, post long, last long, parent_pre long, level int, ord int, kind string, local_name string, ns_uri string, prefix string, "
     "attrs array<struct<local_name:string,ns_uri:string,prefix:string,value:string>>, id string, xml_id string, text string, "
-    "ancestor_ids array<string>, ancestor_names array<string>, line_start int, line_end int, hash string, inclusive_hash string"
+    "ancestors array<bigint>, ancestor_ids array<string>, ancestor_names array<string>, line_start int, line_end int, hash string, inclusive_hash string"
 )
 
 
@@ -157,36 +158,48 @@ def digest(node: Node, exclusive: bool = True) -> str:
 
 
 def string_value(node: Node) -> str:
-    return node.text if node.kind != "element" and node.kind != "document" else "".join(string_value(c) for c in node.children if c.kind in ("text", "element"))
+    if node.kind not in ("element", "document"):
+        return node.text
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if n.kind == "text":
+            out.append(n.text)
+        elif n.kind in ("element", "document"):
+            todo.extend(reversed(n.children))
+    return "".join(out)
+
+
+def deep(content: str) -> None:
+    """Let calls nest as deep as a document may: an element's start takes at least three characters."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 3 * content.count("<")))
 
 
 def rows_of(path: str, content: str | None, hashes: bool = True) -> list[dict]:
-    """Node rows of a document; one row of kind ``error`` where it is not well-formed."""
+    """Node rows of a document in document order; one row of kind ``error`` where it is not well-formed."""
     try:
         root = parse(content or "")
     except (expat.ExpatError, ValueError) as e:
-        return [{"path": path, "pre": 0, "kind": "error", "text": str(e), "attrs": [], "ancestor_ids": [], "ancestor_names": []}]
-    out = []
-
-    def walk(n: Node, level: int, ord_: int, ids: list[str], names: list[str], parent: int | None) -> int:
+        return [{"path": path, "pre": 0, "kind": "error", "text": str(e), "attrs": [], "ancestors": [], "ancestor_ids": [], "ancestor_names": []}]
+    deep(content or "")
+    out: list[dict] = []
+    todo: list[tuple[Node, int, int, list[int], list[str], list[str]]] = [(root, 0, 0, [], [], [])]
+    while todo:
+        n, level, ord_, above, ids, names = todo.pop()
         attrs = [{"local_name": a, "ns_uri": u, "prefix": p, "value": v} for a, u, p, v in n.attrs]
         own = next((v for a, u, p, v in n.attrs if a == "id" and u is None), None)
         xml_id = next((v for a, u, p, v in n.attrs if a == "id" and u == XML_NS), None)
-        row = {
-            "path": path, "pre": n.pre, "post": n.post, "parent_pre": parent, "level": level, "ord": ord_, "kind": n.kind, "local_name": n.name or None, "ns_uri": n.uri, "prefix": n.prefix,
-            "attrs": attrs, "id": own, "xml_id": xml_id, "text": n.text if n.kind in ("text", "comment", "pi") else None, "ancestor_ids": ids, "ancestor_names": names, "line_start": n.line, "line_end": n.end,
+        out.append({
+            "path": path, "pre": n.pre, "post": n.post, "last": n.pre, "parent_pre": above[-1] if above else None, "level": level, "ord": ord_, "kind": n.kind, "local_name": n.name or None, "ns_uri": n.uri, "prefix": n.prefix,
+            "attrs": attrs, "id": own, "xml_id": xml_id, "text": n.text if n.kind in ("text", "comment", "pi") else None, "ancestors": above, "ancestor_ids": ids, "ancestor_names": names, "line_start": n.line, "line_end": n.end,
             "hash": digest(n) if hashes and n.kind == "element" else None, "inclusive_hash": digest(n, False) if hashes and n.kind == "element" else None,
-        }
-        out.append(row)
-        last = n.pre
-        inner_ids = [*ids, own or xml_id] if own or xml_id else ids
-        inner_names = [*names, n.name] if n.kind == "element" else names
-        for i, c in enumerate(n.children):
-            last = walk(c, level + 1, i, inner_ids, inner_names, n.pre)
-        row["last"] = last
-        return last
-
-    walk(root, 0, 0, [], [], None)
+        })
+        inner = ([*above, n.pre], [*ids, own or xml_id] if own or xml_id else ids, [*names, n.name] if n.kind == "element" else names)
+        todo.extend((c, level + 1, i, *inner) for i, c in reversed(list(enumerate(n.children))))
+    for row in reversed(out):  # positions are those of the list
+        if row["parent_pre"] is not None:
+            up = out[row["parent_pre"]]
+            up["last"] = max(up["last"], row["last"])
     return out
 
 
@@ -194,8 +207,8 @@ def shred(files: DataFrame, hashes: bool = True) -> DataFrame:
     """The node table of ``files(path, content)``."""
     attr = pa.struct([(k, pa.string()) for k in ("local_name", "ns_uri", "prefix", "value")])
     long, text = ("pre", "post", "last", "parent_pre"), ("ancestor_ids", "ancestor_names")
-    kinds = {**dict.fromkeys(long, pa.int64()), **dict.fromkeys(("level", "ord", "line_start", "line_end"), pa.int32()), **dict.fromkeys(text, pa.list_(pa.string())), "attrs": pa.list_(attr)}
-    names = "path pre post last parent_pre level ord kind local_name ns_uri prefix attrs id xml_id text ancestor_ids ancestor_names line_start line_end hash inclusive_hash".split()
+    kinds = {"ancestors": pa.list_(pa.int64()), **dict.fromkeys(long, pa.int64()), **dict.fromkeys(("level", "ord", "line_start", "line_end"), pa.int32()), **dict.fromkeys(text, pa.list_(pa.string())), "attrs": pa.list_(attr)}
+    names = "path pre post last parent_pre level ord kind local_name ns_uri prefix attrs id xml_id text ancestors ancestor_ids ancestor_names line_start line_end hash inclusive_hash".split()
     schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +227,7 @@ def well_formed(nodes: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.xml") -> DataFrame:
     """``path, content`` of all files of a folder and its sub-folders."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).orderBy("path")
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def assemble(nodes: DataFrame) -> DataFrame:
@@ -262,6 +275,7 @@ def export(nodes: DataFrame) -> DataFrame:
             if r.pre:
                 by[int(r.parent_pre)].children.append(node)
         parts = []
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 3 * len(by)))
         for c in by[0].children:
             parts.append(serialise(c))
             if c.kind == "element":
