@@ -103,10 +103,20 @@ def marginals(logit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.nda
     return both / (1 + both)
 
 
-def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Document features: bias, log of the expected toxic tokens, log of their density, the largest marginal."""
+def background(model: Model) -> float:
+    """The marginal of a token that shows nothing, among others like it."""
+    n = 9
+    return float(marginals(np.full(n, model.bias), np.array([0, n]), model.trans)[n // 2])
+
+
+def evidence(p: np.ndarray, first: np.ndarray, floor: float) -> np.ndarray:
+    """Document features: bias, log of the expected toxic tokens, log of their density, the largest marginal.
+
+    Marginals count from twice the background on, so that a long text does not
+    gather evidence from tokens that show nothing.
+    """
     n = np.diff(first)
-    total = np.concatenate([[0.0], np.cumsum(p)])
+    total = np.concatenate([[0.0], np.cumsum(np.maximum(p - 2 * floor, 0.0))])
     mass = total[first[1:]] - total[first[:-1]]
     top = np.zeros(len(n))
     full = n > 0
@@ -234,7 +244,7 @@ def fit(texts: list[str], toxic: np.ndarray, clean_weight: float = 1.0, rounds:
         trans[1, 1] = np.clip(trans[1, 1] + rate * np.clip((both - pair_mass(logit, first, trans, p)) / (y.sum() + 4.0), -0.5, 0.5), -3, 3)
     model.weights = {f: float(w[i]) for f, i in vocab.items() if abs(w[i]) > 1e-3}
     model.bias, model.trans = float(bias), trans
-    x = evidence(marginals(emissions(model, forms)[form], first, trans), first)
+    x = evidence(marginals(emissions(model, forms)[form], first, trans), first, background(model))
     model.doc = _logistic(x, toxic.astype(float), np.where(toxic == 1, 1.0, clean_weight), penalty=1.0)
     return model
 
@@ -267,13 +277,14 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), pr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.frugal()
         m = shared.value
+        floor = background(m)
         for batch in batches:
             for lo, hi in K.slices(batch.column(names[-1])):
                 part = batch.slice(lo, hi - lo)
                 text = part.column(names[-1])
                 raw, starts, ends, first, form, forms = tokens(text)
                 p = marginals(emissions(m, forms)[form], first, m.trans) if len(form) else np.zeros(0)
-                x = evidence(p, first)
+                x = evidence(p, first, floor)
                 hot = np.flatnonzero(p > 0.5)
                 # Code points before a byte: the bytes that do not continue a character.
                 lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
