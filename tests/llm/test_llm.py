@@ -815,3 +815,88 @@ def test_recordings_without_ids_or_samples(spark):
     got = {r["query_id"]: r for r in chroma.summary(prints, prints.where("rec_id % 100 = 0")).collect()}
     assert set(got) == {100, 200, 300, 400}
     assert got[100]["n_recordings"] >= 1 and got[100]["ber"] == 0.0 and got[200]["n_classes"] == 0
+
+
+def stage_rows() -> list[tuple]:
+    """Documents of which the pipeline's stages let some go, and some that must stay."""
+    r = random.Random(21)
+    shared = "this notice of the publisher stands below every page of its sites"
+    rows = []
+    for i in range(260):
+        w = r.choices(WORDS, k=r.randrange(30, 70))
+        if i % 4 == 0:
+            for _ in range(4):
+                w.insert(r.randrange(len(w)), r.choice(["vile", "nasty", "grimword", "grimthing"]))
+        body = " ".join(w)
+        if i % 10 == 1:
+            body += "\n" + shared
+        rows.append((i, body))
+    base = [text(800 + k, 104).split() for k in range(6)]
+    for k, w in enumerate(base):  # copies from 0.83 on go, those below 0.8 stay
+        rows += [(1000 + k, " ".join(w)), (1100 + k, " ".join(w[: -8 if k % 2 else -16] + [f"n{k}.{i}" for i in range(8 if k % 2 else 16)]))]
+    leak = text(77, 30)
+    rows += [(2000, leak + " " + text(78, 40)), (2001, text(79, 400) + " " + " ".join(leak.split()[:14])), (2002, text(80, 60))]
+    return [*rows, (None, text(81, 40)), (None, None), (3000, ""), (3000, text(82, 40)), (3000, text(82, 40)), (3001, text(83, 20_000))]
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    rows = stage_rows()
+    schema = DOCS + ", row struct<a:int>, tox_score double, gone string, text_in string"
+    df = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 13}", len(t or ""), 0.5, "", (1,), 0.1, "g", "t") for i, t in rows], schema)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 4 == 0) for i in range(260)], "doc_id long, toxic boolean").selectExpr("doc_id", "cast(toxic as int) as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("b1", text(77, 30))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
+    cur = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    held = [(i, t) for i, t in rows]
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.written(stage(spark, cur, str(tmp_path)))
+        if name == "sentencepiece":
+            break
+        assert out.columns == cur.columns, name
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        if name == "toxicity":
+            toxic = {i for i, t in held if t and {"vile", "nasty", "grimword", "grimthing"} & set(t.split())}
+            assert {i for i, _ in got} & toxic == set() and len(got) == len(held) - len(toxic)
+        elif name == "line_dedup":
+            shared = "this notice of the publisher stands below every page of its sites"
+            first = min(i for i, t in held if t and shared in t)
+            want = [(i, t if t is None or i == first else "\n".join(x for x in t.split("\n") if x != shared)) for i, t in held]
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+            assert all(r["n_chars"] == len(r["text"] or "") for r in out.collect())
+        elif name == "near_dedup":
+            sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in (lower(t).split() for _, t in held)]
+            comp = list(range(len(held)))
+            for _ in range(4):
+                for a in range(len(held)):
+                    for b in range(a):
+                        n = len(sets[a] & sets[b])
+                        if n and 100 * n >= 80 * len(sets[a] | sets[b]):
+                            comp[a] = comp[b] = min(comp[a], comp[b])
+            least = {c: min((held[k][0] for k in range(len(held)) if comp[k] == c and held[k][0] is not None), default=None) for c in comp}
+            assert sorted(map(repr, got)) == sorted(repr(held[k]) for k in range(len(held)) if held[k][0] == least[comp[k]])
+            assert len(got) < len(held)
+        else:
+            window = {tuple(text(77, 30).split()[j : j + 13]) for j in range(18)}
+
+            def hits(t):
+                w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+                hit = {j + k for j in range(len(w) - 12) if tuple(w[j : j + 13]) in window for k in range(13)}
+                return bool(hit) and 20 * len(hit) >= len(w)
+
+            assert sorted(map(repr, got)) == sorted(repr(x) for x in held if not hits(x[1]))
+            assert 2000 not in {i for i, _ in got} and 2001 in {i for i, _ in got}
+        held, cur = got, out
+    pieces = unigram.build(unigram.log_scores(unigram.read_pieces(unigram.default_model())))
+    ids, at = unigram.encode(pieces, pa.array([t for _, t in held], pa.string()))
+    want = sorted((repr(i), ids[at[k] : at[k + 1]].tolist()) for k, (i, _) in enumerate(held))
+    assert sorted((repr(r["doc_id"]), r["ids"]) for r in out.collect()) == want and all(r["round_trip"] for r in out.collect())
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((repr(r["doc_id"]), r["ids"]) for r in whole.collect()) == want
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    docs(spark, []).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
