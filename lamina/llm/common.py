@@ -78,10 +78,15 @@ def row_key(df: DataFrame, *columns: str) -> list[Column]:
     return [F.xxhash64(*marked).alias(ROW[0]), F.xxhash64(F.lit(7), *marked).alias(ROW[1])]
 
 
+def sent(keys: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked to be broadcast if it has up to ``BROADCAST_ROWS`` of them."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose key ``gone`` holds."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(docs))
-    return row.join(gone.select(*ROW).distinct(), ROW, "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return row.join(sent(written(gone.select(*ROW).distinct())), ROW, "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

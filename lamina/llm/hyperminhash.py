@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lamina.llm import kernels as K
-from lamina.llm.common import ROW, components, row_key, ship, small_batches, without, written
+from lamina.llm.common import ROW, components, row_key, sent, ship, small_batches, without, written
 
 WORDS = 5
 REGISTERS = 256
@@ -414,7 +414,7 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     judged = sized.select("a", "b", _margin("regs_a", "regs_b", F.lit(threshold)).alias("j")).where("j >= 0")
     proposed = judged.groupBy("b").agg(F.max_by("a", F.struct("j", (-F.col("a")).alias("a"))).alias("a")).select("a", "b")
     wanted = reps.select("rep", *ROW).join(member.select("rep").distinct(), "rep", "left_semi")
-    texts = docs.select(*ROW, "text").join(wanted, ROW).groupBy(*ROW, "rep").agg(F.any_value("text").alias("text"))
+    texts = docs.select(*ROW, "text").join(sent(written(wanted)), ROW).groupBy(*ROW, "rep").agg(F.any_value("text").alias("text"))
     sets = written(texts.select("rep", "text").mapInArrow(_sets, "rep long, set array<long>"))
     x, y = (sets.select(F.col("rep").alias(k), F.col("set").alias(f"set_{n}")) for k, n in (("a", "x"), ("b", "y")))
     links = written(proposed.join(x, "a").join(y, "b").select("a", "b", "set_x", "set_y").mapInArrow(_common(hundredths), "a long, b long"))
@@ -448,7 +448,7 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
 
 def deduplicated(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     """``docs`` with one document of each component (rows that are repeated as a whole stand or fall together)."""
-    return without(docs, written(near_duplicates(docs, hundredths).where("not kept").select(*ROW)))
+    return without(docs, near_duplicates(docs, hundredths).where("not kept"))
 
 
 ship(__name__)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import BROADCAST_ROWS, ROW, bound, row_key, without, written
+from lamina.llm.common import BROADCAST_ROWS, ROW, bound, row_key, sent, without, written
 
 WINDOW = 13
 K_WORDS = 5
@@ -123,7 +123,7 @@ class Matches:
         diagonals = written(train.join(side, "h").select(*TEXT, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
         # Of equal texts one row's is read again.
         chosen = self.rows.join(diagonals.select(*TEXT).distinct(), TEXT, "left_semi").groupBy(*TEXT).agg(F.min(F.struct(*ROW)).alias("row")).select(*TEXT, "row.*")
-        texts = keyed.select(*ROW, "text").join(chosen, ROW).groupBy(*ROW, *TEXT).agg(F.any_value("text").alias("text"))
+        texts = keyed.select(*ROW, "text").join(sent(written(chosen)), ROW).groupBy(*ROW, *TEXT).agg(F.any_value("text").alias("text"))
         self.spans = _extended(diagonals, texts.select(*TEXT, _words()), it, window)
 
 
@@ -179,7 +179,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 5) -> DataFr
 
 def cleaned(docs: DataFrame, items: DataFrame, percent: int = 5) -> DataFrame:
     """``docs`` without the contaminated rows."""
-    return without(docs, written(decontaminate(docs, items, percent).where("contaminated").select(*ROW)))
+    return without(docs, decontaminate(docs, items, percent).where("contaminated"))
 
 
 def oracle(window: int = WINDOW) -> str:
