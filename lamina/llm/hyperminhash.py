@@ -451,4 +451,20 @@ def deduplicated(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     return without(docs, near_duplicates(docs, hundredths).where("not kept"))
 
 
+def oracle(hundredths: int = 85, words: int = WORDS) -> str:
+    """The query's rows in DuckDB SQL: all pairs that share a shingle, and all that is reachable along links."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    split = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {split} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= {words} THEN list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i : i + {words - 1}], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= {hundredths} * (nx.n + ny.n - i)),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT b.y, r.root FROM r JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) b ON b.x = r.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) USING (doc_id)"""
+
+
 ship(__name__)

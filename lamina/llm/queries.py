@@ -75,4 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_entropy": secret_entropy.oracle(), "op5_line_spread": line_spread.oracle(), "op7_quote_links": quote_links.oracle(), "op8_winnowing": winnow.oracle()}
+    return {
+        "op4_secret_entropy": secret_entropy.oracle(),
+        "op5_line_spread": line_spread.oracle(),
+        "op6_hyperminhash": hyperminhash.oracle(),
+        "op7_quote_links": quote_links.oracle(),
+        "op8_winnowing": winnow.oracle(),
+    }

@@ -13,7 +13,8 @@ whole length, looked up at every document word, finds them.
 Null and wordless texts have no words and no hit; wordless items have no window.
 Every row gets a row, whatever its id: texts are told apart by a 128-bit digest
 and equal ones are matched once. Repeated item ids with different texts are
-joined as separate windows but one item. Empty tables give empty results or no
+joined as separate windows but one item; items without an id have no name to be
+reported by and are left out. Empty tables give empty results or no
 hits. Other columns are not read.
 """
 
