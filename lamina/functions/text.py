@@ -100,3 +100,69 @@ def path_shingles(parts: Column) -> Column:
 def xml_escaped(text: Column, attribute: bool = False) -> Column:
     pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")] + ([('"', "&quot;")] if attribute else [])
     return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), pairs, text)
+
+
+#: Languages of code by file ending.
+LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "xml": "xml", "xsd": "xml", "sh": "bash", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "md": "markdown"}
+
+
+def language_of(path: Column) -> Column:
+    """Language of a file by its ending; null where the ending is not known."""
+    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ending)
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """Lines of at most ``width`` characters, broken between words; a longer word stands alone."""
+
+    def step(acc: Column, w: Column) -> Column:
+        fits = F.length(acc["line"]) + 1 + F.length(w) <= width
+        return F.when(acc["line"] == "", F.struct(acc["done"].alias("done"), w.alias("line"))).when(fits, F.struct(acc["done"].alias("done"), F.concat_ws(" ", acc["line"], w).alias("line"))).otherwise(F.struct(F.concat(acc["done"], F.array(acc["line"])).alias("done"), w.alias("line")))
+
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+    return F.aggregate(words, start, step, lambda acc: F.when(acc["line"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))))
+
+
+def matches_any(path: Column, *parts: str) -> Column:
+    """Whether a path holds one of the parts; no parts match every path."""
+    return reduce(lambda a, b: a | b, [path.contains(p) for p in parts]) if parts else F.lit(True)
+
+
+def is_exempt(target: Column, to_spec: Column | None = None) -> Column:
+    """Whether a reference needs no target here: ids of types, and relations into other specs."""
+    own = target.startswith("type-")
+    return own | to_spec.isNotNull() if to_spec is not None else own
+
+
+def short_layer(layer: Column) -> Column:
+    """Short name of a layer; null where it has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in LAYER_ALIASES.items() for x in kv]), layer)
+
+
+def branch_ref(name: Column) -> Column:
+    return F.concat(F.lit("refs/heads/"), name)
+
+
+def tag_ref(name: Column) -> Column:
+    return F.concat(F.lit("refs/tags/"), name)
+
+
+def remote_kind(url: Column) -> Column:
+    """``websocket`` or ``file``."""
+    return F.when(url.rlike("^wss?://"), "websocket").otherwise("file")
+
+
+def total_size(*parts: Column) -> Column:
+    """Sum of sizes, missing ones as 0."""
+    return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])
+
+
+def number_after(text: Column, name: str) -> Column:
+    """The first whole number behind ``"name":`` or ``name:`` in a text; null where there is none."""
+    return F.regexp_extract(text, rf'"?{name}"?\s*:\s*([0-9]+)', 1).try_cast("long")
+
+
+def timestamp_text(ts: Column) -> Column:
+    """Seconds in UTC as the store writes them (the session's time zone must be UTC)."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,7 @@ from lamina.functions import hashing as H
 from lamina.functions import text as T
 from lamina.operators import coverage as C
 from lamina.operators import graph as G
+from lamina.operators.reports import relation_lists
 from lamina.operators.tables import settled
 from lamina.plans.xpath import evaluate
 from lamina.sources import specs as S
@@ -139,12 +140,10 @@ class SpecModel:
         chosen = named.join(last, (named.own == F.col("o")) & (named.path == F.col("p")) & (named.pre == F.col("at"))).select("path", "pre", F.col("own").alias("id"), "ns_uri", "local_name", "ancestor_names", "line_start", "line_end")
         leaves = self.nodes.where("kind = 'text'").select("path", F.col("pre").alias("t_pre"), "text", F.explode("ancestors").alias("pre"))
         text = leaves.join(chosen.select("path", "pre"), ["path", "pre"]).groupBy("path", "pre").agg(F.array_sort(F.collect_list(F.struct("t_pre", "text"))).alias("t")).select("path", "pre", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("body"))
-        live = self.relations()
-        lists = [live.groupBy(F.col(end).alias("id")).agg(F.array_sort(F.collect_set("type")).alias(name)) for end, name in (("src", "outgoing"), ("dst", "incoming"))]
-        out = reduce(lambda a, b: a.join(b, "id", "left"), lists, chosen.join(text, ["path", "pre"], "left"))
+        lists = relation_lists(chosen.select("id"), self.relations())
+        out = chosen.join(text, ["path", "pre"], "left").join(lists, "id")
         layer = T.layer_of(F.col("ns_uri")) if layer is None else layer
-        none = F.array().cast("array<string>")
-        return out.select("id", "path", layer.alias("layer"), "line_start", "line_end", F.coalesce("outgoing", none).alias("outgoing"), F.coalesce("incoming", none).alias("incoming"), T.chunk_text(layer, F.concat("ancestor_names", F.array("local_name")), F.coalesce("body", F.lit(""))).alias("text"))
+        return out.select("id", "path", layer.alias("layer"), "line_start", "line_end", "outgoing", "incoming", T.chunk_text(layer, F.concat("ancestor_names", F.array("local_name")), F.coalesce("body", F.lit(""))).alias("text"))
 
     def report(self, artifacts: DataFrame) -> DataFrame:
         """``id, node, path, status, fragment``: each mapping's drift with its lines of code, numbered, for a page to show."""

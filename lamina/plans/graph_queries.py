@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators import graph as G
+from lamina.operators import reports as P
 from lamina.plans.registry import Tables, query
 
 NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, 'region' AS tag FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation' FROM nation
@@ -59,7 +60,7 @@ def jon2(t: Tables) -> DataFrame:
 
 @query("jon3_missing_parents", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
 def jon3(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", "o_custkey").join(t.customer.where("c_custkey % 3 <> 0").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    return P.orphans(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", t.customer.where("c_custkey % 3 <> 0"), "c_custkey")
 
 
 @query(
@@ -113,7 +114,7 @@ def agg22(t: Tables) -> DataFrame:
 
 @query("jon19_drawn_edges", f"WITH {NODES}, {EDGES}, {PART} SELECT src, dst, count(*) AS n FROM edges WHERE src IN (SELECT id FROM part) AND dst IN (SELECT id FROM part) GROUP BY src, dst")
 def jon19(t: Tables) -> DataFrame:
-    return G.live_edges(some_nodes(t), edges(t)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return P.edge_counts(G.live_edges(some_nodes(t), edges(t)))
 
 
 # Paths run from a customer or supplier over its nation to the region: a nation lies on as many as it has of both.
@@ -228,19 +229,17 @@ def top7(t: Tables) -> DataFrame:
 
 @query("agg20_relations_by_type", f"WITH {EDGES} SELECT type, list_sort(list(DISTINCT dst)) AS targets, count(*) AS n FROM edges GROUP BY type")
 def agg20(t: Tables) -> DataFrame:
-    return edges(t).groupBy("type").agg(F.array_sort(F.collect_set("dst")).alias("targets"), F.count("*").alias("n"))
+    return P.edges_by_type(edges(t))
 
 
 @query("agg19_synthesised_relations", "SELECT 'c' || o_custkey AS src, 'p' || o_orderpriority AS dst, count(*) AS n FROM orders GROUP BY ALL")
 def agg19(t: Tables) -> DataFrame:
-    pairs = t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), "o_orderpriority").alias("dst"))
-    return pairs.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return P.edge_counts(t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), "o_orderpriority").alias("dst")))
 
 
 @query("agg12_section_counters", f"WITH {EDGES} SELECT dst AS id, count(*) FILTER (type = 'refines') AS refined, count(*) FILTER (type = 'references') AS referenced, count(*) FILTER (type = 'depends-on') AS needed FROM edges GROUP BY dst")
 def agg12(t: Tables) -> DataFrame:
-    n = lambda k: F.count_if(F.col("type") == k)
-    return edges(t).groupBy(F.col("dst").alias("id")).agg(n("refines").alias("refined"), n("references").alias("referenced"), n("depends-on").alias("needed"))
+    return P.counters(edges(t), {"refined": "refines", "referenced": "references", "needed": "depends-on"})
 
 
 @query("set8_disjoint_types", f"WITH {EDGES} SELECT dst, bool_or(type IN ('depends-on', 'precedes')) AS overlaps FROM edges GROUP BY dst")

@@ -196,15 +196,14 @@ def src12(t: Tables) -> DataFrame:
 
 @query("fn13_prefix_lookup", "SELECT k, CASE k % 3 WHEN 0 THEN 'pr' WHEN 1 THEN 'trm' END AS short FROM (SELECT n_nationkey AS k FROM nation)")
 def fn13(t: Tables) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for kv in T.LAYER_ALIASES.items() for x in kv])
     layer = F.when(F.col("n_nationkey") % 3 == 0, "prose").when(F.col("n_nationkey") % 3 == 1, "terminology").otherwise("other")
-    return t.nation.select(F.col("n_nationkey").alias("k"), F.try_element_at(names, layer).alias("short"))
+    return t.nation.select(F.col("n_nationkey").alias("k"), T.short_layer(layer).alias("short"))
 
 
 @query("fn26_remote_kind", "SELECT k, CASE WHEN u LIKE 'ws%' THEN 'websocket' ELSE 'file' END AS kind FROM (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'ws://h/' || n_name ELSE './' || n_name || '.db' END AS u FROM nation)")
 def fn26(t: Tables) -> DataFrame:
     url = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("ws://h/"), "n_name")).otherwise(F.concat(F.lit("./"), "n_name", F.lit(".db")))
-    return t.nation.select(F.col("n_nationkey").alias("k"), F.when(url.rlike("^wss?://"), "websocket").otherwise("file").alias("kind"))
+    return t.nation.select(F.col("n_nationkey").alias("k"), T.remote_kind(url).alias("kind"))
 
 
 @query("fn8_layer_seed", "SELECT n_nationkey AS k, [CAST(1 << (n_nationkey % 11) AS BIGINT), 0, 0, 0] AS bits FROM nation")

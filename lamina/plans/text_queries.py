@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lamina.functions import hashing as H
 from lamina.functions import text as T
 from lamina.operators import coverage as C
+from lamina.operators import reports as P
 from lamina.operators import search as S
 from lamina.operators import versions as V
 from lamina.plans.registry import Tables, query
@@ -83,7 +84,7 @@ def fn19(t: Tables) -> DataFrame:
 
 @query("fn20_ref_names", "SELECT n_name, 'refs/heads/' || n_name AS branch, 'refs/tags/' || n_name AS tag FROM nation")
 def fn20(t: Tables) -> DataFrame:
-    return t.nation.select("n_name", F.concat(F.lit("refs/heads/"), "n_name").alias("branch"), F.concat(F.lit("refs/tags/"), "n_name").alias("tag"))
+    return t.nation.select("n_name", T.branch_ref(F.col("n_name")).alias("branch"), T.tag_ref(F.col("n_name")).alias("tag"))
 
 
 @query("fn21_xml_escape", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
@@ -91,14 +92,21 @@ def fn21(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.xml_escaped(F.col("html"), attribute=True).alias("escaped"))
 
 
+@query("fn21_language", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' END AS language FROM documents")
+def fn21_language(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 3
+    path = F.concat("source", F.when(k == 0, ".PY").when(k == 1, ".rs").otherwise(""))
+    return t.documents.select("doc_id", T.language_of(path).alias("language"))
+
+
 @query("fn22_extract_scores", "SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS score FROM events")
 def fn22(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("long").alias("score"))
+    return t.events.select("event_id", T.number_after(F.col("props"), "k").alias("score"))
 
 
 @query("fn23_context_size", "SELECT l_orderkey, l_linenumber, coalesce(l_quantity, 0) + coalesce(l_tax, 0) + coalesce(l_discount, 0) AS size FROM lineitem")
 def fn23(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", "l_linenumber", (F.coalesce("l_quantity", F.lit(0)) + F.coalesce("l_tax", F.lit(0)) + F.coalesce("l_discount", F.lit(0))).alias("size"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", T.total_size(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")).alias("size"))
 
 
 @query("fn24_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -108,7 +116,7 @@ def fn24(t: Tables) -> DataFrame:
 
 @query("fn25_timestamp_format", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
 def fn25(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
+    return t.events.select("event_id", T.timestamp_text(F.col("ts")).alias("at"))
 
 
 @query("snk7_json_rows", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
@@ -123,13 +131,12 @@ def win7(t: Tables) -> DataFrame:
 
 @query("prj4_file_filter", "SELECT source, count(*) AS n FROM documents WHERE source LIKE '%1%' OR source LIKE '%rc7%' GROUP BY source")
 def prj4(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("source").contains("1") | F.col("source").contains("rc7")).groupBy("source").agg(F.count("*").alias("n"))
+    return t.documents.where(T.matches_any(F.col("source"), "1", "rc7")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("prj5_aggregate_results", "SELECT conv_id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
 def prj5(t: Tables) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("x"))))
-    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"), parts.alias("p")).select("conv_id", "n", F.array_join(F.transform("p", lambda x: x["x"]), "\n").alias("texts"))
+    return P.joined_results(t.conversations, "conv_id", "turn", "text")
 
 
 @query("prj7_side_paths", "SELECT o_orderkey FROM orders WHERE starts_with(o_orderpriority, '1-')")
@@ -155,12 +162,12 @@ def prj9(t: Tables) -> DataFrame:
 
 @query("prj10_exempt_references", "SELECT p_partkey FROM part WHERE NOT starts_with(CASE WHEN p_partkey % 5 = 0 THEN 'type-x' ELSE p_brand END, 'type-')")
 def prj10(t: Tables) -> DataFrame:
-    return t.part.where(~F.when(F.col("p_partkey") % 5 == 0, "type-x").otherwise(F.col("p_brand")).startswith("type-")).select("p_partkey")
+    return t.part.where(~T.is_exempt(F.when(F.col("p_partkey") % 5 == 0, "type-x").otherwise(F.col("p_brand")))).select("p_partkey")
 
 
 @query("prj11_path_filter", "SELECT p_partkey FROM part WHERE contains(p_name, 'a')")
 def prj11(t: Tables) -> DataFrame:
-    return t.part.where(F.col("p_name").contains("a")).select("p_partkey")
+    return t.part.where(T.matches_any(F.col("p_name"), "a")).select("p_partkey")
 
 
 @query("agg4_node_coverage", "SELECT (SELECT count(*) FROM customer) AS total, count(DISTINCT o_custkey) AS mapped, (SELECT count(*) FROM customer WHERE c_custkey % 9 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)) AS exempt, (SELECT count(*) FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)) AS unmapped FROM orders WHERE o_orderkey % 3 = 0")
@@ -247,7 +254,7 @@ def snk5(t: Tables) -> DataFrame:
 
 @query("drf3_first_node", "SELECT conv_id AS id, min(turn) AS pre, 'sha256:' || sha256(arg_min(text, turn)) AS hash FROM conversations GROUP BY conv_id")
 def drf3(t: Tables) -> DataFrame:
-    return t.conversations.groupBy(F.col("conv_id").alias("id")).agg(F.min("turn").alias("pre"), H.text_hash(F.min_by("text", "turn")).alias("hash"))
+    return P.first_nodes(t.conversations.withColumnRenamed("conv_id", "id"), "id", "turn", "text").select("id", "pre", H.text_hash(F.col("text")).alias("hash"))
 
 
 DUPES = "WITH d AS (SELECT sha256(text) AS id, doc_id AS path FROM documents), f AS (SELECT id, min(path) AS first_path FROM d GROUP BY id HAVING count(*) > 1) SELECT d.id, d.path, f.first_path FROM d JOIN f USING (id) WHERE d.path <> f.first_path"
@@ -262,16 +269,21 @@ def jon22(t: Tables) -> DataFrame:
     return C.check_keyrefs({"order-customer": (t.orders, "o_custkey", t.customer.where("c_custkey % 3 <> 0"), "c_custkey"), "line-part": (t.lineitem, "l_partkey", t.part.where("p_partkey % 4 <> 1"), "p_partkey")})
 
 
-@query("jon5_chunk_spans", "SELECT doc_id AS id, arg_max(turn, turn) AS last_turn, lang FROM documents JOIN conversations ON conv_id = doc_id GROUP BY doc_id, lang")
+@query("jon5_chunk_spans", "SELECT o_custkey AS id, arg_max(o_orderpriority, (o_orderpriority, -o_orderkey)) AS file, arg_max(o_orderkey, (o_orderpriority, -o_orderkey)) AS pre, c_mktsegment AS layer FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey, c_mktsegment")
 def jon5(t: Tables) -> DataFrame:
-    spans = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    return t.documents.select("doc_id", "lang").join(spans, F.col("doc_id") == F.col("conv_id")).select(F.col("doc_id").alias("id"), "last_turn", "lang")
+    """Orders are spans of customers' chunks, their priority the file: the last file's first span counts."""
+    spans = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("file"), F.col("o_orderkey").alias("pre"))
+    return P.last_spans(spans, t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("layer")))
 
 
-@query("jon6_relation_lists", "SELECT c_custkey AS id, coalesce(list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderkey IS NOT NULL)), []) AS outgoing FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query(
+    "jon6_relation_lists",
+    """WITH e AS (SELECT o_custkey AS src, o_orderkey % 50 AS dst, o_orderpriority AS type FROM orders), o AS (SELECT src, list_sort(list(DISTINCT type)) AS l FROM e GROUP BY src), i AS (SELECT dst, list_sort(list(DISTINCT type)) AS l FROM e GROUP BY dst)
+  SELECT c_custkey AS id, coalesce(o.l, []) AS outgoing, coalesce(i.l, []) AS incoming FROM customer LEFT JOIN o ON src = c_custkey LEFT JOIN i ON dst = c_custkey""",
+)
 def jon6(t: Tables) -> DataFrame:
-    lists = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("outgoing"))
-    return t.customer.select(F.col("c_custkey").alias("id")).join(lists, F.col("id") == F.col("o_custkey"), "left").select("id", F.coalesce("outgoing", F.array().cast("array<string>")).alias("outgoing"))
+    edges = t.orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 50).alias("dst"), F.col("o_orderpriority").alias("type"))
+    return P.relation_lists(t.customer.select(F.col("c_custkey").alias("id")), edges)
 
 
 Q = "(SELECT embedding FROM embeddings WHERE vec_id = {k})"
@@ -389,34 +401,29 @@ def agg13(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("stdev"))
 
 
-@query("agg14_run_summary", "SELECT event_type, round(sum(value), 4) AS total, round(avg(value) FILTER (user_id % 10 <> 0), 6) AS mean, max(value) FILTER (user_id % 10 <> 0) AS most, count(*) FILTER (user_id % 10 = 0) AS errors FROM events GROUP BY event_type")
+@query("agg14_run_summary", "SELECT event_type, round(sum(value), 4) AS total, round(avg(value) FILTER (user_id % 10 <> 0), 6) AS mean, max(value) FILTER (user_id % 10 <> 0) AS most, count(*) FILTER (user_id % 10 = 0) AS errors, count(*) FILTER (event_id % 3 = 0) AS won_a, count(*) FILTER (event_id % 3 = 1) AS won_b FROM events GROUP BY event_type")
 def agg14(t: Tables) -> DataFrame:
-    good = F.when(F.col("user_id") % 10 != 0, F.col("value"))
-    return t.events.groupBy("event_type").agg(F.round(F.sum("value"), 4).alias("total"), F.round(F.avg(good), 6).alias("mean"), F.max(good).alias("most"), F.count_if(F.col("user_id") % 10 == 0).alias("errors"))
+    k = F.col("event_id") % 3
+    runs = t.events.withColumn("verdict", F.when(k == 0, "a").when(k == 1, "b").otherwise("tie"))
+    return P.run_summary(runs, "event_type", "value", F.col("user_id") % 10 == 0, "verdict", ("a", "b"))
 
 
-@query("agg15_phase_costs", "SELECT user_id, round(sum(value) FILTER (starts_with(event_type, 'c')), 4) AS phase, round(CASE WHEN sum(value) = 0 THEN 0 ELSE count(*) / (sum(value) / 60000) END, 4) AS per_minute FROM events GROUP BY user_id")
+@query("agg15_phase_costs", "SELECT user_id, round(sum(value) FILTER (starts_with(event_type, 'c')), 4) AS phase_c, round(CASE WHEN sum(value) = 0 THEN 0 ELSE count(*) / (sum(value) / 60000) END, 4) AS per_minute FROM events GROUP BY user_id")
 def agg15(t: Tables) -> DataFrame:
-    s = F.sum("value")
-    return t.events.groupBy("user_id").agg(F.round(F.sum(F.when(F.col("event_type").startswith("c"), F.col("value"))), 4).alias("phase"), F.round(F.when(s == 0, 0.0).otherwise(F.count("*") / (s / 60000)), 4).alias("per_minute"))
+    return P.phase_costs(t.events, "user_id", "event_type", "value", ("c",))
 
 
-@query("agg16_line_metrics", "SELECT source, count(*) AS lines, count(*) FILTER (regexp_matches(s, '^[A-Z]')) AS capital, count(DISTINCT doc_id) AS files FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) GROUP BY source")
+@query("agg16_line_metrics", "SELECT n_regionkey, count(*) * 2 AS added, count(*) AS removed, count(DISTINCT n_nationkey) AS files, count(*) AS tests FROM nation GROUP BY n_regionkey")
 def agg16(t: Tables) -> DataFrame:
-    s = t.documents.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("s"))
-    return s.groupBy("source").agg(F.count("*").alias("lines"), F.count_if(F.col("s").rlike("^[A-Z]")).alias("capital"), F.countDistinct("doc_id").alias("files"))
+    """A unified diff per nation: one line goes, two come, one of which declares a test."""
+    f = F.concat(F.col("n_nationkey").cast("string"), F.lit(".py"))
+    diff = F.concat(F.lit("--- a/"), f, F.lit("\n+++ b/"), f, F.lit("\n@@ -1 +1,2 @@\n-"), "n_name", F.lit("\n+"), F.lower("n_name"), F.lit("\n+def test_"), F.lower("n_name"), F.lit("():\n same"))
+    return P.diff_metrics(t.nation.select("n_regionkey", diff.alias("diff")), "n_regionkey")
 
 
-@query("agg23_arm_summary", "SELECT event_type, round(coalesce(avg(value), 0), 2) AS mean, round(avg(value) - (SELECT avg(value) FROM events), 2) AS delta FROM events GROUP BY event_type")
+@query("agg23_arm_summary", "SELECT event_type AS arm, round(coalesce(avg(value), 0), 2) AS mean, round(avg(value) - (SELECT avg(value) FROM events WHERE event_type = 'click'), 2) AS delta FROM events GROUP BY event_type")
 def agg23(t: Tables) -> DataFrame:
-    overall = t.events.agg(F.avg("value").alias("all_mean"))
-    per = t.events.groupBy("event_type").agg(F.avg("value").alias("m"))
-    return per.crossJoin(F.broadcast(overall)).select("event_type", F.round(F.coalesce("m", F.lit(0.0)), 2).alias("mean"), F.round(F.col("m") - F.col("all_mean"), 2).alias("delta"))
-
-
-@query("agg17_count", "SELECT count(*) AS n FROM documents WHERE contains(text, 'the')")
-def agg17(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("text").contains("the")).agg(F.count("*").alias("n"))
+    return P.arm_summary(t.events, "event_type", "value", "click")
 
 
 @query("str1_ref_updates", "SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old, event_type AS new FROM events")

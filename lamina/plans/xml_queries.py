@@ -46,6 +46,11 @@ def prj2(t: Tables) -> DataFrame:
     return evaluate(nodes(t), "/atlas/geo:land", "count", NS)
 
 
+@query("agg17_count", f"SELECT {PATH} AS path, count(*) AS n FROM nation WHERE n_nationkey % 2 = 0 GROUP BY n_regionkey")
+def agg17(t: Tables) -> DataFrame:
+    return evaluate(nodes(t), "count(//geo:land[@rank='even'])", "text", NS)
+
+
 @query("prj3_xpath_ids", "SELECT 'n' || n_nationkey AS id FROM nation WHERE n_nationkey < 20 AND n_nationkey >= 10 OR n_nationkey = 1")
 def prj3(t: Tables) -> DataFrame:
     return evaluate(nodes(t), "//geo:land[starts-with(@id, 'n1')]", "ids", NS)
