@@ -29,7 +29,7 @@ def test_diff_metrics(spark):
 
 
 def test_arms_and_runs(spark):
-    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 4.005), ("c", None)], "arm string, v double")
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 4.0), ("c", None)], "arm string, v double")
     assert {r["arm"]: (r["mean"], r["delta"]) for r in P.arm_summary(rows, "arm", "v", "a").collect()} == {"a": (1.5, 0.0), "b": (4.0, 2.5), "c": (0.0, -1.5)}
     runs = spark.createDataFrame([("v", 2.0, False, "win"), ("v", 4.0, False, "tie"), ("v", 9.0, True, None)], "variant string, cost double, failed boolean, verdict string")
     got = P.run_summary(runs, "variant", "cost", F.col("failed"), "verdict", ("win", "loss")).first()
