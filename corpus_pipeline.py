@@ -18,10 +18,6 @@ from lamina.llm import hyperminhash, line_spread, toxicity_crf, unigram, winnow
 from lamina.llm.common import table, written
 
 
-#: Hundredths of Jaccard similarity from which two documents are near copies.
-NEAR = 80
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_crf.train(docs, table(spark, sf_dir, "labels"))
     prefix = "tox_"
@@ -39,7 +35,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return hyperminhash.deduplicated(docs, hundredths=NEAR)
+    return hyperminhash.deduplicated(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ from lamina.llm import kernels as K
 from lamina.llm.common import ROW, components, row_key, sent, ship, small_batches, without, written
 
 WORDS = 5
+#: Hundredths of Jaccard similarity from which two documents are near copies.
+NEAR = 80
 REGISTERS = 256
 MANTISSA = 10
 #: Share of the pairs at the threshold that may share no band.
@@ -383,7 +385,7 @@ def _facing(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*columns, F.explode(meets).alias("m")).select(*columns, "m.*")
 
 
-def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, hundredths: int = NEAR) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of ``hundredths``/100 or more over their shingle sets.
 
     Returns ``doc_id, row_a, row_b`` (the row's key), ``n_shingles, component_id,
@@ -446,7 +448,7 @@ def near_duplicates(docs: DataFrame, hundredths: int = 85) -> DataFrame:
     return joined.select("doc_id", *ROW, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, hundredths: int = 85) -> DataFrame:
+def deduplicated(docs: DataFrame, hundredths: int = NEAR) -> DataFrame:
     """``docs`` with one document of each component (rows that are repeated as a whole stand or fall together)."""
     return without(docs, near_duplicates(docs, hundredths).where("not kept"))
 

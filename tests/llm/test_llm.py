@@ -75,7 +75,7 @@ def test_near_duplicates_against_all_pairs(spark):
                 inter = len(sets[a] & sets[b])
                 if inter and 100 * inter >= 85 * len(sets[a] | sets[b]):
                     comp[a] = comp[b] = min(comp[a], comp[b])
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in hyperminhash.near_duplicates(docs(spark, rows)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in hyperminhash.near_duplicates(docs(spark, rows), 85).collect()}
     assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
     assert hyperminhash.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
