@@ -44,8 +44,8 @@ THREE = f"""{TREES}, j AS (SELECT coalesce(a.path, o.path, t.path) AS path, a.do
 merged AS (SELECT *, CASE WHEN o IS NOT DISTINCT FROM a AND t IS NOT DISTINCT FROM a THEN CASE WHEN a IS NULL THEN 'dropped' ELSE 'kept' END
     WHEN o IS NULL AND t IS NULL THEN 'dropped'
     WHEN o IS NOT DISTINCT FROM t THEN 'auto_merged' WHEN t IS NOT DISTINCT FROM a THEN 'ours_only' WHEN o IS NOT DISTINCT FROM a THEN 'theirs_only' ELSE 'conflict' END AS outcome FROM j),
-final AS (SELECT *, CASE WHEN outcome <> 'conflict' THEN NULL WHEN a IS NULL THEN 'both sides added with different content' WHEN o IS NULL THEN 'deleted on ours, modified on theirs'
-    WHEN t IS NULL THEN 'modified on ours, deleted on theirs' ELSE 'both sides modified' END AS reason,
+final AS (SELECT *, CASE WHEN outcome <> 'conflict' THEN NULL WHEN a IS NULL THEN 'each side adds it in its own way' WHEN o IS NULL THEN 'ours deletes what theirs changes'
+    WHEN t IS NULL THEN 'ours changes what theirs deletes' ELSE 'each side changes it in its own way' END AS reason,
     CASE outcome WHEN 'theirs_only' THEN t WHEN 'conflict' THEN coalesce(o, a) ELSE o END AS merged FROM merged)"""
 
 
