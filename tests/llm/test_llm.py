@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lamina.llm import chroma, common, html_mincut, hyperminhash, kernels, line_spread, pii_bootstrap, quote_links, secret_entropy, toxicity_crf, unigram, winnow
+from lamina.llm import chroma, common, html_mincut, hyperminhash, kernels, line_spread, pii_bootstrap, queries, quote_links, secret_entropy, toxicity_crf, unigram, winnow
 from lamina.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
@@ -817,6 +817,42 @@ def test_recordings_without_ids_or_samples(spark):
     assert got[100]["n_recordings"] >= 1 and got[100]["ber"] == 0.0 and got[200]["n_classes"] == 0
 
 
+def test_search_gives_every_link_and_all_members(spark, tmp_path):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(30, 64))
+    rows = [(i * 50, v.tolist()) for i, v in enumerate(x)] + [(7, x[0].tolist()), (200, x[4].tolist()), (None, x[2].tolist()), (None, (x[0] + 0.05 * r.normal(size=64)).tolist()), (300, None), (8, [])]
+    rows += [(10_000 + i, (x[i % 6] + 0.05 * r.normal(size=64)).tolist()) for i in range(12)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    table = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    prints = [(p["rec_id"], tuple(p["print"])) for p in chroma.fingerprints(table, "vec_id", "embedding").collect()]
+    classes: dict[tuple, list] = {}
+    for i, p in prints:
+        if p:
+            classes.setdefault(p, []).append(i)
+    name = {p: min((i for i in ids if i is not None), default=None) for p, ids in classes.items()}
+    want = []
+    for p, ids in classes.items():
+        for q, others in classes.items():
+            if not any(i is not None and i % 100 == 0 for i in ids) or (p == q and len(others) == 1):
+                continue
+            found = []
+            for o in range(-len(p), len(q)):
+                over = [(a, a + o) for a in range(len(p)) if 0 <= a + o < len(q)]
+                errors = sum((p[a] ^ q[b]).bit_count() for a, b in over)
+                if len(over) >= 8 and errors <= 8 * len(over):
+                    found.append((errors / (32 * len(over)), -len(over), abs(o), o, errors))
+            if found:
+                ber, n, _, o, errors = min(found)
+                want.append((name[p], len(ids), name[q], len(others), o, -n, errors, ber))
+    assert len(want) > 1.5 * sum(any(i is not None and i % 100 == 0 for i in ids) for ids in classes.values())
+    got = queries.op2_chroma(spark, str(tmp_path)).collect()
+    links = [tuple(x[k] for k in ("class_id", "class_size", "linked_id", "linked_size", "at_offset", "overlap", "bit_errors", "ber")) for x in got if x["kind"] == "link"]
+    assert sorted(links, key=str) == sorted(want, key=str)
+    members = [(x["rec_id"], x["is_query"], x["class_id"], x["class_size"]) for x in got if x["kind"] == "member"]
+    held = [(i, i is not None and i % 100 == 0, name.get(p), len(classes[p]) if p else None) for i, p in prints]
+    assert sorted(members, key=str) == sorted(held, key=str) and len(held) == len(rows)
+
+
 def stage_rows() -> list[tuple]:
     """Documents of which the pipeline's stages let some go, and some that must stay."""
     r = random.Random(21)
