@@ -112,35 +112,45 @@ def meet(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str
     return rows.join(F.broadcast(keys.where(hot)), on, how).unionByName(rows.join(keys.where(~hot).hint("merge"), on, how))
 
 
+#: Edges of a task.
+TASK_EDGES = 25_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): one row ``(id, comp)`` per end, comp the smallest id reachable.
 
     Large-star / small-star rounds: linear in the edges, logarithmically many
     rounds. Minima are pre-aggregated, and they are written before they are joined
     back to the edges: both sides of that join then are plain exchanges, which
-    Spark splits where a hub's edges fill one. The driver only learns whether a
-    round changed anything.
+    Spark splits where a hub's edges fill one. A round's tables have a part for
+    each ``TASK_EDGES`` edges, so that few edges cost few tasks, however many
+    partitions the session shuffles to. The driver only learns how many edges there
+    are and whether a round changed anything.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     e = written(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = F.expr("struct(count(*), bit_xor(xxhash64(u, v)), sum(cast(xxhash64(v, u) as decimal(20))))").alias("mark")
     before = e.agg(mark).first()
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.coalesce(before["mark"][0] // TASK_EDGES + 1)
+
     while before["mark"][0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = written(dealt(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
         # Large star: every larger neighbour is linked to the least id around its centre.
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct())
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = written(dealt(large.where("u <> v").distinct()))
+        least = written(dealt(large.groupBy("u").agg(F.min("v").alias("m"))))
         # Small star: a node and its smaller neighbours are linked to the least of them.
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        nxt = written(small.where("u <> v").distinct())
+        nxt = written(dealt(small.where("u <> v").distinct()))
         after = nxt.agg(mark).first()
         if after == before:
             break
         e, before = nxt, after
-    ends = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("id"), "comp")
-    return ends.union(ends.select(F.col("comp").alias("id"), "comp").distinct())
+    ends = dealt(e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("id"), "comp"))
+    return ends.union(dealt(ends.select(F.col("comp").alias("id"), "comp").distinct()))
 
 
 ship(__name__)

@@ -95,6 +95,30 @@ def test_components_of_a_hub(spark):
     assert got == {**{i: 0 for i in range(400)}, 2000: 0, **{1000 + i: 1000 for i in range(61)}}
 
 
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    r = random.Random(4)
+    edges = [(x, r.randrange(x)) for x in range(1, 600) if x % 7] + [(5000, 5001)]
+    want = {x: x for e in edges for x in e}
+    for _ in range(600):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(edges, "a long, b long")
+        got = components(df)
+        assert got.rdd.getNumPartitions() <= 2
+        assert {x["id"]: x["comp"] for x in got.collect()} == want
+        monkeypatch.setattr(common, "TASK_EDGES", 100)
+        got = components(df)
+        assert got.rdd.getNumPartitions() > 2 and sorted(map(tuple, got.collect())) == sorted(want.items())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_pipeline_links_from_four_fifths_on(spark):
     rows = []
     for k in range(1, 15):  # of 100 shingles the copy holds all but the last k
