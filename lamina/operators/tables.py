@@ -32,6 +32,25 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task that sorts (some 50 MB); of one where smaller tasks would make Spark sort what it writes as well; and
+#: those for which a further task pays.
+TASK_ROWS, MOST_ROWS, LEAST_ROWS = 400_000, 2_000_000, 20_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` for a window over them, to as many tasks as its rows take, which are counted first.
+
+    So a task's memory does not follow the number of partitions that the session
+    shuffles to or merges them into. Up to the partitions of
+    ``spark.shuffle.sort.bypassMergeThreshold`` rows are written as they come;
+    beyond them, a task that reads a file's part holds and sorts all of it.
+    """
+    sc, rows = df.sparkSession.sparkContext, df.count()
+    unsorted = int(sc.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    by_size = min(rows // TASK_ROWS, max(rows // MOST_ROWS, unsorted - 1))
+    return df.repartition(max(by_size, min(rows // LEAST_ROWS, sc.defaultParallelism - 1)) + 1, *keys)
+
+
 class Grown:
     """A table that rounds append to: each round writes its own rows only, and reads see all of them."""
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.operators.tables import Grown, settled
+from lamina.operators.tables import Grown, dealt, settled
 
 
 def tree_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -27,16 +27,19 @@ def attribute_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def child_keys(children: DataFrame, parent: str = "parent", names: tuple[str, ...] = ("kind", "name"), order: str = "ord") -> DataFrame:
     """Adds ``occurrence``: how many like-named siblings stand before."""
     w = Window.partitionBy(parent, *names).orderBy(order)
-    return children.withColumn("occurrence", F.row_number().over(w) - 1)
+    return dealt(children, parent, *names).withColumn("occurrence", F.row_number().over(w) - 1)
 
 
 def segments(children: DataFrame, parent: str = "parent", order: str = "ord") -> DataFrame:
-    """Adds ``segment``: ``name[@id="x"]``, else ``name[position]`` where several siblings share the name, else ``name``."""
-    w = Window.partitionBy(parent, "name")
-    at = F.row_number().over(w.orderBy(order))
-    several = F.count("*").over(w) > 1
+    """Adds ``segment``: ``name[@id="x"]``, else ``name[position]`` where several siblings share the name, else ``name``.
+
+    Siblings are counted over the window that numbers them, so that a task sorts its rows once.
+    """
+    w = Window.partitionBy(parent, "name").orderBy(order)
+    at = F.row_number().over(w)
+    several = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > 1
     with_id = F.concat("name", F.lit('[@id="'), "id", F.lit('"]'))
-    return children.withColumn("segment", F.when(F.col("id").isNotNull(), with_id).when(several, F.concat("name", F.lit("["), at.cast("string"), F.lit("]"))).otherwise(F.col("name")))
+    return dealt(children, parent, "name").withColumn("segment", F.when(F.col("id").isNotNull(), with_id).when(several, F.concat("name", F.lit("["), at.cast("string"), F.lit("]"))).otherwise(F.col("name")))
 
 
 def three_way(ancestor: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str], value: str) -> DataFrame:

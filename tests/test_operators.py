@@ -13,6 +13,7 @@ from lamina.operators import coverage as C
 from lamina.operators import graph as G
 from lamina.operators import repository as R
 from lamina.operators import search as S
+from lamina.operators import tables as T
 from lamina.operators import versions as V
 from lamina.operators.xmldiff import diff_documents, merge_documents
 from lamina.plans.xpath import XPathError, evaluate
@@ -295,3 +296,30 @@ def test_status_has_every_state(spark):
     d = f([("same", "1"), ("mod", "2"), ("new", "3"), ("staged", "9")], "path string, hash string")
     g = f([("staged", "modify", "9")], "path string, action string, hash string")
     assert {r["path"]: r["state"] for r in V.status(w, d, g).collect()} == {"mod": "modified", "gone": "deleted", "new": "untracked", "staged": "staged-modify"}
+
+
+def test_siblings_are_numbered_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """However few partitions the session shuffles to, and sorted once."""
+    monkeypatch.setattr(T, "TASK_ROWS", 50, raising=False)
+    rng = random.Random(11)
+    rows = [(rng.choice([None, *range(400)]), rng.choice("ab"), i, rng.choice([None, None, f"i{i}"])) for i in range(2000)]
+    children = spark.createDataFrame(rows, "parent long, name string, ord int, id string")
+    alike = {}
+    for parent, name, at, _ in rows:
+        alike.setdefault((parent, name), []).append(at)
+    segments = {at: f'{name}[@id="{key}"]' if key else f"{name}[{alike[parent, name].index(at) + 1}]" if len(alike[parent, name]) > 1 else name for parent, name, at, key in rows}
+    occurrences = {at: alike[parent, name].index(at) for parent, name, at, _ in rows}
+    for out, added, expected in ((V.segments(children), "segment", segments), (V.child_keys(children, names=("name",)), "occurrence", occurrences)):
+        found = out.withColumn("task", F.spark_partition_id()).collect()
+        assert len(found) == len(rows) and {r["ord"]: r[added] for r in found} == expected
+        tasks = [r["task"] for r in found]
+        assert max(map(tasks.count, set(tasks))) < 200
+        assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+@pytest.mark.parametrize(("rows", "size", "most", "tasks"), [(0, 10, 100, 1), (900, 10, 100, 91), (2500, 10, 100, 200), (2500, 10, 11, 228)])
+def test_tasks_follow_the_rows(spark, monkeypatch, rows, size, most, tasks):
+    """Beyond 200, where a task sorts what it writes, there are more only for ``MOST_ROWS``."""
+    monkeypatch.setattr(T, "TASK_ROWS", size)
+    monkeypatch.setattr(T, "MOST_ROWS", most)
+    assert T.dealt(spark.range(rows), "id").rdd.getNumPartitions() == tasks
